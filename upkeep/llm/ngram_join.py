@@ -13,10 +13,11 @@ documents that share signatures:
    projections give none; a set for which this could lose a partner (too many
    empty parts) also emits the tokens of an exact prefix filter, under which
    two such sets meet.
-4. Each bucket compares its members with its smallest one; exact intersections
-   make links, links make components.  Buckets that still hold several
-   components compare across them: small ones by pairs, larger ones in blocks
-   of a bounded number of documents.
+4. A bucket's smallest member stands for it.  Each class is compared with the one
+   such member that it shares most buckets with; exact intersections make links,
+   links make components.  Buckets that still hold several components compare
+   across them: small ones by pairs, larger ones in blocks of a bounded number
+   of classes.
 """
 
 from __future__ import annotations
@@ -44,9 +45,19 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())
 _OUT_DDL = "doc_id long, n long, cls long, elements array<long>"
 
 
+def _small(x: np.ndarray) -> tuple[int, bytes]:
+    """Counts in the least width that holds them, with its code."""
+    code = int(x.max(initial=0) > 0xFF) + int(x.max(initial=0) > 0xFFFF)
+    return code, x.astype(_WIDTHS[code]).tobytes()
+
+
+_WIDTHS = (np.uint8, np.uint16, np.uint32)
+
+
 def _pack(cls: np.ndarray, n: np.ndarray, count: np.ndarray, h: np.ndarray) -> bytes:
     """Runs of a class's shingle hashes, six bytes each."""
-    head = np.array([len(cls)], np.int32).tobytes() + cls.astype(np.int64).tobytes() + n.astype(np.int32).tobytes() + count.astype(np.int32).tobytes()
+    (code_n, raw_n), (code_c, raw_c) = _small(n), _small(count)
+    head = np.array([len(cls), code_n, code_c], np.int32).tobytes() + cls.astype(np.int64).tobytes() + raw_n + raw_c
     return head + h.astype(np.uint32).tobytes() + (h >> _U(32)).astype(np.uint16).tobytes()
 
 
@@ -54,11 +65,15 @@ def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class, size and shingle hash of each element."""
     out = []
     for b in blobs:
-        k = int(np.frombuffer(b, np.int32, 1)[0])
-        cls, n, count = np.frombuffer(b, np.int64, k, 4), np.frombuffer(b, np.int32, k, 4 + 8 * k), np.frombuffer(b, np.int32, k, 4 + 12 * k)
+        k, code_n, code_c = np.frombuffer(b, np.int32, 3).tolist()
+        at = 12 + 8 * k
+        cls, n = np.frombuffer(b, np.int64, k, 12), np.frombuffer(b, _WIDTHS[code_n], k, at)
+        at += n.nbytes
+        count = np.frombuffer(b, _WIDTHS[code_c], k, at)
+        at += count.nbytes
         total = int(count.sum())
-        h = np.frombuffer(b, np.uint32, total, 4 + 16 * k).astype(np.uint64) | np.frombuffer(b, np.uint16, total, 4 + 16 * k + 4 * total).astype(np.uint64) << _U(32)
-        out.append((np.repeat(cls, count), np.repeat(n, count), h))
+        h = np.frombuffer(b, np.uint32, total, at).astype(np.uint64) | np.frombuffer(b, np.uint16, total, at + 4 * total).astype(np.uint64) << _U(32)
+        out.append((np.repeat(cls, count), np.repeat(n.astype(np.int32), count), h))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64))
 
 
@@ -230,6 +245,13 @@ def _signature_batches(percent: int):
     return run
 
 
+def _plausible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes, and counts of shared shingles, leave room for the threshold."""
+    u, v = (sizes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}")) for x in "uv")
+    both = F.least("mu", "mv")
+    return pairs.join(u, "u").join(v, "v").where(100 * both >= percent * (F.col("nu") + F.col("nv") - both)).drop("nu", "nv", "mu", "mv")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of classes whose Jaccard similarity reaches the threshold."""
     left = sets.select(F.col("cls").alias("u"), F.col("n").alias("nu"), F.col("elements").alias("eu"))
@@ -299,7 +321,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = 3 * partitions(spark)
+    parts = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     runs = rows.mapInArrow(_shingle_batches("id", "text", width, parts), _RUNS_DDL)
     runs = runs.groupBy("p").applyInArrow(_shared_shingles(parts), _RUNS_DDL)
@@ -309,16 +331,20 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bucket = Window.partitionBy("sig")
     members = sets.mapInArrow(_signature_batches(percent), "sig long, cls long").withColumn("pivot", F.min("cls").over(bucket)).withColumn("m", F.count("*").over(bucket))
     members = materialize(members.where("m > 1"), "buckets")
-    pivots = members.where("cls != pivot").select(F.col("pivot").alias("u"), F.col("cls").alias("v")).distinct()
-    links = materialize(_linked(pivots, sets, percent), "links")
+    sizes = sets.select("cls", "n", F.size("elements").alias("m"))
+    shared = members.where("cls != pivot").groupBy(F.col("pivot").alias("u"), F.col("cls").alias("v")).agg(F.count("*").alias("c"))
+    best = Window.partitionBy("v").orderBy(F.col("c").desc(), "u")
+    closest = _plausible(shared, sizes, percent).withColumn("k", F.row_number().over(best)).where("k = 1").select("u", "v")
+    links = materialize(_linked(closest, sets, percent), "links")
     label = components(links)
 
     known = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
     mixed = known.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("sig")
     open_ = materialize(known.join(mixed, "sig").select("sig", "cls", "comp", "pivot", "m"), "open")
     small = open_.where(F.col("m") <= SMALL_BUCKET)
-    left, right = (small.select("sig", F.col("cls").alias(x), F.col("comp").alias(f"comp_{x}"), "pivot") for x in "uv")
-    pairs = left.join(right.drop("pivot"), "sig").where("u < v and comp_u != comp_v and u != pivot").select("u", "v").distinct()
+    left, right = (small.select("sig", F.col("cls").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "uv")
+    pairs = left.join(right, "sig").where("u < v and comp_u != comp_v").select("u", "v").distinct()
+    pairs = _plausible(pairs, sizes, percent).select("u", "v")
     large = open_.where(F.col("m") > SMALL_BUCKET)
     groups = components(large.select(F.col("pivot").alias("u"), F.col("cls").alias("v")), "super")
     again = groups.select(F.col("node").alias("cls"), F.col("component").alias("super")).join(large.select("cls", "comp").distinct(), "cls")
