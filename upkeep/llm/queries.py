@@ -100,7 +100,7 @@ def _urls_sql() -> str:
     globs = " OR ".join(f"c GLOB '{g}'" for g in urls.BLOCKED_GLOBS)
     return f"""
 WITH parts AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{licenses.UPPER}', '{licenses.LOWER}') AS host,
-  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages),
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 full_url AS (SELECT *, CASE WHEN host <> '' THEN 'url://' || regexp_replace(regexp_replace(host, '^[^@]*@', ''), '(:[0-9]*|\\.)$', '') ||
   translate(regexp_replace(regexp_replace(path || '/', '/index\\.html?/$', '/'), '/+', '/', 'g'), '{licenses.UPPER}', '{licenses.LOWER}') ELSE '' END AS c FROM parts)
 SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN {globs} THEN 'block' ELSE 'allow' END AS verdict FROM full_url"""

@@ -87,7 +87,7 @@ def host(url: Column) -> Column:
 
 def path(url: Column) -> Column:
     """After the host up to ?, # or the end; empty without ://."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def canonical(url_host: Column, url_path: Column) -> Column:
