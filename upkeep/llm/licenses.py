@@ -7,6 +7,8 @@ so is each line as a text of its own, for notices that stand among other text.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,10 +63,13 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
+#: SHA-256 of a text without words.
+EMPTY = hashlib.sha256(b"").hexdigest()
+
+
 def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form; null for a text without words."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+    """SHA-256 of the canonical form, never null: so the form is computed once, and no filter on nulls computes it again."""
+    return F.coalesce(F.sha2(canonical(text), 256), F.lit(""))
 
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
@@ -84,8 +89,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     lines = rows.select("id", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("line"))
-    lines = lines.select("id", digest(F.col("line")).alias("digest"))
-    notices = lines.join(known, "digest").groupBy("id").agg(F.array_sort(F.collect_set("license")).alias("found"))
-    whole = rows.select("id", digest(F.col("text")).alias("digest")).join(known, "digest", "left")
+    known = known.where(F.col("digest") != EMPTY)
+    notices = lines.where(F.col("line") != "").select("id", digest(F.col("line")).alias("digest")).join(known, "digest").groupBy("id").agg(F.array_sort(F.collect_set("license")).alias("found"))
+    whole = rows.select("id", digest(F.col("text")).alias("digest")).join(known, "digest", "left").withColumn("digest", F.nullif("digest", F.lit(EMPTY)))
     out = whole.join(notices, "id", "left")
     return out.select(F.col("id").alias(id_col), "digest", "license", F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_notices"), F.coalesce(F.array_join("found", ","), F.lit("")).alias("notices"))
