@@ -134,7 +134,7 @@ def schedule(cases: DataFrame, calendar: DataFrame, resources: float = 0.6, chec
         booked = hit if booked is None else booked.unionByName(hit)
         open_ = open_.join(hit.select("component_id"), "component_id", "left_anti")
     c = F.col
-    plan = cases.join(booked, "component_id", "left")
+    plan = cases.drop("depot_id", "day", "slot").join(booked, "component_id", "left")
     escalate = (c("decision") == "D07_conflict") | (c("decision_conflict") == 1) | ((c("bucket") == "P1") & (c("confidence_flag") == "low"))
     operation = (filled("windows", 0) <= 0) & c("decision").isin("D01_now", "D02_window", "D02B_blocked") & c("bucket").isin("P1", "P2") & (c("service") >= 82) & (c("service_criticality") >= 0.70)
     parts = F.lit(resources < 0.50) & c("kind").isin("pantograph_head", "brake_disc") & (c("priority") >= 62)
