@@ -305,6 +305,20 @@ def test_terms_that_reveal(spark):
     assert pii.mask(df).columns == df.columns
 
 
+def test_signatures_copies_and_far_words_reveal(spark):
+    """Each text is one unit of evidence: its copies don't dilute a name, and a fixed signature counts once a text, however far it stands."""
+    word = lambda i: "".join(chr(97 + int(d)) * 3 for d in f"{i:03}")
+    signed = [f"{word(i)} is the note of the day, yours, Quuxley Brandt q.b@sign.example" for i in range(4)]
+    copied = [f"zorblax of {word(10 + i)} has the mail a@b.example of {word(20 + i)}" for i in range(3)]
+    far = [f"vandermoot {'the day of the note ' * 40} {word(30 + i)} c@d.example" for i in range(3)]
+    plain = [f"the note of the day has mail yours {word(40 + i)}" for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*signed, *(copied * 200), *far, *plain])], "doc_id long, text string")
+    for most in (1_000_000, 0):
+        out = [r.clean_text for r in pii.personal_data(df, broadcast_terms=most).collect()]
+        assert not any(w in t for t in out for w in ("Quuxley", "Brandt", "zorblax", "vandermoot"))
+        assert sum("[TERM]" in t for t in out) == 607 and {*plain} <= {*out}
+
+
 # 10. Nearest neighbours
 
 

@@ -1,13 +1,12 @@
 """Personal data: base patterns, and terms that the corpus shows to reveal protected entities.
 
 Information-theoretic sanitisation.  The entities are the values that the base
-patterns find.  For each entity e and word t near it, the corpus gives the number
-of different contexts they share, and for each such word the number of documents
-that hold it.  A word reveals e if p(e | t), the share of the word's documents in
-which it stands by e, reaches ``disclosure`` over at least ``min_contexts``
-different contexts (a context is the nearest word on the entity's other side, so
-copies of a passage are one): then its pointwise mutual information with e is close to all
-that e holds.  Such words are protected wherever they stand.
+patterns find.  All counts are of different whole texts, so copies of a document
+count once.  For each entity e and word t the corpus gives the number of texts
+that hold both, and for each such word the number that hold it.  A word reveals e
+if p(e | t), the one over the other, reaches ``disclosure`` and both stand in at
+least ``min_contexts`` different texts: then its pointwise mutual information with
+e is close to all that e holds.  Such words are protected wherever they stand.
 """
 
 from __future__ import annotations
@@ -32,9 +31,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 
 TERM = re.compile(r"[^\W\d_]{3,}")
-WINDOW = 5
 DISCLOSURE, MIN_CONTEXTS = 0.5, 3
 BROADCAST_TERMS = 1_000_000
+FLUSH = 300_000
 
 
 def luhn(digits: str) -> bool:
@@ -71,28 +70,65 @@ def term_hash(term: str) -> int:
     return int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entity, term, context) hashes of the words near each base span."""
+def _distinct_texts(texts: DataFrame, broadcast_terms: int) -> DataFrame:
+    """Each different text once; only texts whose hash comes again are dealt out."""
+    keyed = texts.where("text is not null").withColumn("key", F.xxhash64("text"))
+    again = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
+    if again.count() <= broadcast_terms:
+        again = F.broadcast(again)
+    copies = materialize(keyed.join(again, "key", "left_semi").select("text").distinct(), "copies")
+    return keyed.join(again, "key", "left_anti").select("text").unionByName(copies)
+
+
+def _entities(text: str) -> set[int]:
+    return {term_hash(f"{kind}:{text[a:b].lower()}") for a, b, kind in base_spans(text)}
+
+
+def _entity_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of texts by entity, in parts to be summed."""
+    total: dict[int, int] = {}
     for batch in slices(batches, "text"):
-        out = []
         for t in batch.column("text").to_pylist():
-            spans = base_spans(t) if t else []
-            for a, b, kind in spans:
-                left = [m[0].lower() for m in TERM.finditer(t, max(0, a - 160), a)][-WINDOW:]
-                right = [m[0].lower() for m in TERM.finditer(t, b, b + 160)][:WINDOW]
-                entity = term_hash(f"{kind}:{t[a:b].lower()}")
-                for words, other in ((left, right[:1]), (right, left[-1:])):
-                    context = term_hash(" ".join(other))
-                    out += [(entity, term_hash(w), context) for w in {*words}]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["entity", "term", "context"])
+            for e in _entities(t):
+                total[e] = total.get(e, 0) + 1
+        if len(total) > FLUSH:
+            yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([*total.values()], pa.int64())], names=["entity", "n"])
+            total.clear()
+    yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([*total.values()], pa.int64())], names=["entity", "n"])
+
+
+def _pair_counts(wanted: np.ndarray | None):
+    """Number of texts by entity (of the wanted, if given) and word of the same text, in parts to be summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if wanted is None else {int(x) for x in wanted}
+        total: dict[tuple[int, int], int] = {}
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int64()), pa.array([k[1] for k in total], pa.int64()), pa.array([*total.values()], pa.int64())], names=["entity", "term", "n"])
+            total.clear()
+            return out
+
+        for batch in slices(batches, "text"):
+            for t in batch.column("text").to_pylist():
+                found = _entities(t) if known is None else _entities(t) & known
+                words = [term_hash(w) for w in _terms(t)] if found else ()
+                for e in found:
+                    for w in words:
+                        total[e, w] = total.get((e, w), 0) + 1
+                    if len(total) > FLUSH:
+                        yield flush()
+        yield flush()
+
+    return run
 
 
 def _terms(text: str) -> set[str]:
-    return {*TERM.findall(text.lower())}
+    return {w.lower() for w in {*TERM.findall(text)}}
 
 
 def _document_counts(wanted: np.ndarray):
-    """Number of documents by wanted term, summed over each task."""
+    """Number of texts by wanted term, summed over each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
@@ -122,9 +158,12 @@ def _all_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def revealing_terms(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(term hash, reveals): the words over the disclosure threshold, over all documents."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(text_col).alias("text"))
-    near = texts.mapInArrow(_contexts, "entity long, term long, context long").distinct()
-    near = materialize(near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_contexts), "near")
+    texts = _distinct_texts(docs.select(F.col(text_col).alias("text")), broadcast_terms)
+    often = texts.mapInArrow(_entity_counts, "entity long, n long").groupBy("entity").agg(F.sum("n").alias("n")).where(F.col("n") >= min_contexts).select("entity")
+    often = materialize(often, "entities")
+    wanted = often.toArrow().column("entity").to_numpy() if often.count() <= broadcast_terms else None
+    near = texts.mapInArrow(_pair_counts(wanted), "entity long, term long, n long") if wanted is None or len(wanted) else often.select("entity", F.lit(0).cast("long").alias("term"), F.lit(0).cast("long").alias("n"))
+    near = materialize(near.groupBy("entity", "term").agg(F.sum("n").alias("both")).where(F.col("both") >= min_contexts), "near")
     terms = near.select("term").distinct()
     if terms.count() <= broadcast_terms:
         wanted = terms.toArrow().column("term").to_numpy()
@@ -133,8 +172,7 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", disclosure: float =
     else:
         rows = texts.withColumn("row", F.monotonically_increasing_id()).select("row", "text")
         counts = rows.mapInArrow(_all_terms, "row long, term long").join(terms, "term").groupBy("term").agg(F.count("*").alias("docs"))
-    share = F.least(F.lit(1.0), F.col("both") / F.col("docs"))
-    return near.join(counts, "term").withColumn("share", share).where(F.col("share") >= disclosure).groupBy("term").agg(F.max("share").alias("reveals"))
+    return near.join(counts, "term").withColumn("share", F.col("both") / F.col("docs")).where(F.col("share") >= disclosure).groupBy("term").agg(F.max("share").alias("reveals"))
 
 
 def _span_rows(protected: np.ndarray | None):
@@ -192,8 +230,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     spans: the base kinds and ``term`` (which never overlaps a base span), as
     kind:start:end in code points, by start, then kind.  clean_text has each span
-    replaced by its kind.  Null text counts as empty.  Repeated rows stay and, having
-    the same contexts, count once as evidence; other columns are ignored.  Revealing
+    replaced by its kind.  Null text counts as empty.  Repeated rows and other
+    copies of a text stay and count once as evidence; other columns are ignored.  Revealing
     words are broadcast only up to ``broadcast_terms``; beyond, they are joined.
     """
     small_batches(docs.sparkSession)
