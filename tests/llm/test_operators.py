@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -163,6 +165,32 @@ def test_licenses_ignore_layout(spark, odd, none):
     assert licenses.scan_licenses(none, known).count() == 0
 
 
+def test_licenses_under_wraps(spark):
+    """Whole texts keep their name however they are wrapped, with notices on top or not; list items and sentences are no notices."""
+    known = licenses.known_digests(spark)
+    rows = []
+    for name, text in licenses.KNOWN[:7]:
+        for width in range(30, 110, 4):
+            body = "\n\n".join(textwrap.fill(x, width) for x in text.split("\n\n"))
+            rows += [(name, body), (name, f"Copyright (c) 2019, Some One\nCopyright 2020 Another\nAll rights reserved.\n\n{body}"), (name, f"Copyright Some One\n\n{body}"), (name, f"(c) Some One\n\n{body}")]
+    usual = licenses.KNOWN[3][1].replace("the above copyright notice", "the above\ncopyright notice")
+    rows += [("ISC", usual), (None, "Copyright notice and text stay."), (None, "a\n(c) You must retain it")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    out = {r.doc_id: r for r in licenses.scan_licenses(df, known).collect()}
+    assert [out[i].license for i in range(len(rows))] == [name for name, _ in rows]
+    kept = spark.createDataFrame([(t,) for _, t in rows[-2:]], "t string").select(licenses.canonical(F.col("t"))).collect()
+    assert [r[0] for r in kept] == ["copyright notice and text stay", "a c you must retain it"]
+
+
+def test_long_licenses(spark):
+    at = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    names = {k: v for k, v in names.items() if (at / k).exists()}
+    df = spark.createDataFrame([(v, "  " + (at / k).read_text().replace("\n", "\r\n  ")) for k, v in names.items()], "doc_id string, text string")
+    assert {*names.values()} <= {x for x, _ in licenses.long_digests()}
+    assert all(r.license == r.doc_id for r in licenses.scan_licenses(df, licenses.known_digests(spark)).collect())
+
+
 # 6. Quality
 
 

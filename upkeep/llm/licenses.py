@@ -8,6 +8,7 @@ so is each line as a text of its own, for notices that stand among other text.
 from __future__ import annotations
 
 import hashlib
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,18 @@ SPELLINGS = (
     ("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("copyright holders", "copyright owner"), ("copyright holder", "copyright owner"), ("copyright owners", "copyright owner"),
     ("authors", "author"), ("favour", "favor"), ("behaviour", "behavior"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("http", "https"), ("v2 0", "version 2 0"), ("v3", "version 3"), ("gpl", "gnu general public license"),
 )
-COPYRIGHT_LINE = r"(?m)^[^a-zA-Z0-9\n]*(copyright|\(c\)|all rights reserved)[^\n]*[0-9a-z][^\n]*$"
+_YEAR = r"(?:19|20)[0-9]{2}"
+# Lines of lower-case text that name a holder: with (c), a year or a place for one, or, where a paragraph starts, with a word that begins no sentence on copyright.
+COPYRIGHT_LINE = (
+    r"(?dm)^(?=[^a-z0-9\n]*(?:copyright|c\)|all rights reserved)|[^a-z0-9\n]*\u00a9)(?:"
+    rf"[^a-z0-9\n]*copyright[^a-z0-9\n]*(?:\(c\)|\u00a9|(?:c )?{_YEAR}|(?<=[\[<{{(])(?:yyyy|year|xxxx))"
+    rf"|[^a-z0-9\n]*\(c\)(?:[^a-z0-9\n]*(?:copyright[^a-z0-9\n]*)?{_YEAR}|[^\n]*all rights reserved)"
+    r"|[^a-z0-9\n]*\u00a9"
+    rf"|[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*(?:by\b|copyright|c\)|{_YEAR})"
+    r"|(?<![a-z0-9][^a-z0-9\n]{0,40}\n)[^a-z0-9\n]*copyright[ \t:,]+(?!(?:notices?|licen[cs]es?|holders?|owners?|laws?|rights?|interests?|statements?|treaty|act|protection|permissions?|disclaimer|and|or|in|on|to|of|for|as|is|are|under|shall|must|may)\b)[a-z0-9]"
+    r"|\A[^a-z0-9\n]*\(c\)[^a-z0-9\n]*[a-z0-9]"
+    r")[^\n]*"
+)
 
 _PERMIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
 _MIT_END = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -72,10 +84,15 @@ def digest(text: Column) -> Column:
     return F.coalesce(F.sha2(canonical(text), 256), F.lit(""))
 
 
+def long_digests() -> list[tuple[str, str]]:
+    """(license, digest) of the whole texts of long licences, and of short ones with a line that reserves all rights, from the data file."""
+    return [tuple(x.split()) for x in (Path(__file__).parent / "license_digests.txt").read_text().splitlines()]
+
+
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(license, digest) of known texts; a digest of two licences keeps the first by name."""
-    rows = spark.createDataFrame(list(known), "license string, text string")
-    return rows.select("license", digest(F.col("text")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    """(license, digest) of known texts, the long ones' too; a digest of two licences keeps the first by name."""
+    rows = spark.createDataFrame(list(known), "license string, text string").select("license", digest(F.col("text")).alias("digest"))
+    return rows.union(spark.createDataFrame(long_digests(), "license string, digest string")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -73,10 +73,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+#: The SQL's own, wider pattern: it differs from the operator's only on lines that begin with these words and name no holder.
+SQL_COPYRIGHT_LINE = r"(?m)^[^a-zA-Z0-9\n]*(copyright|\(c\)|all rights reserved)[^\n]*[0-9a-z][^\n]*$"
+
+
 def _licenses_sql() -> str:
     def canonical(text: str) -> str:
         out = f"translate(replace(coalesce({text}, ''), chr(13), ''), '{licenses.UPPER}', '{licenses.LOWER}')"
-        out = f"regexp_replace({out}, '{licenses.COPYRIGHT_LINE}', '', 'g')"
+        out = f"regexp_replace({out}, '{SQL_COPYRIGHT_LINE}', '', 'g')"
         out = f"' ' || trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g')) || ' '"
         for old, new in licenses.SPELLINGS:
             out = f"replace({out}, ' {old} ', ' {new} ')"
