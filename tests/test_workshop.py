@@ -1,0 +1,23 @@
+"""Allocation by rounds of bids: no case stays open while a slot has room for it."""
+
+import pytest
+
+from upkeep.operators import workshop
+
+
+@pytest.mark.parametrize("room", [3.0, 1.0])
+def test_hot_depot_fills_every_week(spark, room):
+    cases, weeks = range(60), range(1, 21)
+    rows = [(c, 0.5 + c % 2 * 0.5, 1, w, float(w)) for c in cases for w in weeks] + [(c, 0.5 + c % 2 * 0.5, None, None, 500.0) for c in cases]
+    candidates = spark.createDataFrame(rows, "component_id long, hours double, depot_id long, week int, cost double")
+    capacity = spark.createDataFrame([(1, w, room) for w in weeks], "depot_id long, week int, hours double")
+    out = workshop.allocate(candidates, capacity)
+    got = out.collect()
+    assert sorted(r.component_id for r in got) == list(cases)
+    used = {w: sum(r.hours for r in got if r.week == w) for w in weeks}
+    assert max(used.values()) <= room
+    left = max(room - x for x in used.values())
+    assert all(r.hours > left for r in got if r.depot_id is None)
+    assert all(r.depot_id for r in got) == (room == 3.0)
+    gap = workshop.allocation_gap(candidates, out).first()
+    assert gap.bound == 60.0 and gap.cost == sum(r.cost for r in got) and gap.label == "feasible"

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from upkeep.functions.scalars import clip, filled, min_max
+from upkeep.sources.store import materialize
 
 WINDOW_DAYS = {"D01_now": 2, "D02_window": 7, "D02B_blocked": 7, "D03_inspect": 3, "D04_monitor": 10, "D05_observe": 14, "D06_none": 21, "D07_conflict": 1}
 EXTRA_HOURS = {"D01_now": 2.8, "D02_window": 1.8, "D02B_blocked": 1.8, "D03_inspect": 1.0, "D07_conflict": 0.6}
@@ -185,27 +186,31 @@ def allocation_candidates(cases: DataFrame, weeks: DataFrame) -> DataFrame:
     return out.unionByName(none)
 
 
-def allocate(candidates: DataFrame, capacity: DataFrame, rounds: int = 6, checkpoint=lambda df, _: df) -> DataFrame:
+def allocate(candidates: DataFrame, capacity: DataFrame, checkpoint=materialize) -> DataFrame:
     """(component_id, depot_id, week, cost): each case at its cheapest slot with room, by rounds of bids.
 
     In a round every open case bids for its cheapest slot left; a slot takes bids by
-    regret, the loss of going elsewhere, while their running hours fit.  Cases still
-    open at the end stay so, with a null slot.  capacity: depot_id, week, hours.
+    regret, the loss of going elsewhere, while their running hours fit.  The first of
+    them always fits, so each round with a bid books a case; the rounds end when no
+    open case has a slot with room, and these get a null slot.  ``checkpoint`` writes
+    each round's results.  capacity: depot_id, week, hours.
     """
     room = capacity.select("depot_id", "week", F.col("hours").alias("room"))
-    slots = candidates.where("depot_id is not null")
-    taken = None
-    for k in range(rounds):
-        w = Window.partitionBy("component_id").orderBy("cost", "depot_id", "week")
-        live = slots.join(F.broadcast(room), ["depot_id", "week"]).where("hours <= room")
+    slots, taken, k = candidates.where("depot_id is not null"), None, 0
+    w = Window.partitionBy("component_id").orderBy("cost", "depot_id", "week")
+    fill = Window.partitionBy("depot_id", "week").orderBy(F.col("regret").desc(), "component_id").rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        live = checkpoint(slots.join(F.broadcast(room), ["depot_id", "week"]).where("hours <= room"), f"slots{k}")  # room only shrinks: the others are lost for good
         bids = live.withColumns({"n": F.row_number().over(w), "next": F.lead("cost").over(w)}).where("n = 1").withColumn("regret", F.coalesce("next", F.lit(1e6)) - F.col("cost"))
-        fill = Window.partitionBy("depot_id", "week").orderBy(F.col("regret").desc(), "component_id").rowsBetween(Window.unboundedPreceding, 0)
-        won = bids.withColumn("sum", F.sum("hours").over(fill)).where("sum <= room").select("component_id", "depot_id", "week", "cost", "hours")
-        won = checkpoint(won, f"bids{k}")
+        won = checkpoint(bids.withColumn("sum", F.sum("hours").over(fill)).where("sum <= room").select("component_id", "depot_id", "week", "cost", "hours"), f"bids{k}")
         taken = won if taken is None else taken.unionByName(won)
-        slots = slots.join(won.select("component_id"), "component_id", "left_anti")
+        if won.isEmpty():
+            break
+        slots = live.drop("room").join(won.select("component_id"), "component_id", "left_anti")
         used = won.groupBy("depot_id", "week").agg(F.sum("hours").alias("u"))
-        room = room.join(used, ["depot_id", "week"], "left").select("depot_id", "week", (F.col("room") - F.coalesce("u", F.lit(0.0))).alias("room"))
+        room = checkpoint(room.join(used, ["depot_id", "week"], "left").select("depot_id", "week", (F.col("room") - F.coalesce("u", F.lit(0.0))).alias("room")), f"room{k}")
+        k += 1
+    taken = checkpoint(taken, "taken")
     rest = candidates.where("depot_id is null").join(taken.select("component_id"), "component_id", "left_anti").select("component_id", "depot_id", "week", "cost", "hours")
     return taken.unionByName(rest)
 
