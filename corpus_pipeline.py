@@ -17,8 +17,13 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+def _with_rows(docs: DataFrame) -> DataFrame:
+    """docs with an id of each row, written: ids of documents may be null or come again."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    return rows.join(kept.select("_row"), "_row", "left_semi").drop("_row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +34,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base and no rule rejects."""
-    return _keep(docs, quality.quality(docs, _labels(spark, sf_dir)).where("kept"))
+    rows = _with_rows(docs)
+    return _keep(rows, quality.quality(rows, _labels(spark, sf_dir), row_col="_row").where("kept")).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies; of repeated rows of an id, one."""
-    return _keep(docs, ngram_join.ngram_components(docs).where("doc_id = component_id")).dropDuplicates(["doc_id"])
+    """The row of smallest id (a null is the largest) of each group of near copies; of repeated rows without words, one."""
+    rows = _with_rows(docs)
+    linked = ngram_join.ngram_components(rows, "_row").select("_row", "n_shingles", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
+    kept = rows.select("_row", "doc_id").join(linked.where("n_shingles > 0"), "_row").groupBy("component_id").agg(first)
+    empty = rows.select("_row", "doc_id", "text").join(linked.where("n_shingles = 0").select("_row"), "_row").groupBy("doc_id", "text", F.when(F.col("doc_id").isNull(), F.col("_row"))).agg(first)
+    return _keep(rows, kept.select("first._row").union(empty.select("first._row"))).select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -272,6 +272,13 @@ def test_join_of_many_near_copies(spark):
     assert found(ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"))) == components(rows)
 
 
+def test_null_ids_link_with_nothing(spark):
+    same = "a b c d e f g h"
+    df = spark.createDataFrame([(1, same), (None, same), (None, same), (2, same), (None, None), (3, "a b")], "doc_id long, text string")
+    out = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df).collect())
+    assert out == Counter([(1, 4, 1), (2, 4, 1), (3, 1, 3), (None, 4, None), (None, 4, None), (None, 0, None)])
+
+
 # 8. URLs
 
 

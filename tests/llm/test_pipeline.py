@@ -35,5 +35,20 @@ def test_clean_documents_stay(spark, sf_dir):
     assert lost <= 0.03 * passed.count()
 
 
+def test_null_and_repeated_ids(spark, sf_dir):
+    """Stages go by row: a null id is kept like another, and neither of two texts of one id decides on the other."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_poor(spark, docs.where("lang = 'en'"), sf_dir), sf_dir).orderBy("doc_id").limit(4).collect()
+    poor = {**good[0].asDict(), "text": "word " * 50}
+    odd = [{**good[0].asDict(), "doc_id": None}, good[1].asDict(), {**good[2].asDict(), "doc_id": good[1].doc_id}, {**poor, "doc_id": good[1].doc_id}, {**good[3].asDict(), "doc_id": None}, {**good[1].asDict(), "doc_id": None}]
+    odd = spark.createDataFrame(odd, docs.schema)
+    rest = docs.where(~F.col("text").isin([r.text for r in good]))
+    seen = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in df.collect() if r.text in {g.text for g in good} | {poor["text"]})
+    want = sorted([(True, 0, good[0].text), (False, good[1].doc_id, good[1].text), (False, good[1].doc_id, good[2].text), (True, 0, good[3].text)])
+    kept = corpus_pipeline.drop_poor(spark, rest.unionByName(odd), sf_dir)
+    assert seen(kept) == sorted([*want, (True, 0, good[1].text)])
+    assert seen(corpus_pipeline.drop_near_copies(spark, kept.where(F.col("text").isin([r.text for r in good])), sf_dir)) == want
+
+
 def test_rows_of_the_registered_query(spark, sf_dir):
     assert queries.pipeline(spark, sf_dir).where(F.col("length") > 0).count() > 0

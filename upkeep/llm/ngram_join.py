@@ -111,7 +111,7 @@ def _shingle_batches(id_col: str, text_col: str, width: int, parts: int):
         for batch in slices(batches, text_col):
             sets = shingle_sets(*text_bytes(batch.column(text_col)), width)
             for i, s in zip(batch.column(id_col).to_pylist(), sets, strict=True):
-                cls = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+                cls = _set_class(s)
                 docs.append((i, len(s), cls))
                 if len(s) > 2 and cls not in done:  # one or two shingles link with equal sets only
                     if len(done) < 1_000_000:
@@ -126,6 +126,21 @@ def _shingle_batches(id_col: str, text_col: str, width: int, parts: int):
     return run
 
 
+def _set_class(shingles: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _class_batches(width: int):
+    """(id, n, cls): size and class of each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [*shingle_sets(*text_bytes(batch.column("text")), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_class(s) for s in sets], pa.int64())], names=["id", "n", "cls"])
+
+    return run
+
+
 def _split(table: pa.Table) -> tuple[list[bytes], list[bytes]]:
     kind, blob = table.column("kind").to_pylist(), table.column("blob").to_pylist()
     return [b for k, b in zip(kind, blob, strict=True) if k == 1], [b for k, b in zip(kind, blob, strict=True) if k == 0]
@@ -317,12 +332,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     smallest id reachable by links, the document's own included.  Null and empty
     texts have no shingles and link with nothing.  A text with fewer words than
     ``width`` has its word sequence as its one shingle.  Repeated rows link with
-    each other and stay.  Ids are integers, not null.  Other columns are ignored.
+    each other and stay.  Ids are integers; a row with a null id links with nothing
+    and has no component.  Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     parts = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    alone = rows.where("id is null").mapInArrow(_class_batches(width), "id long, n long, cls long")
+    rows = rows.where("id is not null")
     runs = rows.mapInArrow(_shingle_batches("id", "text", width, parts), _RUNS_DDL)
     runs = runs.groupBy("p").applyInArrow(_shared_shingles(parts), _RUNS_DDL)
     both = materialize(runs.groupBy("p").applyInArrow(_survivors(percent), _OUT_DDL), "sets")
@@ -355,5 +373,6 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = first.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
     low = first.groupBy("comp").agg(F.min("first").alias("low"))
     of_class = first.join(low, "comp").select("cls", "low")
-    out = found.join(of_class, "cls", "left")
+    out = found.join(of_class, "cls", "left").select("doc_id", "n", "cls", "low")
+    out = out.union(alone.select("id", "n", "cls", F.lit(None).cast("long")))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("set_class"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))

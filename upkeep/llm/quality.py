@@ -169,14 +169,14 @@ def verdict(rules: list[Rule]) -> Column:
     return out
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """The statistics of every whole text, base_failed, rule (first that rejects, else 0) and kept.
 
     Null text counts as empty; such texts fail the base.  Labels other than 0 and 1
     and labels without a document are left out.  Repeated rows stay, other columns
-    are ignored.
+    are ignored, but ``row_col`` stays if given.
     """
-    stats = text_statistics(docs.select(id_col, F.col(text_col).alias("text"))).drop("text")
+    stats = text_statistics(docs.select(id_col, *([row_col] if row_col else []), F.col(text_col).alias("text"))).drop("text")
     stats = materialize(stats, "statistics")
     y = labels.where(F.col("quality").isin(0, 1)).select(id_col, (1 - F.col("quality")).cast("int").alias("bad"))
     rules = learn_rules(stats.where(~base_failed()).join(y, id_col), id_col)

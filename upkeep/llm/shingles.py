@@ -78,7 +78,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5, bits: int
     keep = _U((1 << bits) - 1)
     with np.errstate(over="ignore"):
         s = h.copy()
-        for j in range(1, width):
+        for j in range(1, min(width, len(h))):
             s[: len(h) - j] = mix(s[: len(h) - j] * _MIX[1]) + h[j:]
         s = mix(s) & keep
     out = []
