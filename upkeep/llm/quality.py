@@ -9,6 +9,7 @@ sees only counts by feature, bin and label.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,39 +31,60 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it and whatever Spark moves the expression into."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _windows(hashes: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(hashes) - 4), lambda i: F.xxhash64(*(F.element_at(hashes, i + k) for k in range(5))))
+
+
+def _covered(windows: Column) -> Column:
+    """Words in windows found twice or more: sorted, equal windows are neighbours; each adds what the one before has not covered."""
+
+    def twice(pairs: Column) -> Column:
+        near = lambda e, k: F.get(pairs, k)["h"] == e["h"]
+        marked = F.transform(pairs, lambda e, k: F.struct(e["i"].alias("i"), (F.coalesce(near(e, k - 1), F.lit(False)) | F.coalesce(near(e, k + 1), F.lit(False))).alias("twice")))
+        return F.array_sort(F.transform(F.filter(marked, lambda e: e["twice"]), lambda e: e["i"]))
+
+    def covered(places: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(-5).alias("last"))
+        return F.aggregate(places, start, lambda s, i: F.struct((s["total"] + F.least(F.lit(5), i - s["last"])).alias("total"), i.alias("last")), lambda s: s["total"])
+
+    pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return _let(pairs, lambda x: covered(twice(x)))
+
+
 def _repeat_words(hashes: Column) -> Column:
     """Words in 5-word windows found twice or more, from the array of word hashes."""
-    windows = F.transform(F.sequence(F.lit(1), F.size(hashes) - 4), lambda i: F.xxhash64(*(F.element_at(hashes, i + k) for k in range(5))))
-    return F.when(F.size(hashes) >= 5, windows)
+    several = lambda x: F.when(F.size(F.array_distinct(x)) < F.size(x), _covered(x)).otherwise(0)
+    return F.when(F.size(hashes) >= 5, _let(_windows(hashes), several)).otherwise(0).cast("long")
 
 
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the FEATURES (double)."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the FEATURES (double).
+
+    Null text has no words.  Arrays of words and lines are bound inside one expression,
+    so a filter on the statistics computes them once more at the most.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.withColumn("_t", text)
-    found = found.withColumn("_w", F.expr(r"transform(filter(split(_t, '[\\x20\\x09-\\x0D]+'), w -> w != ''), w -> xxhash64(w))"))
-    found = found.withColumn("_l", F.expr(r"filter(split(_t, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"))
-    found = found.withColumn("_n", F.size("_w").cast("long")).withColumn("_x", _repeat_words(F.col("_w")))
-    found = found.withColumn("_many", F.size(F.array_distinct("_x")) < F.size("_x"))
-    pairs = F.when(F.col("_many"), F.array_sort(F.transform("_x", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    found = found.withColumn("_s", pairs)
-    again = F.expr("array_sort(transform(filter(transform(_s, (e, k) -> struct(e.i as i, (k > 0 and _s[k - 1].h = e.h) or (k + 1 < size(_s) and _s[k + 1].h = e.h) as twice)), e -> e.twice), e -> e.i))")
-    found = found.withColumn("_a", again)
-    covered = F.expr("aggregate(_a, struct(0L as total, -5 as last), (s, i) -> struct(s.total + least(5, i - s.last) as total, i as last), s -> s.total)")
+    words = F.expr(r"transform(filter(split(_t, '[\\x20\\x09-\\x0D]+'), w -> w != ''), w -> xxhash64(w))")
+    lines = F.expr(r"filter(split(_t, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')")
+    of_words = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).alias("distinct"), _repeat_words(w).alias("again")))
+    of_lines = _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
+    found = docs.withColumn("_t", text).withColumns({"_w": of_words, "_l": of_lines})
     found = found.withColumns({
-        "n_words": F.col("_n"), "word_chars": _without(F.col("_t"), SPACE).cast("long"),
-        "n_symbols": (F.length("_t") - _without(F.col("_t"), SYMBOLS)).cast("long"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "n_repeat_words": F.when(F.col("_many"), covered).otherwise(F.lit(0)).cast("long"),
+        "n_words": F.col("_w.n"), "word_chars": _without(F.col("_t"), SPACE).cast("long"),
+        "n_symbols": (F.length("_t") - _without(F.col("_t"), SYMBOLS)).cast("long"), "n_dup_lines": F.col("_l.dup"), "n_repeat_words": F.col("_w.again"),
         "_upper": F.length("_t") - _without(F.col("_t"), UPPER), "_marks": F.length("_t") - _without(F.col("_t"), "!?"),
-        "_lines": F.size("_l"), "_distinct": F.size(F.array_distinct("_w")),
     })
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
+    n_words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     found = found.withColumns({
-        "mean_word": F.col("word_chars") / words, "symbol_share": F.col("n_symbols") / words, "upper_share": F.col("_upper") / chars, "mark_share": F.col("_marks") / words,
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("_lines"), F.lit(1)), "repeat_share": F.col("n_repeat_words") / words, "distinct_share": F.col("_distinct") / words,
+        "mean_word": F.col("word_chars") / n_words, "symbol_share": F.col("n_symbols") / n_words, "upper_share": F.col("_upper") / chars, "mark_share": F.col("_marks") / n_words,
+        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("_l.n"), F.lit(1)), "repeat_share": F.col("n_repeat_words") / n_words, "distinct_share": F.col("_w.distinct") / n_words,
     })
-    return found.drop("_t", "_w", "_l", "_n", "_x", "_many", "_s", "_a", "_upper", "_marks", "_lines", "_distinct")
+    return found.drop("_t", "_w", "_l", "_upper", "_marks")
 
 
 def base_failed() -> Column:
