@@ -1,12 +1,16 @@
 """Personal data: base patterns, and terms that the corpus shows to reveal protected entities.
 
-Information-theoretic sanitisation.  The entities are the values that the base
-patterns find.  All counts are of different whole texts, so copies of a document
-count once.  For each entity e and word t the corpus gives the number of texts
-that hold both, and for each such word the number that hold it.  A word reveals e
-if p(e | t), the one over the other, reaches ``disclosure`` and both stand in at
-least ``min_contexts`` different texts: then its pointwise mutual information with
-e is close to all that e holds.  Such words are protected wherever they stand.
+Information-theoretic sanitisation.  Protected are the values that the base
+patterns find, the kind of each value, and personal data as such.  A term is a
+word, or the shape (hexadecimal or not, and length) of a string with digits, since
+such strings hardly come twice; what a base span covers is no term.  All counts are
+of different whole texts, so copies of a document count once.  The corpus gives, for
+each protected c and term t, the number of texts that hold both and the number that
+hold t.  t discloses c to the degree p(c | t), so that its pointwise mutual
+information with c is log p(c | t) - log p(c), of the -log p(c) that c holds.  Terms
+that reach ``disclosure`` are generalised, those that reach ``removal`` are removed,
+wherever they stand.  Evidence on one value needs ``min_texts`` different texts,
+evidence on a kind, which many documents hold, ``min_class_texts``.
 """
 
 from __future__ import annotations
@@ -29,9 +33,15 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"(?<![0-9])[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "term", "hint")
 
-TERM = re.compile(r"[^\W\d_]{3,}")
-DISCLOSURE, MIN_CONTEXTS = 0.5, 3
+CLASSES = (*KINDS, "any")  # protected as such: ids 0 to 4 among the entities
+
+TERM = re.compile(r"\w{3,}")
+HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+DIGIT = re.compile(r"\d")
+DISCLOSURE, REMOVAL = 0.5, 0.7
+MIN_TEXTS, MIN_CLASS_TEXTS = 3, 8
 BROADCAST_TERMS = 1_000_000
 FLUSH = 300_000
 
@@ -80,70 +90,101 @@ def _distinct_texts(texts: DataFrame, broadcast_terms: int) -> DataFrame:
     return keyed.join(again, "key", "left_anti").select("text").unionByName(copies)
 
 
-def _entities(text: str) -> set[int]:
-    return {term_hash(f"{kind}:{text[a:b].lower()}") for a, b, kind in base_spans(text)}
+def term_of(word: str) -> str:
+    """A word in lower case; a string with digits as its shape."""
+    if not DIGIT.search(word):
+        return word.lower()
+    return f"#{'d' if word.isdecimal() else 'x' if HEX.fullmatch(word) else 'w'}{len(word)}"
+
+
+def _value(text: str, span: tuple[int, int, str]) -> str:
+    return f"{span[2]}:{text[span[0] : span[1]].lower()}"
+
+
+def _terms(text: str, spans: list[tuple[int, int, str]]) -> set[str]:
+    """The different terms outside the base spans."""
+    for a, b, _ in spans:
+        text = text[:a] + " " * (b - a) + text[b:]
+    return {term_of(w) for w in {*TERM.findall(text)}}
+
+
+def _with_entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts that hold a base span."""
+    for batch in slices(batches, "text"):
+        yield batch.filter(pa.array([bool(base_spans(t)) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+
+def _sums(total: dict, names: list[str]) -> pa.RecordBatch:
+    """A dict of counts by key (a number or a tuple of them) as a batch, and the dict emptied."""
+    keys = [k if isinstance(k, tuple) else (k,) for k in total]
+    columns = [[k[i] for k in keys] for i in range(len(names) - 1)]
+    out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*columns, [*total.values()])], names=names)
+    total.clear()
+    return out
 
 
 def _entity_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number of texts by entity, in parts to be summed."""
+    """Number of texts by value, in parts to be summed."""
     total: dict[int, int] = {}
-    for batch in slices(batches, "text"):
+    for batch in batches:
         for t in batch.column("text").to_pylist():
-            for e in _entities(t):
+            for e in {term_hash(_value(t, s)) for s in base_spans(t)}:
                 total[e] = total.get(e, 0) + 1
         if len(total) > FLUSH:
-            yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([*total.values()], pa.int64())], names=["entity", "n"])
-            total.clear()
-    yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([*total.values()], pa.int64())], names=["entity", "n"])
+            yield _sums(total, ["entity", "n"])
+    yield _sums(total, ["entity", "n"])
 
 
 def _pair_counts(wanted: np.ndarray | None):
-    """Number of texts by entity (of the wanted, if given) and word of the same text, in parts to be summed."""
+    """Number of texts by protected class or value (of the wanted, if given) and term, in parts to be summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if wanted is None else {int(x) for x in wanted}
         total: dict[tuple[int, int], int] = {}
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int64()), pa.array([k[1] for k in total], pa.int64()), pa.array([*total.values()], pa.int64())], names=["entity", "term", "n"])
-            total.clear()
-            return out
-
-        for batch in slices(batches, "text"):
+        for batch in batches:
             for t in batch.column("text").to_pylist():
-                found = _entities(t) if known is None else _entities(t) & known
-                words = [term_hash(w) for w in _terms(t)] if found else ()
-                for e in found:
-                    for w in words:
+                spans = base_spans(t)
+                values = {term_hash(_value(t, s)) for s in spans}
+                found = [*(values if known is None else values & known), *{CLASSES.index(k) for _, _, k in spans}, CLASSES.index("any")]
+                for w in [term_hash(w) for w in _terms(t, spans)]:
+                    for e in found:
                         total[e, w] = total.get((e, w), 0) + 1
-                    if len(total) > FLUSH:
-                        yield flush()
-        yield flush()
+                if len(total) > FLUSH:
+                    yield _sums(total, ["entity", "term", "n"])
+        yield _sums(total, ["entity", "term", "n"])
 
     return run
 
 
-def _terms(text: str) -> set[str]:
-    return {w.lower() for w in {*TERM.findall(text)}}
+class _Known:
+    """Whether words are among known terms, by hash; remembers words of a bounded number."""
+
+    def __init__(self, terms: dict[int, float]):
+        self.terms, self.names = terms, {}
+
+    def get(self, word: str) -> int:
+        """The term's hash, or 0."""
+        if (h := self.names.get(word)) is None:
+            if len(self.names) > 300_000:
+                self.names.clear()
+            h = term_hash(term_of(word))
+            h = self.names[word] = h if h in self.terms else 0
+        return h
 
 
 def _document_counts(wanted: np.ndarray):
     """Number of texts by wanted term, summed over each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
-        known, total = {int(w) for w in wanted}, {}
+        known, total = _Known(dict.fromkeys(wanted.tolist(), 0.0)), {}
         for batch in slices(batches, "text"):
             for t in batch.column("text").to_pylist():
-                for w in _terms(t) if t else ():
-                    if (h := names.get(w)) is None:
-                        if len(names) > 300_000:
-                            names.clear()
-                        h = term_hash(w)
-                        h = names[w] = h if h in known else 0
-                    if h:
-                        total[h] = total.get(h, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([*total.values()], pa.int64())], names=["term", "docs"])
+                found = {h for w in {*TERM.findall(t)} if (h := known.get(w))}
+                if found and (spans := base_spans(t)):  # what base spans cover is no term
+                    found &= {term_hash(w) for w in _terms(t, spans)}
+                for h in found:
+                    total[h] = total.get(h, 0) + 1
+        yield _sums(total, ["term", "docs"])
 
     return run
 
@@ -151,36 +192,35 @@ def _document_counts(wanted: np.ndarray):
 def _all_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, term) of each document's different terms: the way without a broadcast."""
     for batch in slices(batches, "text"):
-        rows = [(i, term_hash(w)) for i, t in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for w in _terms(t)]
+        rows = [(i, term_hash(w)) for i, t in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True) if t for w in _terms(t, base_spans(t))]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["row", "term"])
 
 
-def revealing_terms(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """(term hash, reveals): the words over the disclosure threshold, over all documents."""
+def revealing_terms(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS, min_class_texts: int = MIN_CLASS_TEXTS, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """(term hash, reveals): the terms over the disclosure threshold, over all documents."""
     small_batches(docs.sparkSession)
     texts = _distinct_texts(docs.select(F.col(text_col).alias("text")), broadcast_terms)
-    often = texts.mapInArrow(_entity_counts, "entity long, n long").groupBy("entity").agg(F.sum("n").alias("n")).where(F.col("n") >= min_contexts).select("entity")
+    held = materialize(texts.mapInArrow(_with_entities, "text string"), "held")
+    often = held.mapInArrow(_entity_counts, "entity long, n long").groupBy("entity").agg(F.sum("n").alias("n")).where(F.col("n") >= min_texts).select("entity")
     often = materialize(often, "entities")
     wanted = often.toArrow().column("entity").to_numpy() if often.count() <= broadcast_terms else None
-    near = texts.mapInArrow(_pair_counts(wanted), "entity long, term long, n long") if wanted is None or len(wanted) else often.select("entity", F.lit(0).cast("long").alias("term"), F.lit(0).cast("long").alias("n"))
-    near = materialize(near.groupBy("entity", "term").agg(F.sum("n").alias("both")).where(F.col("both") >= min_contexts), "near")
-    terms = near.select("term").distinct()
-    if terms.count() <= broadcast_terms:
-        wanted = terms.toArrow().column("term").to_numpy()
-        counts = texts.mapInArrow(_document_counts(wanted), "term long, docs long") if len(wanted) else near.select("term", F.lit(0).cast("long").alias("docs")).limit(0)
+    near = held.mapInArrow(_pair_counts(wanted), "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("both"))
+    near = near.where(F.col("both") >= F.when(F.col("entity").between(0, len(CLASSES) - 1), min_class_texts).otherwise(min_texts))
+    near = materialize(near.groupBy("term").agg(F.max("both").alias("both")), "near")  # one term has one count of documents: the largest decides
+    if near.count() <= broadcast_terms:
+        counts = texts.mapInArrow(_document_counts(near.select("term").toArrow().column("term").to_numpy()), "term long, docs long")
         counts = counts.groupBy("term").agg(F.sum("docs").alias("docs"))
     else:
         rows = texts.withColumn("row", F.monotonically_increasing_id()).select("row", "text")
-        counts = rows.mapInArrow(_all_terms, "row long, term long").join(terms, "term").groupBy("term").agg(F.count("*").alias("docs"))
-    return near.join(counts, "term").withColumn("share", F.col("both") / F.col("docs")).where(F.col("share") >= disclosure).groupBy("term").agg(F.max("share").alias("reveals"))
+        counts = rows.mapInArrow(_all_terms, "row long, term long").join(near.select("term"), "term").groupBy("term").agg(F.count("*").alias("docs"))
+    return near.join(counts, "term").select("term", (F.col("both") / F.col("docs")).alias("reveals")).where(F.col("reveals") >= disclosure)
 
 
-def _span_rows(protected: np.ndarray | None):
-    """The span columns for batches of (id, text[, terms]); terms: the row's own protected terms, if ``protected`` is None."""
+def _span_rows(protected: dict[int, float] | None, removal: float):
+    """The span columns for batches of (id, text[, terms]); terms: the row's own revealing terms, if ``protected`` is None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {int(x) for x in protected} if protected is not None else set()
-        names: dict[str, bool] = {}
+        known = _Known(protected or {})
         for batch in slices(batches, "text"):
             counts, digest, spans, clean = [], [], [], []
             own = batch.column("terms").to_pylist() if protected is None else [None] * batch.num_rows
@@ -188,19 +228,13 @@ def _span_rows(protected: np.ndarray | None):
                 t = t or ""
                 base = base_spans(t)
                 every = [*base]
-                secret = known if protected is not None else {*(mine or ())}
-                if secret:
+                if protected is None:
+                    known = _Known({x["term"]: x["reveals"] for x in mine or ()})
+                if known.terms:
                     for m in TERM.finditer(t):
-                        w = m[0].lower()
-                        if protected is None:
-                            hit = term_hash(w) in secret
-                        elif (hit := names.get(w)) is None:
-                            if len(names) > 300_000:
-                                names.clear()
-                            hit = names[w] = term_hash(w) in secret
-                        if hit and not any(a < m.end() and m.start() < b for a, b, _ in base):
-                            every.append((m.start(), m.end(), "term"))
-                every.sort(key=lambda s: (s[0], (*KINDS, "term").index(s[2])))
+                        if (h := known.get(m[0])) and not any(a < m.end() and m.start() < b for a, b, _ in base):
+                            every.append((m.start(), m.end(), "term" if known.terms[h] >= removal else "hint"))
+                every.sort(key=lambda s: (s[0], ALL_KINDS.index(s[2])))
                 counts.append([sum(k == kind for _, _, k in base) for kind in KINDS])
                 digest.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                 spans.append(_joined(every))
@@ -211,47 +245,57 @@ def _span_rows(protected: np.ndarray | None):
     return run
 
 
+def generalised(word: str) -> str:
+    """What kind of string a term is: a name if it begins in upper case, a word, a number or a code."""
+    if DIGIT.search(word):
+        return "[NUMBER]" if word.isdecimal() else "[CODE]"
+    return "[NAME]" if word[0].isupper() else "[WORD]"
+
+
 def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
 def sanitise(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """Each span as its kind in brackets; of overlapping spans the union, as the first one's kind."""
+    """Each span as its kind in brackets, a ``hint`` as what it generalises to; of overlapping spans the union, as the first one's kind."""
     out, at = [], 0
     for a, b, kind in spans:
         if a >= at:
-            out += (text[at:a], f"[{kind.upper()}]")
+            out += (text[at:a], generalised(text[a:b]) if kind == "hint" else f"[{kind.upper()}]")
         at = max(at, b)
     return "".join([*out, text[at:]])
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, removal: float = REMOVAL, min_texts: int = MIN_TEXTS, min_class_texts: int = MIN_CLASS_TEXTS, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, clean_text) of every whole text.
 
-    spans: the base kinds and ``term`` (which never overlaps a base span), as
-    kind:start:end in code points, by start, then kind.  clean_text has each span
-    replaced by its kind.  Null text counts as empty.  Repeated rows and other
-    copies of a text stay and count once as evidence; other columns are ignored.  Revealing
-    words are broadcast only up to ``broadcast_terms``; beyond, they are joined.
+    spans: the base kinds, ``term`` (removed) and ``hint`` (generalised), neither of
+    which overlaps a base span, as kind:start:end in code points, by start, then kind.
+    clean_text has each span replaced.  Null text counts as empty.  Repeated rows and
+    other copies of a text stay and count once as evidence; other columns are ignored.
+    Revealing terms are broadcast only up to ``broadcast_terms``; beyond, they are joined.
     """
     small_batches(docs.sparkSession)
-    terms = materialize(revealing_terms(docs, text_col, disclosure, min_contexts, broadcast_terms), "terms")
+    terms = materialize(revealing_terms(docs, text_col, disclosure, min_texts, min_class_texts, broadcast_terms), "terms")
     kind = docs.schema[id_col].dataType.simpleString()
     out = f"id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, clean_text string"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if terms.count() <= broadcast_terms:
-        found = rows.mapInArrow(_span_rows(terms.select("term").toArrow().column("term").to_numpy()), out)
+        known = terms.toArrow()
+        found = rows.mapInArrow(_span_rows(dict(zip(known.column("term").to_pylist(), known.column("reveals").to_pylist(), strict=True)), removal), out)
     else:
         rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-        hits = rows.select("row", "text").mapInArrow(_all_terms, "row long, term long").join(terms.select("term"), "term").groupBy("row").agg(F.collect_set("term").alias("terms"))
-        found = rows.join(hits, "row", "left").select("id", "text", "terms").mapInArrow(_span_rows(None), out)
+        hits = rows.select("row", "text").mapInArrow(_all_terms, "row long, term long").join(terms, "term").groupBy("row").agg(F.collect_set(F.struct("term", "reveals")).alias("terms"))
+        found = rows.join(hits, "row", "left").select("id", "text", "terms").mapInArrow(_span_rows(None, removal), out)
     return found.withColumnRenamed("id", id_col)
 
 
-def mask(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """docs with each text's personal data replaced by its kind; null text stays null.  Rows, columns and their order stay."""
-    key, text = "_row", docs.schema[text_col].name
-    rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "mask")
-    clean = personal_data(rows, key, text_col, disclosure, min_contexts).select(key, "clean_text", "spans")
-    out = rows.join(clean.where("spans != ''").select(key, "clean_text"), key, "left")
-    return out.withColumn(text, F.coalesce("clean_text", text)).select(docs.columns)
+def mask(docs: DataFrame, text_col: str = "text", **thresholds) -> DataFrame:
+    """docs with each text's personal data replaced; null text stays null.  Rows, columns and their order stay, whatever the columns' names."""
+    text = docs.schema[text_col].name
+    names = [f"_{k}" for k in range(len(docs.columns))]
+    rows = materialize(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "mask")
+    at = names[docs.columns.index(text)]
+    clean = personal_data(rows, "row", at, **thresholds).where("spans != ''").select("row", "clean_text")
+    out = rows.join(clean, "row", "left").withColumn(at, F.coalesce("clean_text", at))
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
