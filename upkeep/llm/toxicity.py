@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 from upkeep.llm.common import slices, small_batches
 
 _U = np.uint64
-BITS, LENGTHS, CHUNK = 20, (4, 5, 6), 4096
+BITS, LENGTHS = 20, (4, 5, 6)
+MIN_TEXTS = 5
 FEATURES = 4096
 SAMPLE_ROWS = 20_000
 BROADCAST_LABELS = 2_000_000
@@ -57,21 +58,22 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document frequencies by label, as chunks of the feature space."""
+    """Document frequencies by label of the features that the task has seen, in parts to be summed."""
     total = np.zeros((2, 1 << BITS), np.int64)
     for batch in slices(batches, "text"):
         label = np.array(batch.column("label").to_pylist(), np.int64)
         pairs = np.unique(np.concatenate([own << BITS | f for own, f in grams(_texts(batch))] or [np.zeros(0, np.int64)]))
         for y in (0, 1):
             total[y] += np.bincount(pairs[label[pairs >> BITS] == y] & ((1 << BITS) - 1), minlength=1 << BITS)
-    chunks = [(k, total[:, k * CHUNK : (k + 1) * CHUNK].tobytes()) for k in range((1 << BITS) // CHUNK)]
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in chunks], pa.int32()), pa.array([b for _, b in chunks], pa.binary())], names=["chunk", "counts"])
+    for at in range(0, 1 << BITS, 1 << 16):
+        there = at + np.flatnonzero(total[:, at : at + (1 << 16)].any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[0, there]), pa.array(total[1, there])], names=["feature", "negative", "positive"])
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(b, np.int64).reshape(2, CHUNK) for b in table.column("counts").to_pylist())
-    there = np.flatnonzero(total.sum(axis=0) >= 5)
-    return pa.table({"feature": pa.array(there + int(table.column("chunk")[0].as_py()) * CHUNK, pa.int64()), "negative": total[0, there], "positive": total[1, there]})
+def ngram_counts(train: DataFrame) -> DataFrame:
+    """(feature, negative, positive): texts of each label that hold a hashed n-gram, over all rows (text, label 0 or 1)."""
+    parts = train.select("text", "label").mapInArrow(_count, "feature int, negative long, positive long")
+    return parts.groupBy("feature").agg(F.sum("negative").alias("negative"), F.sum("positive").alias("positive"))
 
 
 @dataclass(frozen=True)
@@ -84,17 +86,17 @@ class ToxicityModel:
 
 
 def _present(features: np.ndarray):
-    """For each labelled text, its distinct features among ``features`` (as indexes)."""
+    """For each labelled text, which of ``features`` it holds, one bit each: the driver gets so many bytes a row and no more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.full(1 << BITS, -1, np.int32)
         at[features] = np.arange(len(features))
         for batch in slices(batches, "text"):
-            pairs = [own[at[f] >= 0] << BITS | at[f[at[f] >= 0]] for own, f in grams(_texts(batch))]
-            pairs = np.unique(np.concatenate(pairs or [np.zeros(0, np.int64)]))
-            cut = np.searchsorted(pairs >> BITS, np.arange(batch.num_rows + 1))
-            ids = (pairs & ((1 << BITS) - 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids))], names=["label", "ids"])
+            held = np.zeros((batch.num_rows, len(features)), bool)
+            for own, f in grams(_texts(batch)):
+                held[own[at[f] >= 0], at[f[at[f] >= 0]]] = True
+            bits = np.packbits(held, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([r.tobytes() for r in bits], pa.binary())], names=["label", "bits"])
 
     return run
 
@@ -128,16 +130,16 @@ def train_toxicity(train: DataFrame, sample_rows: int = SAMPLE_ROWS, features: i
     neg, pos = size.get(0, 0), size.get(1, 0)
     if not pos or not neg:
         return ToxicityModel(float(np.log((pos + 0.5) / (neg + 0.5))), np.zeros(0, np.int64), np.zeros(0))
-    counts = train.select("text", "label").mapInArrow(_count, "chunk int, counts binary").groupBy("chunk").applyInArrow(_sum, "feature long, negative long, positive long")
+    counts = ngram_counts(train).where(F.col("negative") + F.col("positive") >= MIN_TEXTS)
     ratio = F.log((F.col("positive") + 1) / (pos + 2)) - F.log((F.col("negative") + 1) / (neg + 2))
     counts = counts.withColumn("ratio", ratio).orderBy((F.abs("ratio") * F.sqrt(F.col("positive") + F.col("negative") * (pos / neg))).desc(), "feature").limit(features)
     kept = counts.select("feature", "ratio").collect()
     chosen, r = np.array([x.feature for x in kept], np.int64), np.array([x.ratio for x in kept], float)
     rows = train if pos + neg <= sample_rows else train.join(F.broadcast(train.select("id").orderBy(F.xxhash64("id"), "id").limit(sample_rows).distinct()), "id", "left_semi")
-    found = rows.select("text", "label").mapInArrow(_present(chosen), "label int, ids array<int>").toArrow()
-    ids = found.column("ids").combine_chunks()
-    own = np.repeat(np.arange(len(ids)), np.diff(ids.offsets.to_numpy()))
-    bias, weights = _fit(found.column("label").to_numpy().astype(float), own, ids.values.to_numpy(), r)
+    found = rows.select("text", "label").mapInArrow(_present(chosen), "label int, bits binary").toArrow()
+    bits = np.frombuffer(b"".join(found.column("bits").to_pylist()), np.uint8).reshape(len(found), -1)
+    own, ids = (np.concatenate(x).astype(np.int32) for x in zip(*([o + at, i] for at in range(0, max(1, len(bits)), 1024) for o, i in [np.nonzero(np.unpackbits(bits[at : at + 1024], axis=1, count=len(chosen)))]), strict=True))
+    bias, weights = _fit(found.column("label").to_numpy().astype(float), own, ids, r)
     used = weights != 0
     return ToxicityModel(bias, chosen[used], weights[used])
 
