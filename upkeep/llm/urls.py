@@ -1,84 +1,92 @@
 """URL filters: a bit-parallel wildcard automaton over canonical URLs, under explicit host and path rules.
 
-Glob rules (``*``: any run, ``?``: any character) are packed into one multiword
-Shift-And automaton.  A bit stands for a position of a rule; a step shifts all
-positions at once, keeps those that the character allows, and keeps a position
-that a ``*`` follows.  The URLs of a batch take their steps together.
+Glob rules (``**``: any run, ``*``: any run without a slash, ``?``: any character
+but a slash) are packed into one multiword Shift-And automaton.  A bit stands for a
+position of a rule, the first for its start; a step shifts all positions at once,
+keeps those that the character allows, and lets a position stay that a run follows.
+The URLs of a batch take their steps together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from upkeep.llm.common import small_batches
 
-# Host labels that mark unwanted sites, as globs over canonical URLs.
-BLOCKED_GLOBS = (
-    "*://*casino*/*", "*://*free-bets*/*", "*://*cheap-pills*/*", "*://*adult-*/*", "*://*spam-farm*/*", "*://*.porn*/*", "*://*xxx-*/*", "*://*viagra*/*", "*://*malware*/*", "*://*phishing*/*", "*://*warez*/*", "*://*betting-*/*", "*://*payday-loan*/*",
+#: Words in a host, or as a path's folder, that mark unwanted sites.
+BLOCKED_WORDS = (
+    "casino", "poker", "roulette", "jackpot", "slot-machine", "sports-bet", "free-bets", "betting", "lottery-winner", "cheap-pills", "viagra", "cialis", "diet-pills", "no-prescription", "replica-watch", "payday-loan", "quick-loan",
+    "adult-", "xxx-", "porn", "escort", "camgirl", "nude", "hookup", "spam-farm", "link-farm", "malware", "phishing", "keylogger", "ransomware", "warez", "keygen", "torrent", "cracked-", "free-robux", "click-fraud", "paywall-bypass",
 )
+#: Advertising and tracking hosts, files that hold no text, pages made by software.
+BLOCKED_PLACES = (
+    "url://ads.*/**", "url://*.ads.*/**", "url://adserver.*/**", "url://*.doubleclick.*/**", "url://track.*/**", "url://*.track.*/**", "url://pixel.*/**", "url://*/**.exe/", "url://*/**.dll/", "url://*/**.apk/", "url://*/**.iso/", "url://*/**.zip/",
+    "url://*/**.rar/", "url://*/**.mp3/", "url://*/**.mp4/", "url://*/**.jpg/", "url://*/**.jpeg/", "url://*/**.png/", "url://*/**.gif/", )
+BLOCKED_FOLDERS = (*(w.strip("-") for w in BLOCKED_WORDS), "wp-login.php", "wp-admin", "cgi-bin", "xmlrpc.php")
+BLOCKED_GLOBS = (*(f"url://*{w}*/**" for w in BLOCKED_WORDS), *(f"url://*/{at}{w}/**" for w in BLOCKED_FOLDERS for at in ("", "**/")), *BLOCKED_PLACES)
+
+
+def _positions(glob: str) -> list[tuple[str, str]]:
+    """Characters of a glob, a start of no character first, each with the run (``*``, ``**`` or none) that follows."""
+    out = [("", "")]
+    for x in re.findall(r"\*+|[^*]", glob):
+        if x[0] == "*":
+            out[-1] = (out[-1][0], "**" if len(x) > 1 else "*")
+        else:
+            out.append((x, ""))
+    return out
 
 
 class GlobAutomaton:
-    """All rules at once; characters above U+00FF share a class that only ? and * match."""
+    """All rules at once.  Rule ``k`` ends at bit ``final[k]``."""
 
     def __init__(self, globs: tuple[str, ...]):
-        bits: list[tuple[str, bool, bool, bool]] = []  # character, first, looping, final
-        self.final: list[tuple[int, int]] = []  # bit, rule
-        self.always = [k for k, g in enumerate(globs) if g and not g.strip("*")]
-        self.empty = [k for k, g in enumerate(globs) if not g]
-        self.lead: list[int] = []
-        for k, g in enumerate(globs):
-            core = [c for c in g if c != "*"]
-            if not core:
-                continue
-            start, i = len(bits), 0
-            while i < len(g) and g[i] == "*":
-                i += 1
-            if i:
-                self.lead.append(start)
-            for c in core:
-                i = g.index(c, i) + 1
-                bits.append((c, len(bits) == start, i < len(g) and g[i] == "*", False))
-            self.final.append((len(bits) - 1, k))
+        bits = [(c, run, at == 0) for g in globs for at, (c, run) in enumerate(_positions(g))]
+        self.final = np.cumsum([len(_positions(g)) for g in globs], dtype=int) - 1
         self.words = max(1, -(-len(bits) // 64))
-        one = lambda at: sum((1 << b for b in at), 0)
-        pack = lambda x: np.array([(x >> (64 * w)) & 0xFFFFFFFFFFFFFFFF for w in range(self.words)], np.uint64)
-        self.first = pack(one(b for b, x in enumerate(bits) if x[1]))
-        self.leading = pack(one(self.lead))
-        self.loop = pack(one(b for b, x in enumerate(bits) if x[2]))
-        wild = one(b for b, x in enumerate(bits) if x[0] == "?")
-        self.masks = np.stack([pack(wild | one(b for b, x in enumerate(bits) if x[0] == chr(c))) for c in range(256)] + [pack(wild)])
-        self.rules = len(globs)
+        self.known = np.array(sorted({ord(c) for c, _, _ in bits if c and c != "?"} | {ord("/")}), np.uint32)
+
+        def pack(holds: Callable[[str, str, bool], bool]) -> np.ndarray:
+            x = sum((1 << b for b, bit in enumerate(bits) if holds(*bit)), 0)
+            return np.array([(x >> (64 * w)) & 0xFFFFFFFFFFFFFFFF for w in range(self.words)], np.uint64)
+
+        self.start = pack(lambda c, run, first: first)
+        self.masks = np.stack([pack(lambda c, run, first, k=k: c == chr(k) or c == "?" and k != ord("/")) for k in self.known] + [pack(lambda c, run, first: c == "?")])
+        runs = pack(lambda c, run, first: run != "")
+        self.stay = np.stack([pack(lambda c, run, first: run == "**") if k == ord("/") else runs for k in self.known] + [runs])
 
     def matches(self, texts: list[str]) -> np.ndarray:
         """texts x rules: whether the whole text fits the rule."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        size = np.array([len(texts[i]) for i in order])
-        state = np.zeros((len(texts), self.words), np.uint64)
-        longest = int(size[0]) if len(size) else 0
-        codes = np.minimum(np.frombuffer("".join(texts[i] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32), 256)
-        at = np.concatenate(([0], np.cumsum(size)))[:-1]
-        for step in range(longest):
+        size = np.array([len(texts[i]) for i in order], int)
+        state = np.tile(self.start, (len(texts), 1))
+        codes = np.frombuffer("".join(texts[i] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = np.searchsorted(self.known, codes)
+        kind[self.known[np.minimum(kind, len(self.known) - 1)] != codes] = len(self.known)  # a character of no rule
+        at = np.concatenate(([0], np.cumsum(size)))[:-1].astype(int)
+        for step in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(-size, -step))  # those longer than step come first
-            now = state[:live]
+            now, c = state[:live], kind[at[:live] + step]
             moved = now << np.uint64(1)
             moved[:, 1:] |= now[:, :-1] >> np.uint64(63)
-            moved = moved & ~self.first | (self.first if step == 0 else self.leading)
-            state[:live] = moved & self.masks[codes[at[:live] + step]] | now & self.loop
-        out = np.zeros((len(texts), self.rules), bool)
-        for bit, rule in self.final:
-            out[order, rule] = (state[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)
-        out[:, self.always] = True
-        for rule in self.empty:
-            out[order, rule] = size == 0
+            state[:live] = moved & ~self.start & self.masks[c] | now & self.stay[c]
+        out = np.zeros((len(texts), len(self.final)), bool)
+        out[order] = (state[:, self.final // 64] >> (self.final % 64).astype(np.uint64)) & np.uint64(1)
         return out
 
 
+def read_globs(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Rules from a text file, one a line; blank lines and those that start with # are none.  A rule list is small: it goes to the driver."""
+    lines = spark.read.text(path).where("trim(value) != '' and not startswith(trim(value), '#')")
+    return tuple(r[0].strip() for r in lines.collect())
+
+
 def host(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty without ://."""
     rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
@@ -108,15 +116,17 @@ def longest_rule(url_host: Column, url_path: Column, rules: list[tuple[str, str]
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], globs: tuple[str, ...] = BLOCKED_GLOBS, url_col: str = "url") -> DataFrame:
-    """pages' rows with host, path, rule, glob and verdict (allow or block) added; columns of these names give way.
+    """pages' rows with host, path, rule, glob and verdict (allow or block) added; columns of these names give way, all others stay.
 
     The longest fitting rule decides; else the first glob that fits the canonical
     URL blocks.  A null url or one without :// has an empty host and path, fits no
-    rule and is allowed.  Repeated rows stay.
+    rule and is allowed.  Repeated rows stay.  A batch takes as many steps as its
+    longest URL has characters.
     """
     small_batches(pages.sparkSession, 4096)
-    found = pages.withColumn("_host", host(F.col(url_col))).withColumn("_path", path(F.col(url_col)))
-    found = found.withColumn("_canonical", canonical(F.col("_host"), F.col("_path")))
+    made = ("host", "path", "rule", "glob", "verdict")
+    kept = [F.col(f"`{c}`") for c in pages.columns if c not in made]
+    parts = F.struct(host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = GlobAutomaton(globs)
@@ -125,8 +135,10 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], globs: tuple[str
             some = hit.any(axis=1)
             yield pa.array([globs[k] if s else None for s, k in zip(some.tolist(), hit.argmax(axis=1).tolist(), strict=True)], pa.string())
 
-    glob = F.arrow_udf(run, "string") if globs else None
-    found = found.withColumn("glob", glob(F.col("_canonical")) if globs else F.lit(None).cast("string"))
-    rule, verdict = longest_rule(F.col("_host"), F.col("_path"), rules)
-    found = found.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("glob").isNotNull(), "block").otherwise("allow")))
-    return found.withColumn("host", F.col("_host")).withColumn("path", F.col("_path")).drop("_host", "_path", "_canonical")
+    found = pages.select(*kept, parts.alias("path"))
+    site, tail = F.col("path.host"), F.col("path.path")
+    glob = F.arrow_udf(run, "string")(canonical(site, tail)) if globs else F.lit(None).cast("string")
+    rule, verdict = longest_rule(site, tail, rules)
+    found = found.select(*kept, "path", glob.alias("glob"), rule.alias("rule"), verdict.alias("verdict"))
+    verdict = F.coalesce("verdict", F.when(F.col("glob").isNotNull(), "block").otherwise("allow"))
+    return found.select(*kept, site.alias("host"), tail.alias("path"), "rule", "glob", verdict.alias("verdict"))
