@@ -33,6 +33,11 @@ def _prefix(depth: int, column: str = "_h") -> Column:
     return F.shiftrightunsigned(column, 64 - depth) if depth else F.lit(0).cast("long")
 
 
+def key_hash(key: str) -> Column:
+    """The first 64 bits of the MD5 of a key as text, as other engines can compute them; a null key is one key."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")), 1, 16), 16, -10).cast("long")
+
+
 def shard(rows: DataFrame, key: str = "doc_id", limit: int = 32 << 20) -> DataFrame:
     """The rows' key with n_bytes, shard, depth and shard_bytes.
 
@@ -41,9 +46,15 @@ def shard(rows: DataFrame, key: str = "doc_id", limit: int = 32 << 20) -> DataFr
     is a single row.  Null keys are one key.  Repeated rows stay; their order within
     an overflowed key follows the input's partitions.  An empty table has no shards.
     """
+    sized = rows.select(F.col(f"`{key}`").alias("_key"), key_hash(key).alias("_h"), row_bytes(rows).alias("n_bytes"))
+    placed = _place(sized, "_key", limit)
+    return placed.select(F.col("_key").alias(key), "n_bytes", "shard", "depth", "shard_bytes")
+
+
+def _place(sized: DataFrame, key: str, limit: int) -> DataFrame:
+    """(key, n_bytes, shard, depth, shard_bytes) of rows (key, _h, n_bytes)."""
     if limit < 1:
         raise ValueError("limit must be positive")
-    sized = rows.select(F.col(key), F.xxhash64(key).alias("_h"), row_bytes(rows).alias("n_bytes"))
     base = materialize(sized, "hashed")
     total = base.agg(F.sum("n_bytes")).first()[0]
     if total is None:
@@ -100,9 +111,18 @@ def _overflow(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return rows.drop("shard_bytes").join(size, "shard").select(key, "n_bytes", "shard", "depth", "shard_bytes")
 
 
-def write_shards(rows: DataFrame, path: str, key: str = "doc_id", limit: int = 32 << 20) -> DataFrame:
-    """Write the rows as Parquet, a folder for each shard; returns the table of shards (shard, rows, bytes).  Keys must be unique."""
-    placed = shard(rows, key, limit).select(key, "shard", "shard_bytes")
-    full = rows.join(placed.drop("shard_bytes"), key)
-    full.repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(rows: DataFrame, path: str, key: str = "doc_id", limit: int = 32 << 20, shard_col: str = "shard") -> DataFrame:
+    """Write the rows as Parquet, a folder for each shard; returns the table of shards (shard, rows, bytes).
+
+    Rows are placed by row: null and repeated keys stay.  The folders are named by
+    ``shard_col``, which may be no column of the rows.
+    """
+    if shard_col in rows.columns:
+        raise ValueError(f"{shard_col} is a column of the rows: give shard_col another name")
+    names = [f"c{k}" for k in range(len(rows.columns))]
+    full = rows.select("*", key_hash(key).alias("_h"), row_bytes(rows).alias("n_bytes"), F.monotonically_increasing_id().alias("_row")).toDF(*names, "_h", "n_bytes", "_row")
+    full = materialize(full, "rows")
+    placed = materialize(_place(full.select("_row", "_h", "n_bytes"), "_row", limit), "places")
+    out = full.join(placed.select("_row", F.col("shard").alias("_shard")), "_row").select(*(F.col(n).alias(c) for n, c in zip(names, rows.columns, strict=True)), F.col("_shard").alias(shard_col))
+    out.repartition(shard_col).write.partitionBy(shard_col).parquet(path)
     return placed.groupBy("shard").agg(F.count("*").alias("rows"), F.max("shard_bytes").alias("bytes"))
