@@ -101,13 +101,14 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     digest and license: of the whole text, null where it has no words or is no known
     text.  notices: the licences that single lines are texts or notices of, sorted
     and joined by commas; empty if none.  Null text has no words.  Repeated rows stay,
-    each with its own notices; other columns are ignored.  known: (digest, license)
+    each with the notices of its own text; other columns are ignored.  known: (digest, license)
     with unique digests; Spark picks the join by its size.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lines = rows.select("id", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("line"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("same", F.xxhash64("text"))
+    lines = rows.select("id", "same", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     known = known.where(F.col("digest") != EMPTY)
-    notices = lines.where(F.col("line") != "").select("id", digest(F.col("line")).alias("digest")).join(known, "digest").groupBy("id").agg(F.array_sort(F.collect_set("license")).alias("found"))
-    whole = rows.select("id", digest(F.col("text")).alias("digest")).join(known, "digest", "left").withColumn("digest", F.nullif("digest", F.lit(EMPTY)))
-    out = whole.join(notices, "id", "left")
+    notices = lines.where(F.col("line") != "").select("id", "same", digest(F.col("line")).alias("digest")).join(known, "digest")
+    notices = notices.groupBy("id", "same").agg(F.array_sort(F.collect_set("license")).alias("found")).toDF("_id", "_same", "found")
+    whole = rows.select("id", "same", digest(F.col("text")).alias("digest")).join(known, "digest", "left").withColumn("digest", F.nullif("digest", F.lit(EMPTY)))
+    out = whole.join(notices, F.col("id").eqNullSafe(F.col("_id")) & (F.col("same") == F.col("_same")), "left")
     return out.select(F.col("id").alias(id_col), "digest", "license", F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_notices"), F.coalesce(F.array_join("found", ","), F.lit("")).alias("notices"))
