@@ -7,7 +7,10 @@ All vectors get four-bit codes.  Queries meet all codes in blocks: table scans o
 the codes (two at a time) give the candidates, and exact inner products in double
 precision rank them.  The best ``RERANK`` by code set a bar; all others whose code
 comes within ``MARGIN`` standard errors of it are ranked exactly too, so a cluster
-of near-equal vectors of any size is told apart.
+of near-equal vectors of any size is told apart.  An index block carries its vectors
+next to their codes, once for each block of QUERY_BLOCK queries: fetching candidates
+by a join instead would move hundreds of vectors a query, which is more until there
+are millions of queries.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from upkeep.llm.common import small_batches
 
 SAMPLE = 4096
 GROUP_DIMS = 2
-QUERY_BLOCK, INDEX_BLOCK = 1024, 32_768
+QUERY_BLOCK, INDEX_BLOCK, AT_ONCE = 8192, 32_768, 256
 RERANK = 200
 MARGIN = 3.0
 THRESHOLD = 0.2
@@ -139,14 +142,16 @@ def _scan(books: Codebooks, top: int, rerank: int):
         made = centres[np.arange(centres.shape[0])[None], np.stack((code >> 4, code & 15), axis=2).reshape(len(one), -1)].reshape(len(one), -1)[:, : x.shape[1]]
         slack = MARGIN * np.linalg.norm(x[one] - made, axis=1) / np.sqrt(x.shape[1])
         norm = np.linalg.norm(q, axis=1)
-        table = np.einsum("qgd,gcd->qgc", np.pad(_split(q), ((0, 0), (0, centres.shape[0] - _split(q).shape[1]), (0, 0))), centres).astype(np.float32)
-        both = (table[:, 0::2, :, None] + table[:, 1::2, None, :]).reshape(len(q), len(pairs), 256)
         keep = min(len(one), rerank)
         out = []
         for i in range(len(q)):
-            near = both[i, 0][pairs[0]]
+            if i % AT_ONCE == 0:  # tables of some queries at a time
+                some = _split(q[i : i + AT_ONCE])
+                table = np.einsum("qgd,gcd->qgc", np.pad(some, ((0, 0), (0, centres.shape[0] - some.shape[1]), (0, 0))), centres).astype(np.float32)
+                both = (table[:, 0::2, :, None] + table[:, 1::2, None, :]).reshape(len(some), len(pairs), 256)
+            near = both[i % AT_ONCE, 0][pairs[0]]
             for k in range(1, len(pairs)):
-                near += both[i, k][pairs[k]]
+                near += both[i % AT_ONCE, k][pairs[k]]
             edge = np.partition(near, len(one) - keep)[len(one) - keep]
             found = np.flatnonzero(near >= edge)
             if len(found) < len(one):
