@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import corpus_pipeline
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from upkeep.llm import ann, bpe, licenses, ngram_join, packing, pii, quality, sharding, toxicity, urls
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 256 << 10
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
 
 
@@ -101,7 +102,8 @@ def _urls_sql() -> str:
     fits = lambda r: "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}'))".format(*r[1].split("/", 1))
     rule = " ".join(f"WHEN {fits(r)} THEN '{r[1]}'" for r in rules)
     verdict = " ".join(f"WHEN {fits(r)} THEN '{r[0]}'" for r in rules)
-    globs = " OR ".join(f"c GLOB '{g}'" for g in urls.BLOCKED_GLOBS)
+    pattern = lambda g: re.sub(r"\*+|[^*]", lambda m: (".*" if len(m[0]) > 1 else "[^/]*") if m[0][0] == "*" else re.escape(m[0]), g)
+    globs = "regexp_full_match(c, '(?s)(" + "|".join(map(pattern, urls.BLOCKED_GLOBS)) + ")')"
     return f"""
 WITH parts AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{licenses.UPPER}', '{licenses.LOWER}') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -110,5 +112,14 @@ full_url AS (SELECT *, CASE WHEN host <> '' THEN 'url://' || regexp_replace(rege
 SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN {globs} THEN 'block' ELSE 'allow' END AS verdict FROM full_url"""
 
 
+def _sharding_sql() -> str:
+    return f"""
+WITH hashed AS (SELECT doc_id, 24 + strlen(coalesce(text, '')) + strlen(coalesce(lang, '')) + strlen(coalesce(source, '')) - 8 AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 16))::UBIGINT AS h FROM documents),
+cells AS (SELECT depth, CASE WHEN depth = 0 THEN 0::UBIGINT ELSE h >> (64 - depth) END AS bits, sum(n_bytes)::BIGINT AS b, count(*) AS n FROM hashed CROSS JOIN (SELECT unnest(range(0, 41)) AS depth) GROUP BY ALL),
+fits AS (SELECT doc_id, n_bytes, h, min(cells.depth) AS depth FROM hashed JOIN cells ON bits = CASE WHEN cells.depth = 0 THEN 0::UBIGINT ELSE h >> (64 - cells.depth) END WHERE b <= {SHARD_BYTES} OR n = 1 GROUP BY ALL)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, CASE WHEN fits.depth = 0 THEN '*' ELSE right(lpad(bin(bits), 64, '0'), fits.depth::INT) END AS shard, fits.depth::INT AS depth, b AS shard_bytes
+FROM fits JOIN cells ON cells.depth = fits.depth AND bits = CASE WHEN fits.depth = 0 THEN 0::UBIGINT ELSE h >> (64 - fits.depth) END"""
+
+
 #: The other operators learn from the data, iterate or carry tokenizers; tests hold them against brute force.
-SQL: dict[str, str] = {"op5_licenses": _licenses_sql(), "op8_urls": _urls_sql()}
+SQL: dict[str, str] = {"op1_sharding": _sharding_sql(), "op5_licenses": _licenses_sql(), "op8_urls": _urls_sql()}
