@@ -70,6 +70,16 @@ def percent_rank(x: Column, within: Sequence[str] = ()) -> Column:
     return average_rank(x, within) / F.count(F.lit(1)).over(w)
 
 
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def first_present(df: DataFrame, name: str, candidates: Sequence[str]) -> Column:
+    """The first of the candidate columns that the frame has and that isn't null in the row; null if it has none of them."""
+    there = [F.col(c) for c in candidates if c in df.columns]
+    return (F.coalesce(*there) if there else F.lit(None).cast("string")).alias(name)
+
+
 def days_crossed(a: Column, b: Column) -> Column:
     """Midnights between two moments."""
     return F.datediff(F.to_date(b), F.to_date(a))

@@ -61,7 +61,7 @@ def component_day_features(fleet: Fleet, mart: DataFrame) -> DataFrame:
 def unit_day_features(fleet: Fleet, units: DataFrame, features: DataFrame) -> DataFrame:
     """Maintenance load, service exposure, substitution difficulty, service impact and dependency of a unit's day."""
     parts = features.groupBy("day", "unit_id").agg(F.avg("health_index").alias("mean_health_index"), F.sum((F.col("health_index") < 55).cast("int")).alias("risk_components"), F.avg("alert_days_30").alias("alert_density"), F.avg("criticality").alias("mean_criticality"))
-    df = units.join(parts, ["day", "unit_id"], "left").join(F.broadcast(fleet.units.select("unit_id", "configuration", "service_criticality")), "unit_id")
+    df = units.join(parts, ["day", "unit_id"], "left").join(fleet.units.select("unit_id", "configuration", "service_criticality"), "unit_id")
     load = filled("maintenance_hours", 0) * 0.65 + F.col("backlog_items") * 0.30 + F.col("overdue_items") * 0.60 + F.col("critical_items") * 1.00 + F.col("exposure") * 0.12
     exposure = filled("planned_h", 0) * (1 + F.col("cancellations") * 0.15) * (1 + filled("service_criticality", 3.5) / 10)
     df = df.withColumns({"maintenance_load": clip(load, 0, 100), "service_exposure": clip(exposure, 0, 80)})
@@ -113,7 +113,7 @@ def workshop_features(fleet: Fleet, features: DataFrame, unit_features: DataFram
     homes = fleet.units.select("unit_id", "depot_id", "service_criticality")
     load = latest(depots).select("depot_id", "saturation", F.col("exposure").alias("depot_exposure"))
     shops = fleet.depots.select("depot_id", "speciality")
-    df = now.join(units, "unit_id", "left").join(F.broadcast(homes), "unit_id").join(F.broadcast(load), "depot_id", "left").join(F.broadcast(shops), "depot_id", "left")
+    df = now.join(units, "unit_id", "left").join(homes, "unit_id").join(F.broadcast(load), "depot_id", "left").join(F.broadcast(shops), "depot_id", "left")
     urgency = filled("deterioration_index", 40) * 0.45 + filled("velocity", 0) * 7.5 + F.col("critical_alerts") * 3.8 + F.col("shocks_30") * 1.2 - filled("restoration", 0) * 0.10
     df = df.withColumn("urgency_inputs", clip(urgency, 0, 100))
     efficiency = spec_match(F.col("kind"), F.coalesce("speciality", F.lit(""))) * 55 + (1 - clip(filled("saturation", 0.75), 0, 1.4) / 1.4) * 30 + (1 - clip(filled("depot_exposure", 35), 0, 100) / 100) * 15

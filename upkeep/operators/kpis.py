@@ -57,10 +57,10 @@ def inspection_families(fleet: Fleet) -> DataFrame:
     Of several candidates the nearest counts.
     """
     technical = fleet.components.select("component_id", family(F.col("kind")).alias("technical"))
-    seen = fleet.inspections.join(F.broadcast(technical), "component_id", "left").withColumn("named", family(F.col("reported")))
+    seen = fleet.inspections.join(technical, "component_id", "left").withColumn("named", family(F.col("reported")))
     seen = seen.withColumn("family", F.coalesce("technical", "named")).where(F.col("family").isin(*FAMILIES))
     seen = seen.withColumn("consistent", ((F.col("named") == F.col("family")) | (F.col("named") == "other")).cast("double")).withColumn("confidence", clip(F.col("confidence"), 0, 1))
-    failed = fleet.failures.join(F.broadcast(technical), "component_id", "left").withColumn("family", F.coalesce("technical", family(F.col("mode")))).where(F.col("family").isin(*FAMILIES)).select("failure_id", "component_id", "family", F.col("day").alias("failed"))
+    failed = fleet.failures.join(technical, "component_id", "left").withColumn("family", F.coalesce("technical", family(F.col("mode")))).where(F.col("family").isin(*FAMILIES)).select("failure_id", "component_id", "family", F.col("day").alias("failed"))
     hits = seen.where("defect = 1")
     on = ["component_id", "family"]
     gap = days_crossed(F.col("r.ts"), F.col("l.failed"))

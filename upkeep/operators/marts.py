@@ -33,8 +33,8 @@ def component_day_inputs(fleet: Fleet) -> DataFrame:
     inspections = fleet.inspections.groupBy(*DAY).agg(F.max("score").alias("defect_score"), F.avg("confidence").alias("inspection_confidence"), F.max("defect").alias("defect_flag"))
     shop = fleet.maintenance.groupBy(*DAY).agg(F.count("*").alias("maintenance_events"), F.sum("hours").alias("maintenance_hours"), share("corrective").alias("corrective_share"), share("condition_based").alias("condition_share"))
     failed = fleet.failures.groupBy(*DAY).agg(F.count("*").alias("failures"), F.sum("downtime_h").alias("failure_downtime_h"), F.avg("severity").alias("failure_severity"), F.max("repeated").alias("repeated"))
-    lines = F.broadcast(fleet.units.select("unit_id", "line_id"))
-    out = sensors.join(F.broadcast(fleet.components.drop("unit_id")), "component_id").join(inspections, DAY, "left").join(shop, DAY, "left").join(failed, DAY, "left").join(lines, "unit_id").join(fleet.context, ["day", "line_id"], "left")
+    lines = fleet.units.select("unit_id", "line_id")
+    out = sensors.join(fleet.components.drop("unit_id"), "component_id").join(inspections, DAY, "left").join(shop, DAY, "left").join(failed, DAY, "left").join(lines, "unit_id").join(fleet.context, ["day", "line_id"], "left")
     zero = {c: F.coalesce(c, F.lit(0).cast(t)) for c, t in out.select("defect_score", "inspection_confidence", "defect_flag", "maintenance_events", "maintenance_hours", "corrective_share", "condition_share", "failures", "failure_downtime_h", "failure_severity", "repeated").dtypes}
     return out.withColumns(zero)
 
@@ -48,7 +48,7 @@ def failures_alerts(fleet: Fleet) -> DataFrame:
 
 
 def failure_repetition(fleet: Fleet) -> DataFrame:
-    grouped = fleet.failures.join(F.broadcast(fleet.components.select("component_id", "kind")), "component_id").groupBy("kind", "mode", "unit_id", "component_id").agg(
+    grouped = fleet.failures.join(fleet.components.select("component_id", "kind"), "component_id").groupBy("kind", "mode", "unit_id", "component_id").agg(
         F.count("*").alias("events"), F.sum("repeated").alias("repeated_events"), F.sum("downtime_h").alias("downtime_h"), F.avg("severity").alias("mean_severity")
     )
     high = (F.col("events") >= 6) & (F.col("repeated_events") >= 3)
@@ -118,7 +118,7 @@ def unit_risk(mart: DataFrame) -> DataFrame:
 
 
 def depot_pressure(fleet: Fleet, units: DataFrame) -> DataFrame:
-    days = units.join(F.broadcast(fleet.units.select("unit_id", "depot_id")), "unit_id").groupBy("day", "depot_id").agg(
+    days = units.join(fleet.units.select("unit_id", "depot_id"), "unit_id").groupBy("day", "depot_id").agg(
         F.sum("backlog_items").alias("backlog_items"), F.sum("backlog_risk").alias("backlog_risk"), F.sum("overdue_items").alias("overdue_items"), F.sum("critical_items").alias("critical_items"), F.avg("exposure").alias("exposure"), F.sum("maintenance_hours").alias("maintenance_hours"), F.avg("risk").alias("mean_risk"), F.sum("unavailable_h").alias("unavailable_h"), F.sum("cancellations").alias("cancellations"), F.sum("substitution").alias("substitutions")
     )
     mix = fleet.maintenance.groupBy("day", "depot_id").agg(share("corrective").alias("corrective_share"), share("planned").alias("planned_share"))
@@ -133,7 +133,7 @@ def mart_fleet_week(fleet: Fleet, units: DataFrame) -> DataFrame:
         F.avg("availability").alias("availability"), F.sum("available_h").alias("available_h"), F.sum("failures").alias("failures"), F.sum("failure_downtime_h").alias("downtime_h"), F.sum("maintenance_hours").alias("maintenance_hours"), F.avg("repeat_intensity").alias("repeat_intensity"), F.avg("risk").alias("mean_risk"),
         F.sum("backlog_items").alias("backlog_items"), F.sum("backlog_risk").alias("backlog_risk"), F.sum("overdue_items").alias("overdue_items"), F.sum("critical_items").alias("critical_items"), F.avg("exposure").alias("exposure"),
     )
-    mix = fleet.maintenance.join(F.broadcast(fleet.units.select("unit_id", "fleet_id")), "unit_id").groupBy(week, "fleet_id").agg(share("corrective").alias("corrective_share"), share("condition_based").alias("condition_share"), share("planned").alias("planned_share"))
+    mix = fleet.maintenance.join(fleet.units.select("unit_id", "fleet_id"), "unit_id").groupBy(week, "fleet_id").agg(share("corrective").alias("corrective_share"), share("condition_based").alias("condition_share"), share("planned").alias("planned_share"))
     some = F.col("failures") > 0
     out = weekly.join(mix, ["week", "fleet_id"], "left").withColumns({
         "mtbf": F.when(some, F.col("available_h") / F.col("failures")).otherwise(F.col("available_h")), "mttr": F.when(some, F.col("downtime_h") / F.col("failures")).otherwise(F.lit(0.0)),

@@ -74,7 +74,7 @@ def unit_scores(scored: DataFrame) -> DataFrame:
 
 def business_ranking(scored: DataFrame, units: DataFrame) -> DataFrame:
     """business_risk and its rank from 1; ties by component."""
-    df = scored.join(F.broadcast(units.select("unit_id", "unit_score")), "unit_id", "left")
+    df = scored.join(units.select("unit_id", "unit_score"), "unit_id", "left")
     risk = clip(F.col("failure_risk") * 100 * 0.7 + (100 - F.col("health_score")) * 0.2 + filled("unit_score", 0) * 0.1, 0, 100)
     df = df.withColumn("business_risk", F.round(risk, 9))
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col("business_risk").desc(), "component_id")))

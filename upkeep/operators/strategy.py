@@ -13,8 +13,25 @@ SCENARIOS = (("conservative", 1.12, 0.90, 0.86, 1.20, 1.12, 1.08, 1.35), ("base"
 LEVELS = {"downtime_mult": (0.85, 1.00, 1.15), "failure_mult": (0.90, 1.00, 1.12), "capacity_mult": (0.90, 1.00, 1.10), "detection_mult": (0.85, 1.00, 1.15), "corrective_mult": (0.85, 1.00, 1.20), "preventive_mult": (0.90, 1.00, 1.15)}
 COSTS = {"downtime_hour": 1300.0, "corrective_event": 16000.0, "preventive_event": 8000.0, "critical_case": 2500.0, "deferral_case": 5200.0, "impact_unit": 42000.0}
 DEFERRALS = (0, 7, 14, 21, 30, 45)
-#: Stand-ins where no observation is given.
-OBSERVED = {"quality": 0.32, "corrective": 400.0, "preventive": 300.0, "critical": 120.0, "deferral": 60.0, "downtime": 5000.0, "planned": 90000.0, "mtbf": 300.0, "mttr": 6.0, "impact": 25.0, "repeated": 90.0, "utilisation": 78.0}
+OBSERVED = ("quality", "corrective", "preventive", "critical", "deferral", "downtime", "planned", "mtbf", "mttr", "impact", "repeated", "utilisation")
+
+
+def observed(inspections: DataFrame, maintenance: DataFrame, failures: DataFrame, service: DataFrame, backlog: DataFrame, depots: DataFrame) -> DataFrame:
+    """One row of base values from what the fleet has seen, rounded to three digits, so that sums in another order give the same grid."""
+    last = backlog.join(F.broadcast(backlog.agg(F.max("day").alias("day"))), "day", "left_semi")
+    parts = [
+        inspections.agg(F.avg(F.when(F.col("defect") == 1, F.col("confidence"))).alias("quality")),
+        maintenance.agg(F.sum("corrective").alias("corrective"), F.sum(F.col("planned") + F.col("condition_based")).alias("preventive"), F.sum("hours").alias("shop_hours")),
+        last.agg(F.count_if((F.col("risk") >= 70) | (F.col("age_days") >= 21) & F.col("severity").isin("high", "critical")).alias("critical"), F.count_if(F.col("age_days") >= 14).alias("deferral")),
+        failures.agg(F.sum("downtime_h").alias("downtime"), F.count("*").alias("failures"), F.sum("repeated").alias("repeated")),
+        service.agg(F.sum("planned_h").alias("planned"), F.sum("available_h").alias("available"), F.avg(100 * F.col("punctuality_hit")).alias("impact"), F.count_distinct("day").alias("days")),
+        depots.agg(F.sum("capacity").alias("capacity")),
+    ]
+    row = parts[0]
+    for p in parts[1:]:
+        row = row.crossJoin(p)
+    per = {"mtbf": F.try_divide("available", "failures"), "mttr": F.try_divide("downtime", "failures"), "utilisation": F.try_divide(100 * F.col("shop_hours"), F.col("capacity") * F.col("days"))}
+    return row.withColumns(per).select(*(F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 3).alias(c) for c in OBSERVED))
 
 
 def strategy_grid(spark: SparkSession) -> DataFrame:

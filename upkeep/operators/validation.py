@@ -59,6 +59,59 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return keys.join(parent.select(F.col(parent_key).alias("k")), "k", "left_anti").agg(F.count("*").alias("orphans"))
 
 
+def stacked(parts: Sequence[DataFrame]) -> DataFrame:
+    """The rows of several small frames of the same columns."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def key_report(keys: Sequence[tuple[str, DataFrame, Sequence[str]]]) -> DataFrame:
+    """(object, n_rows, null_keys, duplicates) for each table and its key."""
+    parts = []
+    for name, df, key in keys:
+        per = df.groupBy(*key).count()
+        missing = F.lit(False)
+        for k in key:
+            missing = missing | F.col(k).isNull()
+        parts.append(per.agg(F.sum("count").alias("n_rows"), F.sum(F.when(missing, F.col("count")).otherwise(0)).alias("null_keys"), F.count_if(F.col("count") > 1).alias("duplicates")).select(F.lit(name).alias("object"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_rows", "null_keys", "duplicates"))))
+    return stacked(parts)
+
+
+def reference_report(references: Sequence[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
+    """(reference, orphans): distinct child keys without a parent, for each reference."""
+    return stacked([orphans(child, parent, k, pk).select(F.lit(name).alias("reference"), "orphans") for name, child, k, parent, pk in references])
+
+
+def mismatched(child: DataFrame, parent: DataFrame, key: str, same: str) -> DataFrame:
+    """Rows of child whose key has no parent, or a parent with another value of ``same``; parent keys are unique."""
+    other = parent.select(key, F.col(same).alias("_same"), F.lit(1).alias("_there"))
+    return child.join(other, key, "left").where(F.col("_there").isNull() | ~F.col(same).eqNullSafe(F.col("_same"))).drop("_same", "_there")
+
+
+def one_to_one(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join that raises where a key stands more than once on either side."""
+    for side, df in (("left", left), ("right", right)):
+        if df.groupBy(*on).count().where("count > 1").limit(1).count():
+            raise ValueError(f"the {side} side holds a key of {list(on)} more than once")
+    return left.join(right, list(on), how)
+
+
+def gate_report(checks: Sequence[tuple[str, bool, DataFrame]]) -> DataFrame:
+    """(gate, faults, blocking, status) from one-row frames of counts: a count that is null counts as a fault."""
+    parts = []
+    for name, blocking, df in checks:
+        total_ = sum((F.coalesce(F.col(c), F.lit(1)) for c in df.columns), F.lit(0)).cast("long")
+        parts.append(df.select(F.lit(name).alias("gate"), total_.alias("faults"), F.lit(blocking).alias("blocking")))
+    return stacked(parts).withColumn("status", F.when(F.col("faults") == 0, "passed").when(F.col("blocking"), "blocked").otherwise("warned"))
+
+
+def cardinalities(**tables: DataFrame) -> DataFrame:
+    """(object, n_rows, n_columns, n_distinct) of each table; distinct whole rows."""
+    return stacked([df.groupBy(*df.columns).count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_distinct")).select(F.lit(name).alias("object"), "n_rows", F.lit(len(df.columns)).alias("n_columns"), "n_distinct") for name, df in tables.items()])
+
+
 def metric_ranges(units: DataFrame, depots: DataFrame, families: DataFrame) -> DataFrame:
     a = units.agg(outside("risk", 0, 1).alias("risk"), outside("availability", 0, 1).alias("availability"), outside("exposure", 0, 100).alias("exposure"))
     b = depots.agg(total(F.col("saturation") < 0).alias("saturation"))

@@ -179,7 +179,7 @@ def allocation_candidates(cases: DataFrame, weeks: DataFrame) -> DataFrame:
     c = F.col
     span = F.greatest(F.lit(1), F.ceil(F.least(F.lit(HORIZON), c("window_days") + _lookup("bucket", CARRY_DAYS, 14)) / 7))
     ranked = cases.select("component_id", "hours", "queue_score", "deferral", "home", span.alias("span"), F.posexplode(F.split("candidates", "\\|")).alias("place", "d")).withColumn("depot_id", c("d").cast("long"))
-    slots = ranked.join(F.broadcast(weeks), "depot_id").where(c("week") <= c("span"))
+    slots = ranked.join(weeks, "depot_id").where(c("week") <= c("span"))
     cost = c("place") * 4.0 + (c("week") - 1) * (1.0 + c("queue_score") / 25.0) + F.when(c("depot_id") == c("home"), 0.0).otherwise(2.0)
     out = slots.select("component_id", "hours", "depot_id", "week", cost.alias("cost"))
     none = cases.select("component_id", "hours", F.lit(None).cast("long").alias("depot_id"), F.lit(None).cast("int").alias("week"), (100.0 + c("queue_score") * 5.0 + c("deferral") * 2.0).alias("cost"))
@@ -200,7 +200,7 @@ def allocate(candidates: DataFrame, capacity: DataFrame, checkpoint=materialize)
     w = Window.partitionBy("component_id").orderBy("cost", "depot_id", "week")
     fill = Window.partitionBy("depot_id", "week").orderBy(F.col("regret").desc(), "component_id").rowsBetween(Window.unboundedPreceding, 0)
     while True:
-        live = checkpoint(slots.join(F.broadcast(room), ["depot_id", "week"]).where("hours <= room"), f"slots{k}")  # room only shrinks: the others are lost for good
+        live = checkpoint(slots.join(room, ["depot_id", "week"]).where("hours <= room"), f"slots{k}")  # room only shrinks: the others are lost for good
         bids = live.withColumns({"n": F.row_number().over(w), "next": F.lead("cost").over(w)}).where("n = 1").withColumn("regret", F.coalesce("next", F.lit(1e6)) - F.col("cost"))
         won = checkpoint(bids.withColumn("sum", F.sum("hours").over(fill)).where("sum <= room").select("component_id", "depot_id", "week", "cost", "hours"), f"bids{k}")
         taken = won if taken is None else taken.unionByName(won)
