@@ -134,7 +134,11 @@ WINDOW, LEAST, HORIZON = 10, 4, 7
 
 
 def _labelled(f: Fleet) -> DataFrame:
-    return _scored(f).select("component_id", F.col("failure_risk").alias("score"), (F.col("component_id") % 3 == 0).cast("int").alias("y"))
+    """Deterioration on the last day that has a whole horizon after it, and whether a failure followed within it."""
+    cut = F.broadcast(f.span.select(F.date_sub("last_day", HORIZON).alias("day")))
+    now = _features(f).join(cut, "day", "left_semi").select("component_id", "day", F.round(F.col("deterioration_index") / 100, 9).alias("score"))
+    hit = f.failures.join(cut.withColumnRenamed("day", "cut"), F.datediff("day", "cut").between(1, HORIZON)).select("component_id").distinct().withColumn("y", F.lit(1))
+    return now.join(hit, "component_id", "left").select("component_id", "score", F.coalesce("y", F.lit(0)).alias("y"))
 
 
 def _validation_cuts(f: Fleet) -> DataFrame:
@@ -157,7 +161,7 @@ def _readiness(f: Fleet) -> DataFrame:
 
 
 def _observed(f: Fleet) -> DataFrame:
-    return f.spark.createDataFrame([tuple(strategy.OBSERVED.values())], ", ".join(f"{k} double" for k in strategy.OBSERVED))
+    return f.stored("observed", lambda: strategy.observed(f.inspections, f.maintenance, f.failures, f.service, f.backlog, f.depots))
 
 
 def _simulated(f: Fleet) -> DataFrame:
@@ -229,7 +233,7 @@ def _supplier_pressure(f: Fleet) -> DataFrame:
 
 
 def _strings(f: Fleet) -> DataFrame:
-    e = f.table("events").where("event_id < 2000")
+    e = f.table("events")
     codes = F.array_distinct(F.split(F.concat_ws("|", F.col("event_type"), F.lit("seen"), F.col("event_type")), "\\|"))
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select("event_id", F.array_join(F.slice(codes, 1, 3), "|").alias("codes"), k.alias("k"), F.upper(F.trim(F.concat(F.lit(" "), "event_type"))).alias("shout"), F.translate("event_type", "aeiou", "AEIOU").alias("vowels"), F.replace(F.to_json(F.struct("event_type")), F.lit("i"), F.lit("\\u0069")).alias("escaped"))
@@ -325,13 +329,19 @@ def _actions_sql() -> str:
     return f"(SELECT *, (rule = 'R07_conflict')::INT AS conflict FROM (SELECT *, CASE WHEN {conflict} THEN 'R07_conflict' WHEN {now} THEN 'R01_now' WHEN {window} THEN 'R02_window' WHEN {inspect} THEN 'R03_inspect' WHEN {observe} THEN 'R05_observe' WHEN {quiet} THEN 'R06_none' ELSE 'R04_monitor' END AS rule FROM (SELECT *, {q} FROM ({base}))))"
 
 
+_OBSERVED_SQL = """(SELECT round(coalesce(quality, 0), 3) AS quality, corrective::DOUBLE AS corrective, preventive::DOUBLE AS preventive, critical::DOUBLE AS critical, deferral::DOUBLE AS deferral, round(downtime, 3) AS downtime, round(planned, 3) AS planned,
+    round(available / n_failures, 3) AS mtbf, round(downtime / n_failures, 3) AS mttr, round(impact, 3) AS impact, repeated::DOUBLE AS repeated, round(100 * shop_hours / (room * days), 3) AS utilisation
+    FROM (SELECT avg(confidence) FILTER (defect = 1) AS quality FROM inspections) CROSS JOIN (SELECT sum(corrective) AS corrective, sum(planned + condition_based) AS preventive, sum(hours) AS shop_hours FROM maintenance)
+    CROSS JOIN (SELECT count(*) FILTER (risk >= 70 OR (age_days >= 21 AND severity IN ('high', 'critical'))) AS critical, count(*) FILTER (age_days >= 14) AS deferral FROM backlog WHERE day = (SELECT max(day) FROM backlog))
+    CROSS JOIN (SELECT sum(downtime_h) AS downtime, count(*) AS n_failures, sum(repeated) AS repeated FROM failures) CROSS JOIN (SELECT sum(planned_h) AS planned, sum(available_h) AS available, avg(100 * punctuality_hit) AS impact, count(DISTINCT day) AS days FROM service) CROSS JOIN (SELECT sum(capacity) AS room FROM depots))"""
+
+
 def _simulation_sql() -> str:
     num = lambda xs: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" for v in x) + ")" for x in xs)
     levels = " ".join(f"CROSS JOIN (VALUES {', '.join(f'({v}::DOUBLE)' for v in vs)}) l_{n}({n})" for n, vs in strategy.LEVELS.items())
     grid = f"SELECT * FROM (VALUES {num(strategy.SCENARIOS)}) a(scenario, stress, capacity, detection, downtime_cost, corrective_cost, preventive_cost, enablement_mult) {levels} CROSS JOIN (VALUES {num(strategy.STRATEGIES)}) b(strategy, proactive, predictive, intensity, dependence, enablement)"
-    observed = ", ".join(f"{v}::DOUBLE AS {k}" for k, v in strategy.OBSERVED.items())
     c = strategy.COSTS
-    one = f"SELECT *, {clip('capacity * capacity_mult', 0.7, 1.2)} AS cap, {clip('quality * detection * detection_mult', 0.25, 1.4)} AS q FROM ({grid}) CROSS JOIN (SELECT {observed})"
+    one = f"SELECT *, {clip('capacity * capacity_mult', 0.7, 1.2)} AS cap, {clip('quality * detection * detection_mult', 0.25, 1.4)} AS q FROM ({grid}) CROSS JOIN {_OBSERVED_SQL}"
     two = f"SELECT *, {clip('stress * failure_mult * (1 - 0.18 * proactive - 0.10 * intensity) * (1 - 0.14 * predictive * CASE WHEN strategy = $$condition_based$$ THEN 0.55 + 0.45 * q ELSE 1 END * (q - 1))', 0.6, 1.7)} AS f, {clip('(1.05 - 0.18 * proactive) / cap', 0.72, 1.35)} AS m FROM ({one})"
     three = f"SELECT *, corrective * f * (0.82 + 0.36 * dependence) AS corrective_events, preventive * (0.35 + intensity) * (1.03 - 0.10 * cap) AS preventive_events, greatest(0, critical * (0.58 * f + 0.34 / cap + 0.20 * dependence - 0.12 * proactive - 0.08 * intensity)) AS critical_backlog, greatest(0, deferral * (0.48 * f + 0.30 / cap + 0.22 * (1 - q))) AS high_deferral, downtime * f * m AS downtime_h FROM ({two})"
     four = f"SELECT *, corrective_events * {c['corrective_event']} * corrective_cost * corrective_mult + preventive_events * {c['preventive_event']} * preventive_cost * preventive_mult + critical_backlog * {c['critical_case']} * (1 + 0.15 * (1 / cap - 1)) + high_deferral * {c['deferral_case']} + enablement * enablement_mult * CASE WHEN strategy = 'condition_based' THEN (1 + 5.5 * greatest(0, 1 - q)) * (1 + 1.2 * greatest(0, 1 - cap)) ELSE 1 END AS technical_cost, impact * (0.60 + 0.40 * downtime_h / downtime) AS service_impact FROM ({three})"
@@ -459,7 +469,7 @@ Q: dict[str, Query] = {
     "binning_right_closed": Query(_bins, "bin n_rows", "mean", "(SELECT b::INT AS bin, count(value) AS n_rows, avg(value) AS mean FROM range(5) r(b) LEFT JOIN ev ON value > [0, 20, 40, 80, 160][b + 1] AND value <= [20, 40, 80, 160, 100000][b + 1] GROUP BY 1)"),
     "calendar_sequence": Query(_calendar_days, "iso weekday week nth", "", "(SELECT strftime(day, '%Y-%m-%d') AS iso, (isodow(day) - 1)::INT AS weekday, date_trunc('week', day)::DATE AS week, ceil(day(day) / 7)::BIGINT AS nth FROM calendar WHERE isodow(day) < 7)"),
     "union_key_difference": Query(_lost_keys, "k why", "", "(SELECT c_custkey AS k, 'no order' AS why FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, 'urgent only' FROM orders GROUP BY o_custkey HAVING bool_and(o_orderpriority = '1-URGENT'))"),
-    "string_array_json_ops": Query(_strings, "event_id codes k shout vowels escaped", "", "(SELECT event_id, event_type || '|seen' AS codes, (props->>'$.k')::INT AS k, upper(event_type) AS shout, translate(event_type, 'aeiou', 'AEIOU') AS vowels, replace('{\"event_type\":\"' || event_type || '\"}', 'i', '\\u0069') AS escaped FROM events WHERE event_id < 2000)"),
+    "string_array_json_ops": Query(_strings, "event_id codes k shout vowels escaped", "", "(SELECT event_id, event_type || '|seen' AS codes, (props->>'$.k')::INT AS k, upper(event_type) AS shout, translate(event_type, 'aeiou', 'AEIOU') AS vowels, replace('{\"event_type\":\"' || event_type || '\"}', 'i', '\\u0069') AS escaped FROM events)"),
     "inspection_component_signals": Query(_inspection_signals, "component_id hits inspections", "score confidence", "(SELECT component_id, avg(score) AS score, avg(confidence) AS confidence, sum(defect)::BIGINT AS hits, count(*) AS inspections FROM (SELECT * FROM inspections QUALIFY row_number() OVER (PARTITION BY component_id ORDER BY ts DESC) <= 30) GROUP BY 1)"),
     "strategy_inputs": Query(_strategy_inputs, "corrective planned failures repeated", "hours downtime_h planned_h unavailable_h availability_pct", "(SELECT sum(corrective)::BIGINT AS corrective, sum(planned)::BIGINT AS planned, sum(hours) AS hours FROM maintenance) CROSS JOIN (SELECT count(*) AS failures, sum(repeated)::BIGINT AS repeated, sum(downtime_h) AS downtime_h FROM failures) CROSS JOIN (SELECT sum(planned_h) AS planned_h, sum(unavailable_h) AS unavailable_h, sum(available_h) / sum(planned_h) * 100 AS availability_pct FROM service)"),
 }

@@ -111,7 +111,7 @@ CTES: dict[str, str] = {
     "scored": "SELECT *, " + clip("0.03 + 0.88 * pow(0.60 * (rank() OVER (PARTITION BY family ORDER BY raw) + (count(*) OVER (PARTITION BY family, raw) - 1) / 2) / count(*) OVER (PARTITION BY family) + 0.40 * (rank() OVER (ORDER BY raw) + (count(*) OVER (PARTITION BY raw) - 1) / 2) / count(*) OVER (), 1.55)", 0.02, 0.95) + " AS failure_risk FROM rawrisk",
     "uscore": "SELECT *, " + clip("mean_risk * 100 * 0.30 + p90_risk * 100 * 0.22 + coalesce(risk, 0) * 100 * 0.18 + coalesce(service_impact, 0) * 0.12 + mean_deterioration * 0.08 + high_risk / component_count * 100 * 0.10 + coalesce(fleet_dependency, 0) * 3", 0, 100) + " AS unit_score FROM (SELECT unit_id, avg(failure_risk) AS mean_risk, quantile_cont(failure_risk, 0.9) AS p90_risk, count(*) FILTER (failure_risk >= 0.65) AS high_risk, count(*) AS component_count, avg(deterioration_index) AS mean_deterioration, avg(risk) AS risk, avg(service_impact) AS service_impact, max(fleet_dependency) AS fleet_dependency FROM scored GROUP BY 1)",
     "past": "SELECT f.component_id, f.day, f.deterioration_index, coalesce(date_diff('day', f.day, x.day) BETWEEN 0 AND 30, false)::INT AS fails FROM feat f ASOF LEFT JOIN (SELECT DISTINCT component_id, day FROM failures) x ON x.component_id = f.component_id AND x.day >= f.day",
-    "labelled": "SELECT component_id, failure_risk AS score, (component_id % 3 = 0)::INT AS y FROM scored",
+    "labelled": "SELECT component_id, round(deterioration_index / 100, 9) AS score, EXISTS (SELECT 1 FROM failures x WHERE x.component_id = f.component_id AND x.day > f.day AND x.day <= f.day + 7)::INT AS y FROM feat f WHERE day = (SELECT max(day) - 7 FROM ev)",
 }
 
 _NAMES = re.compile(r"\b(" + "|".join(CTES) + r")\b")
