@@ -51,19 +51,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt_again(df: DataFrame, key: str) -> DataFrame:
+    """df with ``key`` as a new expression: a join on it deals this side out too, so that Spark can split a hot key of the other."""
+    return df.withColumn(key, F.col(key) + F.lit(0).cast("long"))
+
+
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
-    """Connected components of (u, v): rows (node, component), component the smallest node.
+    """Connected components of (u, v), longs: rows (node, component), component the smallest node.
 
     Alternates the large-star and small-star steps until the edges are stars.
-    Nothing but the count and a checksum of the edges gets to the driver.
+    Nothing but the count and a checksum of the edges gets to the driver.  Minima
+    are summed up before they are dealt out, and the joins on a node can be split,
+    so a hub's edges don't meet in one task.
     """
 
     def star(e: DataFrame) -> DataFrame:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(dealt_again(low, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = large.join(dealt_again(low, "u"), "u")
         return small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
 
     now = materialize(edges.select("u", "v").where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)

@@ -3,21 +3,26 @@
 Stages, each linear in the text but for the last, which sees only groups of
 documents that share signatures:
 
-1. Texts become sets of 48-bit shingle hashes.  Equal sets are one class.
+1. Texts become sets of shingle hashes, of which 48 bits travel.  Equal sets are
+   one class.
 2. Shingles meet in hash partitions; those of a single class are dropped, since
    no intersection holds them.  A class left with under the threshold's share
-   of its shingles can't link with another class and is dropped.
+   of its shingles can't link with another class and is dropped.  A shingle that
+   several classes of one batch hold is known to be shared: only a mark of it is
+   sent to its partition, so a frequent shingle gathers a mark a batch there.
 3. PartEnum: for each band of sizes the domain is cut into n1 parts of n2 parts;
    all subsets of n2 - k2 parts of each are signatures.  Two sets over the
    threshold differ in at most k elements and so agree on a signature.  Empty
    projections give none; a set for which this could lose a partner (too many
    empty parts) also emits the tokens of an exact prefix filter, under which
    two such sets meet.
-4. A bucket's smallest member stands for it.  Each class is compared with the one
-   such member that it shares most buckets with; exact intersections make links,
-   links make components.  Buckets that still hold several components compare
-   across them: small ones by pairs, larger ones in blocks of a bounded number
-   of classes.
+4. A bucket's smallest member, its pivot, stands for it; from here on buckets are
+   gone and only pairs (pivot, class) are kept.  Each class is compared with the
+   pivot that it shares most buckets with; exact intersections make links, links
+   make components.  Two classes of one bucket share a pivot.  So the classes of a
+   pivot that has classes of several components compare across them: those outside
+   the group's largest component with all of it.  Small groups do so in batches of
+   groups, larger ones in blocks of a bounded number of classes; no pairs are made.
 """
 
 from __future__ import annotations
@@ -29,148 +34,179 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.llm.common import components, materialize, partitions, slices, small_batches
+from upkeep.llm.common import components, dealt_again, materialize, slices, small_batches
 from upkeep.llm.shingles import mix, shingle_sets, text_bytes
 
 _U = np.uint64
+_BITS = _U((1 << 48) - 1)
 FLUSH = 1_000_000
-SMALL_BUCKET = 24
+#: Bytes of text for one partition of the shingles' and the classes' domains.
+PART_BYTES = 32 << 20
 BLOCK_SETS, BLOCK_ELEMENTS = 1024, 2_000_000
+#: Rows that travel: documents, shingles of one class of a batch, shingles known to be shared, marks of those, sizes of classes.
+DOCS, LONE, SHARED, MARKS, SIZES = range(5)
 _RUNS = pa.schema([("p", pa.int32()), ("kind", pa.int8()), ("blob", pa.binary())])
 _RUNS_DDL = "p int, kind byte, blob binary"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("elements", pa.list_(pa.int64()))])
 _OUT_DDL = "doc_id long, n long, cls long, elements array<long>"
+_WIDTHS = (np.uint8, np.uint16, np.uint32)
 
 
-def _small(x: np.ndarray) -> tuple[int, bytes]:
-    """Counts in the least width that holds them, with its code."""
-    code = int(x.max(initial=0) > 0xFF) + int(x.max(initial=0) > 0xFFFF)
-    return code, x.astype(_WIDTHS[code]).tobytes()
+def _six(h: np.ndarray) -> bytes:
+    """Hashes of 48 bits, six bytes each."""
+    return h.astype(np.uint32).tobytes() + (h >> _U(32)).astype(np.uint16).tobytes()
 
 
-_WIDTHS = (np.uint8, np.uint16, np.uint32)
+def _of_six(blob: bytes, n: int, at: int = 0) -> np.ndarray:
+    return np.frombuffer(blob, np.uint32, n, at).astype(np.uint64) | np.frombuffer(blob, np.uint16, n, at + 4 * n).astype(np.uint64) << _U(32)
 
 
-def _pack(cls: np.ndarray, n: np.ndarray, count: np.ndarray, h: np.ndarray) -> bytes:
-    """Runs of a class's shingle hashes, six bytes each."""
-    (code_n, raw_n), (code_c, raw_c) = _small(n), _small(count)
-    head = np.array([len(cls), code_n, code_c], np.int32).tobytes() + cls.astype(np.int64).tobytes() + raw_n + raw_c
-    return head + h.astype(np.uint32).tobytes() + (h >> _U(32)).astype(np.uint16).tobytes()
+def _pack(cls: np.ndarray, count: np.ndarray, h: np.ndarray) -> bytes:
+    """Runs of classes' shingle hashes; counts in the least width that holds them."""
+    code = int(count.max(initial=0) > 0xFF) + int(count.max(initial=0) > 0xFFFF)
+    return np.array([len(cls), code], np.int32).tobytes() + cls.astype(np.int64).tobytes() + count.astype(_WIDTHS[code]).tobytes() + _six(h)
 
 
-def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class, size and shingle hash of each element."""
-    out = []
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Class and shingle hash of each element."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
     for b in blobs:
-        k, code_n, code_c = np.frombuffer(b, np.int32, 3).tolist()
-        at = 12 + 8 * k
-        cls, n = np.frombuffer(b, np.int64, k, 12), np.frombuffer(b, _WIDTHS[code_n], k, at)
-        at += n.nbytes
-        count = np.frombuffer(b, _WIDTHS[code_c], k, at)
-        at += count.nbytes
-        total = int(count.sum())
-        h = np.frombuffer(b, np.uint32, total, at).astype(np.uint64) | np.frombuffer(b, np.uint16, total, at + 4 * total).astype(np.uint64) << _U(32)
-        out.append((np.repeat(cls, count), np.repeat(n.astype(np.int32), count), h))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64))
-
-
-def _deal(part: np.ndarray, cls: np.ndarray, n: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        k, code = np.frombuffer(b, np.int32, 2).tolist()
+        cls, count = np.frombuffer(b, np.int64, k, 8), np.frombuffer(b, _WIDTHS[code], k, 8 + 8 * k)
+        out.append((np.repeat(cls, count), _of_six(b, int(count.sum()), 8 + 8 * k + count.nbytes)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _deal(part: np.ndarray, cls: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Blobs by part, of elements whose classes come in runs."""
+    if not len(h):
+        return
     order = np.argsort(part, kind="stable")
-    part, cls, n, h = part[order], cls[order], n[order], h[order]
+    part, cls, h = part[order], cls[order], h[order]
     new = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (cls[1:] != cls[:-1]))))
     count = np.diff(np.append(new, len(h)))
     at = np.flatnonzero(np.concatenate(([True], part[new][1:] != part[new][:-1])))
     for a, b in zip(at.tolist(), [*at[1:].tolist(), len(new)], strict=True):
         lo, hi = new[a], new[b] if b < len(new) else len(h)
-        yield int(part[lo]), _pack(cls[new[a:b]], n[new[a:b]], count[a:b], h[lo:hi])
+        yield int(part[lo]), _pack(cls[new[a:b]], count[a:b], h[lo:hi])
+
+
+def _deal_rows(part: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    if not len(part):
+        return
+    order = np.argsort(part, kind="stable")
+    part, rows = part[order], rows[order]
+    at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist()
+    for lo, hi in zip(at, [*at[1:], len(part)], strict=True):
+        yield int(part[lo]), rows[lo:hi]
+
+
+def _home(cls: np.ndarray, parts: int) -> np.ndarray:
+    return (cls.astype(np.uint64) % _U(parts)).astype(np.int32)
+
+
+def _flushed(held: list[tuple[int, int, np.ndarray]], docs: list[tuple[int, int, int]], parts: int) -> pa.RecordBatch:
+    out = []
+    if held:
+        cls = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[2]) for x in held])
+        h = np.concatenate([x[2] for x in held])
+        order = np.argsort(h, kind="stable")
+        again = h[order][1:] == h[order][:-1]
+        many = np.zeros(len(h), bool)
+        many[order] = np.concatenate((again, [False])) | np.concatenate(([False], again))
+        out += [(p, LONE, b) for p, b in _deal((h[~many] % _U(parts)).astype(np.int32), cls[~many], h[~many])]
+        out += [(p, SHARED, b) for p, b in _deal(_home(cls[many], parts), cls[many], h[many])]
+        marks = np.unique(h[many])
+        out += [(p, MARKS, _six(x)) for p, x in _deal_rows((marks % _U(parts)).astype(np.int32), marks)]
+        sizes = np.array([x[:2] for x in held], np.int64)
+        out += [(p, SIZES, x.tobytes()) for p, x in _deal_rows(_home(sizes[:, 0], parts), sizes)]
+    if docs:
+        d = np.array(docs, np.int64)
+        out += [(p, DOCS, x.tobytes()) for p, x in _deal_rows((d[:, 0] % parts).astype(np.int32), d)]
+    return pa.RecordBatch.from_pylist([dict(zip(_RUNS.names, x, strict=True)) for x in out], schema=_RUNS)
+
+
+def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Class, size and 48-bit hashes of each text's set; size and class come from 64-bit hashes."""
+    for s in shingle_sets(*text_bytes(column), width):
+        h = np.sort(s & _BITS)
+        yield int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True), len(s), h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
 
 
 def _shingle_batches(id_col: str, text_col: str, width: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+        done: set[int] = set()  # classes sent, up to a million; in any case those of this flush
         held, docs, size = [], [], 0
-
-        def flush():
-            out = []
-            if held:
-                cls = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) for x in held])
-                n = np.repeat(np.array([len(x[1]) for x in held], np.int32), [len(x[1]) for x in held])
-                h = np.concatenate([x[1] for x in held])
-                out += [(p, 1, b) for p, b in _deal((h % _U(parts)).astype(np.int32), cls, n, h)]
-            if docs:
-                d = np.array(docs, np.int64).reshape(-1, 3)
-                for p in np.unique(d[:, 0] % parts):
-                    out.append((int(p), 0, d[d[:, 0] % parts == p].tobytes()))
-            held.clear(), docs.clear()
-            return pa.RecordBatch.from_pylist([dict(zip(_RUNS.names, x, strict=True)) for x in out], schema=_RUNS)
-
         for batch in slices(batches, text_col):
-            sets = shingle_sets(*text_bytes(batch.column(text_col)), width)
-            for i, s in zip(batch.column(id_col).to_pylist(), sets, strict=True):
-                cls = _set_class(s)
-                docs.append((i, len(s), cls))
-                if len(s) > 2 and cls not in done:  # one or two shingles link with equal sets only
-                    if len(done) < 1_000_000:
-                        done.add(cls)
-                    held.append((cls, s))
-                    size += len(s)
-            if size >= FLUSH:
-                yield flush()
-                size = 0
-        yield flush()
+            for i, (cls, n, h) in zip(batch.column(id_col).to_pylist(), _sets(batch.column(text_col), width), strict=True):
+                docs.append((i, n, cls))
+                if n > 2 and cls not in done:  # one or two shingles link with equal sets only
+                    done.add(cls)
+                    held.append((cls, n, h))
+                    size += len(h)
+            if size >= FLUSH or len(docs) >= FLUSH:
+                yield _flushed(held, docs, parts)
+                held, docs, size = [], [], 0
+                if len(done) > 1_000_000:
+                    done.clear()
+        yield _flushed(held, docs, parts)
 
     return run
 
 
-def _set_class(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
 def _class_batches(width: int):
     """(id, n, cls): size and class of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = [*shingle_sets(*text_bytes(batch.column("text")), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_class(s) for s in sets], pa.int64())], names=["id", "n", "cls"])
+            sets = [*_sets(batch.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x[1] for x in sets], pa.int64()), pa.array([x[0] for x in sets], pa.int64())], names=["id", "n", "cls"])
 
     return run
 
 
-def _split(table: pa.Table) -> tuple[list[bytes], list[bytes]]:
-    kind, blob = table.column("kind").to_pylist(), table.column("blob").to_pylist()
-    return [b for k, b in zip(kind, blob, strict=True) if k == 1], [b for k, b in zip(kind, blob, strict=True) if k == 0]
+def _by_kind(table: pa.Table) -> dict[int, list[bytes]]:
+    out: dict[int, list[bytes]] = {k: [] for k in (DOCS, LONE, SHARED, MARKS, SIZES)}
+    for k, b in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
+        out[k].append(b)
+    return out
+
+
+def _held(x: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted pool."""
+    if not len(pool):
+        return np.zeros(len(x), bool)
+    return pool[np.minimum(np.searchsorted(pool, x), len(pool) - 1)] == x
 
 
 def _shared_shingles(parts: int):
-    """Of one part of the domain, the shingles of two classes or more, dealt by class."""
+    """Of one part of the domain, the shingles of two classes or more, dealt by class; what is for the classes' part goes on."""
 
     def run(table: pa.Table) -> pa.Table:
-        runs, docs = _split(table)
-        cls, n, h = _unpack(runs)
+        blobs = _by_kind(table)
+        cls, h = _unpack(blobs[LONE])
+        marks = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_of_six(b, len(b) // 6) for b in blobs[MARKS])]))
         order = np.argsort(h, kind="stable")
-        hs = h[order]
-        same = hs[1:] == hs[:-1]
-        many = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(hs) else np.zeros(0, bool)
-        order = order[many]
-        cls, n, h = cls[order], n[order], h[order]
+        same = h[order][1:] == h[order][:-1]
+        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(h) else order
+        order = np.unique(np.concatenate((order, np.flatnonzero(_held(h, marks)))))
+        cls, h = cls[order], h[order]
         order = np.lexsort((cls, h))
-        cls, n, h = cls[order], n[order], h[order]
-        fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]))) if len(h) else np.zeros(0, bool)
-        cls, n, h = cls[fresh], n[fresh], h[fresh]
+        cls, h = cls[order], h[order]
         if len(h):
+            fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])))
+            cls, h = cls[fresh], h[fresh]
             start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            keep = np.repeat(np.diff(np.append(start, len(h))) > 1, np.diff(np.append(start, len(h))))
-            cls, n, h = cls[keep], n[keep], h[keep]
-        out = [(int(table.column("p")[0].as_py()), 0, b) for b in docs]
-        if len(h):
-            order = np.argsort(cls, kind="stable")
-            cls, n, h = cls[order], n[order], h[order]
-            out += [(p, 1, b) for p, b in _deal((cls.astype(np.uint64) % _U(parts)).astype(np.int32), cls, n, h)]
+            count = np.diff(np.append(start, len(h)))
+            keep = np.repeat(count > 1, count) | _held(h, marks)
+            order = np.argsort(cls[keep], kind="stable")
+            cls, h = cls[keep][order], h[keep][order]
+        here = int(table.column("p")[0].as_py())
+        out = [(here, k, b) for k in (DOCS, SHARED, SIZES) for b in blobs[k]]
+        out += [(p, SHARED, b) for p, b in _deal(_home(cls, parts), cls, h)]
         return pa.Table.from_pylist([dict(zip(_RUNS.names, x, strict=True)) for x in out], schema=_RUNS)
 
     return run
@@ -180,17 +216,21 @@ def _survivors(percent: int):
     """Rows of documents, and of the classes with enough shared shingles."""
 
     def run(table: pa.Table) -> pa.Table:
-        runs, docs = _split(table)
-        d = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 3) for b in docs]) if docs else np.zeros((0, 3), np.int64)
-        cls, n, h = _unpack(runs)
+        blobs = _by_kind(table)
+        d, sizes = (np.concatenate([np.zeros((0, w), np.int64), *(np.frombuffer(b, np.int64).reshape(-1, w) for b in blobs[k])]) for k, w in ((DOCS, 3), (SIZES, 2)))
+        known, first = np.unique(sizes[:, 0], return_index=True)
+        cls, h = _unpack(blobs[SHARED])
         order = np.lexsort((h, cls))
-        cls, n, h = cls[order], n[order], h[order]
+        cls, h = cls[order], h[order]
+        fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]))) if len(h) else np.zeros(0, bool)
+        cls, h = cls[fresh], h[fresh]
         at = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1]))) if len(cls) else np.zeros(0, int)
         size = np.diff(np.append(at, len(cls)))
-        keep = np.flatnonzero(100 * size >= percent * n[at])
+        n = sizes[first[np.searchsorted(known, cls[at])], 1]
+        keep = np.flatnonzero(100 * size >= percent * n)
         elements = [None] * len(d) + [h[at[i] : at[i] + size[i]].astype(np.int64) for i in keep.tolist()]
         doc_id = pa.array([*d[:, 0].tolist(), *[None] * len(keep)], pa.int64())
-        return pa.Table.from_arrays([doc_id, pa.array(np.concatenate((d[:, 1], n[at][keep])), pa.int64()), pa.array(np.concatenate((d[:, 2], cls[at][keep])), pa.int64()), pa.array(elements, pa.list_(pa.int64()))], schema=_OUT)
+        return pa.Table.from_arrays([doc_id, pa.array(np.concatenate((d[:, 1], n[keep])), pa.int64()), pa.array(np.concatenate((d[:, 2], cls[at][keep])), pa.int64()), pa.array(elements, pa.list_(pa.int64()))], schema=_OUT)
 
     return run
 
@@ -276,56 +316,109 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(near).where(100 * both >= percent * (F.col("nu") + F.col("nv") - both)).select("u", "v")
 
 
+def _cross_links(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links of classes at ``left`` with those at ``right`` of other components, as a spanning forest of the components."""
+    own = np.repeat(np.arange(len(right)), [len(sets[j]) for j in right])
+    flat = np.concatenate([sets[j] for j in right])
+    order = np.argsort(flat, kind="stable")
+    own, flat = own[order], flat[order]
+    up = {int(c): int(c) for c in comp}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i in left.tolist():
+        a, b = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        size = b - a
+        near = own[np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        both = np.bincount(near, minlength=len(right))
+        for j in right[(100 * both >= percent * (n[i] + n[right] - both)) & (comp[right] != comp[i])].tolist():
+            x, y = root(int(comp[i])), root(int(comp[j]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                yield int(cls[i]), int(cls[j])
+
+
+_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    cls, comp, n = (table.column(c).to_numpy() for c in ("cls", "comp", "n"))
+    return cls, comp, n, [x.values.to_numpy(zero_copy_only=False) for x in table.column("elements")], table.column("is_left").to_numpy(zero_copy_only=False)
+
+
+def _links_table(links: list[tuple[int, int]]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=_LINKS)
+
+
 def _block_links(percent: int):
-    """Links between components in one block of sets, as a spanning forest."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    """The links of one block: rows of its left with rows of its right."""
 
     def run(table: pa.Table) -> pa.Table:
-        cls, comp, n, chunk = (table.column(c).to_numpy() for c in ("cls", "comp", "n", "chunk"))
-        two = int(table.column("one")[0].as_py()) != int(table.column("two")[0].as_py())
-        size = np.array([len(x) for x in table.column("elements")], np.int64)
-        flat = table.column("elements").combine_chunks().values.to_numpy(zero_copy_only=False)
-        own = np.repeat(np.arange(len(cls)), size)
-        _, value = np.unique(flat, return_inverse=True)
-        order = np.argsort(value, kind="stable")
-        start = np.searchsorted(value[order], np.arange(value.max() + 2))
-        up = {int(c): int(c) for c in comp}
-
-        def root(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        out, ends = [], np.cumsum(size)
-        for i in range(len(cls)):
-            if two and chunk[i] != chunk[0]:
-                continue  # a block of two chunks compares one with the other
-            mine = value[ends[i] - size[i] : ends[i]]
-            near = np.concatenate([own[order[start[x] : start[x + 1]]] for x in mine.tolist()])
-            both = np.bincount(near, minlength=len(cls))
-            ok = (100 * both >= percent * (n[i] + n - both)) & (comp != comp[i])
-            for j in np.flatnonzero(ok).tolist():
-                a, b = root(int(comp[i])), root(int(comp[j]))
-                if a != b:
-                    up[max(a, b)] = min(a, b)
-                    out.append((int(cls[i]), int(cls[j])))
-        return pa.Table.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
+        *rows, is_left = _columns(table)
+        left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        return _links_table([*_cross_links(*rows, left, right, percent)] if len(left) and len(right) else [])
 
     return run
 
 
-def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of (super, cls, comp) in blocks of pairs of chunks of bounded size."""
-    full = members.join(sets, "cls")
-    sizes = members.join(sets.select("cls", F.size("elements").alias("m")), "cls").groupBy("super").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("m") / BLOCK_ELEMENTS)).cast("int").alias("chunks"))
-    full = full.join(sizes, "super").withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks").cast("int"))
-    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    full = full.withColumn("one", F.least("chunk", "other")).withColumn("two", F.greatest("chunk", "other"))
-    return full.select("super", "one", "two", "chunk", "cls", "comp", "n", "elements").groupBy("super", "one", "two").applyInArrow(_block_links(percent), "u long, v long")
+def _batch_links(percent: int):
+    """The links of some whole groups: of each pivot, the rows marked left with all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pivot")
+        pivot = table.column("pivot").to_numpy()
+        cls, comp, n, sets, is_left = _columns(table)
+        edge = np.flatnonzero(np.concatenate(([True], pivot[1:] != pivot[:-1], [True]))).tolist()
+        out = []
+        for a, b in zip(edge, edge[1:], strict=False):
+            if is_left[a:b].any():
+                out += _cross_links(cls[a:b], comp[a:b], n[a:b], sets[a:b], np.flatnonzero(is_left[a:b]), np.arange(b - a), percent)
+        return _links_table(out)
+
+    return run
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+def _blocks(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, block_sets: int) -> DataFrame:
+    """Links of the classes of large groups, in blocks of bounded size."""
+    full = members.join(groups.select("pivot", "largest", "rights", "lefts"), "pivot").join(sets, "cls").withColumn("rest", F.col("comp") != F.col("largest"))
+    mine = lambda k: F.pmod(F.xxhash64("cls"), k).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    left = full.where("rest").withColumn("l", mine("lefts")).withColumn("r", every("rights")).withColumn("is_left", F.lit(True))
+    right = full.withColumn("l", every("lefts")).withColumn("r", mine("rights")).withColumn("is_left", F.lit(False))
+    both = left.unionByName(right).select("pivot", "l", "r", "is_left", "cls", "comp", "n", "elements")
+    return both.groupBy("pivot", "l", "r").applyInArrow(_block_links(percent), "u long, v long")
+
+
+def _labelled(pairs: DataFrame, label: DataFrame, key: str) -> DataFrame:
+    """pairs with the component of a class, itself where it has no link."""
+    of = label.select(F.col("node").alias(key), F.col("component").alias("_c"))
+    return pairs.join(of, key, "left").withColumn(f"comp_{key}", F.coalesce("_c", key)).drop("_c")
+
+
+def _open_links(shared: DataFrame, label: DataFrame, sets: DataFrame, percent: int, block_sets: int) -> DataFrame:
+    """Links between components among the classes of each pivot (u) that has classes (v) of several."""
+    tagged = materialize(_labelled(_labelled(shared.select("u", "v"), label, "u"), label, "v"), "tagged")
+    pivots = tagged.where("comp_u != comp_v").select("u", "comp_u").distinct()
+    members = tagged.join(dealt_again(pivots.select("u"), "u"), "u", "left_semi").select(F.col("u").alias("pivot"), F.col("v").alias("cls"), F.col("comp_v").alias("comp"))
+    members = materialize(members.union(pivots.select("u", "u", "comp_u")), "members")
+    comps = members.join(sets.select("cls", F.size("elements").alias("m")), "cls").groupBy("pivot", "comp").agg(F.count("*").alias("k"), F.sum("m").alias("m"))
+    groups = comps.groupBy("pivot").agg(F.sum("k").alias("k"), F.sum("m").alias("m"), F.max_by(F.struct("comp", "k", "m"), F.struct("k", "comp")).alias("top"))
+    chunks = lambda k, m: F.greatest(F.lit(1), F.ceil(k / block_sets), F.ceil(m / BLOCK_ELEMENTS)).cast("int")
+    groups = groups.select("pivot", "k", "m", F.col("top.comp").alias("largest"), chunks(F.col("k"), F.col("m")).alias("rights"), chunks(F.col("k") - F.col("top.k"), F.col("m") - F.col("top.m")).alias("lefts"))
+    groups = materialize(groups, "groups")
+    one = groups.where("rights = 1")
+    size = one.agg(F.sum("k"), F.sum("m")).first()
+    batches = max(1, -(-(size[0] or 0) // (4 * block_sets)), -(-(size[1] or 0) // BLOCK_ELEMENTS))
+    whole = members.join(one.select("pivot", "largest"), "pivot").join(sets, "cls").select("pivot", "cls", "comp", "n", "elements", (F.col("comp") != F.col("largest")).alias("is_left"))
+    whole = whole.groupBy(F.pmod(F.xxhash64("pivot"), F.lit(batches)).alias("batch")).applyInArrow(_batch_links(percent), "u long, v long")
+    return whole.union(_blocks(members, groups.where("rights > 1"), sets, percent, block_sets))
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, part_bytes: int = PART_BYTES, block_sets: int = BLOCK_SETS) -> DataFrame:
     """Components of the documents that link: Jaccard similarity of their shingle sets at least percent / 100.
 
     Returns (id_col, n_shingles, set_class, component_id); component_id is the
@@ -333,12 +426,13 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts have no shingles and link with nothing.  A text with fewer words than
     ``width`` has its word sequence as its one shingle.  Repeated rows link with
     each other and stay.  Ids are integers; a row with a null id links with nothing
-    and has no component.  Other columns are ignored.
+    and has no component.  Other columns are ignored.  ``part_bytes`` and
+    ``block_sets`` size the work of a task and don't show in the result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    parts = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // part_bytes)
     alone = rows.where("id is null").mapInArrow(_class_batches(width), "id long, n long, cls long")
     rows = rows.where("id is not null")
     runs = rows.mapInArrow(_shingle_batches("id", "text", width, parts), _RUNS_DDL)
@@ -346,33 +440,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     both = materialize(runs.groupBy("p").applyInArrow(_survivors(percent), _OUT_DDL), "sets")
     found, sets = both.where("doc_id is not null").drop("elements"), both.where("doc_id is null").drop("doc_id")
 
-    bucket = Window.partitionBy("sig")
-    members = sets.mapInArrow(_signature_batches(percent), "sig long, cls long").withColumn("pivot", F.min("cls").over(bucket)).withColumn("m", F.count("*").over(bucket))
-    members = materialize(members.where("m > 1"), "buckets")
-    sizes = sets.select("cls", "n", F.size("elements").alias("m"))
-    shared = members.where("cls != pivot").groupBy(F.col("pivot").alias("u"), F.col("cls").alias("v")).agg(F.count("*").alias("c"))
-    best = Window.partitionBy("v").orderBy(F.col("c").desc(), "u")
-    closest = _plausible(shared, sizes, percent).withColumn("k", F.row_number().over(best)).where("k = 1").select("u", "v")
-    links = materialize(_linked(closest, sets, percent), "links")
-    label = components(links)
-
-    known = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-    mixed = known.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("sig")
-    open_ = materialize(known.join(mixed, "sig").select("sig", "cls", "comp", "pivot", "m"), "open")
-    small = open_.where(F.col("m") <= SMALL_BUCKET)
-    left, right = (small.select("sig", F.col("cls").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "uv")
-    pairs = left.join(right, "sig").where("u < v and comp_u != comp_v").select("u", "v").distinct()
-    pairs = _plausible(pairs, sizes, percent).select("u", "v")
-    large = open_.where(F.col("m") > SMALL_BUCKET)
-    groups = components(large.select(F.col("pivot").alias("u"), F.col("cls").alias("v")), "super")
-    again = groups.select(F.col("node").alias("cls"), F.col("component").alias("super")).join(large.select("cls", "comp").distinct(), "cls")
-    links = links.union(_linked(pairs, sets, percent)).union(_blocks(again, sets, percent))
-    label = components(links)
-
-    first = found.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    first = first.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-    low = first.groupBy("comp").agg(F.min("first").alias("low"))
-    of_class = first.join(low, "comp").select("cls", "low")
+    signed = sets.mapInArrow(_signature_batches(percent), "sig long, cls long")
+    pivot = signed.groupBy("sig").agg(F.min("cls").alias("u"), F.count("*").alias("m")).where("m > 1").select("sig", "u")
+    shared = signed.join(dealt_again(pivot, "sig"), "sig").where("cls != u").groupBy("u", F.col("cls").alias("v")).agg(F.count("*").alias("c"))
+    shared = materialize(shared, "shared")
+    closest = _plausible(shared, sets.select("cls", "n", F.size("elements").alias("m")), percent).groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u"))
+    label = components(_linked(closest.select("u", "v"), sets, percent))
+    links = label.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    label = components(links.union(_open_links(shared, label, sets, percent, block_sets)))
+
+    first = _labelled(found.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first")), label, "cls")
+    low = first.groupBy("comp_cls").agg(F.min("first").alias("low"))
+    of_class = first.join(dealt_again(low, "comp_cls"), "comp_cls").select("cls", "low")
     out = found.join(of_class, "cls", "left").select("doc_id", "n", "cls", "low")
     out = out.union(alone.select("id", "n", "cls", F.lit(None).cast("long")))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("set_class"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))

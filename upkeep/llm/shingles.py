@@ -66,7 +66,7 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, mix(h)
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5, bits: int = 48) -> list[np.ndarray]:
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5, bits: int = 64) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a batch.
 
     raw: the texts' bytes, each followed by one space; offsets: where texts begin,
