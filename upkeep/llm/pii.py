@@ -9,8 +9,10 @@ each protected c and term t, the number of texts that hold both and the number t
 hold t.  t discloses c to the degree p(c | t), so that its pointwise mutual
 information with c is log p(c | t) - log p(c), of the -log p(c) that c holds.  Terms
 that reach ``disclosure`` are generalised, those that reach ``removal`` are removed,
-wherever they stand.  Evidence on one value needs ``min_texts`` different texts,
-evidence on a kind, which many documents hold, ``min_class_texts``.
+wherever they stand.  Evidence on one value needs ``min_texts`` different texts.
+Evidence on a kind, which many documents hold, needs ``min_class_texts`` and
+``min_class_share`` of the texts that hold the kind: so the terms that can be
+evidence stay as few as a hundred documents' terms, however large the corpus.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ TERM = re.compile(r"\w{3,}")
 HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 DIGIT = re.compile(r"\d")
 DISCLOSURE, REMOVAL = 0.5, 0.7
-MIN_TEXTS, MIN_CLASS_TEXTS = 3, 8
+MIN_TEXTS, MIN_CLASS_TEXTS, MIN_CLASS_SHARE = 3, 8, 0.01
 BROADCAST_TERMS = 1_000_000
 FLUSH = 300_000
 
@@ -124,11 +126,12 @@ def _sums(total: dict, names: list[str]) -> pa.RecordBatch:
 
 
 def _entity_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number of texts by value, in parts to be summed."""
+    """Number of texts by protected class and value, in parts to be summed."""
     total: dict[int, int] = {}
     for batch in batches:
         for t in batch.column("text").to_pylist():
-            for e in {term_hash(_value(t, s)) for s in base_spans(t)}:
+            spans = base_spans(t)
+            for e in {*(term_hash(_value(t, s)) for s in spans), *(CLASSES.index(k) for _, _, k in spans), CLASSES.index("any")}:
                 total[e] = total.get(e, 0) + 1
         if len(total) > FLUSH:
             yield _sums(total, ["entity", "n"])
@@ -196,16 +199,21 @@ def _all_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["row", "term"])
 
 
-def revealing_terms(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS, min_class_texts: int = MIN_CLASS_TEXTS, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+def revealing_terms(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS, min_class_texts: int = MIN_CLASS_TEXTS, min_class_share: float = MIN_CLASS_SHARE, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(term hash, reveals): the terms over the disclosure threshold, over all documents."""
     small_batches(docs.sparkSession)
     texts = _distinct_texts(docs.select(F.col(text_col).alias("text")), broadcast_terms)
     held = materialize(texts.mapInArrow(_with_entities, "text string"), "held")
-    often = held.mapInArrow(_entity_counts, "entity long, n long").groupBy("entity").agg(F.sum("n").alias("n")).where(F.col("n") >= min_texts).select("entity")
+    often = held.mapInArrow(_entity_counts, "entity long, n long").groupBy("entity").agg(F.sum("n").alias("n")).where(F.col("n") >= min_texts)
     often = materialize(often, "entities")
+    of_class = F.col("entity").between(0, len(CLASSES) - 1)
+    least = F.lit(min_texts)
+    for r in often.where(of_class).collect():
+        least = F.when(F.col("entity") == r.entity, max(min_class_texts, min_class_share * r.n)).otherwise(least)
+    often = often.where(~of_class).select("entity")
     wanted = often.toArrow().column("entity").to_numpy() if often.count() <= broadcast_terms else None
     near = held.mapInArrow(_pair_counts(wanted), "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("both"))
-    near = near.where(F.col("both") >= F.when(F.col("entity").between(0, len(CLASSES) - 1), min_class_texts).otherwise(min_texts))
+    near = near.where(F.col("both") >= F.when(of_class, F.greatest(least, F.lit(min_class_texts))).otherwise(min_texts))
     near = materialize(near.groupBy("term").agg(F.max("both").alias("both")), "near")  # one term has one count of documents: the largest decides
     if near.count() <= broadcast_terms:
         counts = texts.mapInArrow(_document_counts(near.select("term").toArrow().column("term").to_numpy()), "term long, docs long")
@@ -266,7 +274,7 @@ def sanitise(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, removal: float = REMOVAL, min_texts: int = MIN_TEXTS, min_class_texts: int = MIN_CLASS_TEXTS, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, removal: float = REMOVAL, min_texts: int = MIN_TEXTS, min_class_texts: int = MIN_CLASS_TEXTS, min_class_share: float = MIN_CLASS_SHARE, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, clean_text) of every whole text.
 
     spans: the base kinds, ``term`` (removed) and ``hint`` (generalised), neither of
@@ -276,7 +284,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Revealing terms are broadcast only up to ``broadcast_terms``; beyond, they are joined.
     """
     small_batches(docs.sparkSession)
-    terms = materialize(revealing_terms(docs, text_col, disclosure, min_texts, min_class_texts, broadcast_terms), "terms")
+    terms = materialize(revealing_terms(docs, text_col, disclosure, min_texts, min_class_texts, min_class_share, broadcast_terms), "terms")
     kind = docs.schema[id_col].dataType.simpleString()
     out = f"id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, clean_text string"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
