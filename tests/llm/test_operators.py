@@ -76,6 +76,17 @@ def test_hot_key_overflows(spark):
     assert len(out) == 900 and ((size["sum"] <= 1000) | (size["count"] == 1)).all()
 
 
+def test_written_shards_hold_each_row_once(spark, tmp_path):
+    """Null and repeated keys stay, rows with them too; a column of the folders' name is refused."""
+    rows = spark.createDataFrame([(None, "a" * 50, 1), (1, "b" * 90, 2), (1, "c" * 90, 3), (None, None, 4), *((i, "d" * 40, 5) for i in range(2, 30))], "doc_id long, text string, _row int")
+    table = sharding.write_shards(rows, str(tmp_path / "s"), limit=300).toPandas()
+    back = spark.read.parquet(str(tmp_path / "s")).select("doc_id", "text", "_row")
+    assert sorted(back.collect(), key=repr) == sorted(rows.collect(), key=repr)
+    assert table.rows.sum() == 32 and len(table) > 4 and (table.bytes <= 300).all()
+    with pytest.raises(ValueError):
+        sharding.write_shards(rows.withColumn("shard", F.lit(1)), str(tmp_path / "t"))
+
+
 def test_no_rows_no_shards(none):
     assert sharding.shard(none).count() == 0
 
@@ -112,6 +123,55 @@ def test_packing_of_odd_rows(odd, none):
     assert pack(none).count() == 0
 
 
+def triplets(n, rng, capacity=1000):
+    """Items that fill n bins by threes, which best fit in decreasing order does not find."""
+    for _ in range(n):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers((capacity - a) // 2 - 99, (capacity - a) // 2))
+        yield from (a, b, capacity - a - b)
+
+
+def test_crossover_saves_bins():
+    """Islands with migration beat their seed where it is known to lose, and lose to it nowhere."""
+    gained = 0
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        size = np.array([*triplets(40, rng)]) if seed < 3 else rng.integers(1, 1000, 300)
+        first = packing.decreasing(size, 1000)
+        elites = [[first]] * 3
+        for epoch in range(3):
+            best = [packing.evolve(size, elites[k], 1000, 7 * epoch + k) for k in range(3)]
+            elites = [[best[k], best[k - 1]] for k in range(3)]
+        for bins in best:
+            assert len(bins) == len(size) and np.bincount(bins, size).max() <= 1000 and bins.max() <= first.max()
+        gained += seed < 3 and int(first.max() - min(b.max() for b in best))
+    assert gained >= 3
+
+
+def test_crossover_injects_whole_bins():
+    rng = np.random.default_rng(3)
+    size = rng.integers(50, 700, 200)
+    one, two = packing.decreasing(size, 1000), np.full(200, -1)
+    packing.best_fit(rng.permutation(200), size, two, [], 1000)
+    child = packing.crossover(one, two, size, 1000, rng)
+    groups = lambda bins: {frozenset(np.flatnonzero(bins == b).tolist()) for b in set(bins.tolist())}
+    assert np.bincount(child, size).max() <= 1000 and sorted(x for g in groups(child) for x in g) == [*range(200)]
+    assert groups(child) & groups(two) - groups(one) and groups(child) & groups(one)
+
+
+def test_tokens_equal_the_library(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+    assert Counter(tuple(r) for r in out.collect()) == Counter(expected_pieces(texts(docs)))
+
+
+def test_packing_keeps_columns(spark):
+    df = spark.createDataFrame([(5, 9, 1, "x"), (1024, 8, 2, None), (5, 9, 1, "x")], "length long, sequence_id long, _row int, bin string")
+    out = packing.pack_sequences(df)
+    assert out.columns == ["length", "_row", "bin", "sequence_id", "offset"]
+    assert sorted((r.length, r._row, r.bin, r.offset) for r in out.collect() if r.bin) == [(5, 1, "x", 0), (5, 1, "x", 5)]
+
+
 # 3. Toxicity
 
 
@@ -125,6 +185,37 @@ def test_toxicity_held_out(spark):
     assert (out.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in out.doc_id]).all()
 
 
+def test_ngram_counts_and_ratios(spark):
+    """Texts that hold each n-gram, by label, counted by plain strings; the model's weights have the signs of their ratios."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(["kind", "you", "IDIOT!", "nice\n", "g\u00fct", "stupid-x"] if i % 3 else ["kind", "you", "nice"], 6)), int(i % 3 > 0)) for i in range(90)]
+
+    def feature(gram):
+        x = ord(gram[0])
+        for c in gram[1:]:
+            x = (x * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+        return ((x ^ x >> 31) * (0xC2B2AE3D27D4EB4F + 2 * len(gram)) % 2**64) >> (64 - toxicity.BITS)
+
+    want: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for _, t, y in rows:
+        t = "".join(c if c.isalnum() else " " for c in f" {t.lower()} ")
+        for f in {feature(t[k : k + n]) for n in (4, 5, 6) for k in range(len(t) - n + 1)}:
+            want[f][y] += 1
+    df = spark.createDataFrame(rows, "id long, text string, label int").repartition(5)
+    assert {r.feature: [r.negative, r.positive] for r in toxicity.ngram_counts(df).collect()} == dict(want)
+    model = toxicity.train_toxicity(df)
+    n = Counter(y for _, _, y in rows)
+    ratio = {f: abs(np.log((p + 1) / (n[1] + 2)) - np.log((q + 1) / (n[0] + 2))) * np.sqrt(p + q * n[1] / n[0]) for f, (q, p) in want.items() if p + q >= toxicity.MIN_TEXTS}
+    few = toxicity.train_toxicity(df, features=40)
+    assert len(few.features) and min(ratio[f] for f in few.features.tolist()) >= sorted(ratio.values())[-40] - 1e-9
+    score = {r.id: r.score for r in toxicity.with_toxicity(df, model).collect()}
+    for i, t, _ in rows[:20]:
+        t = "".join(c if c.isalnum() else " " for c in f" {t.lower()} ")
+        held = {feature(t[k : k + m]) for m in (4, 5, 6) for k in range(len(t) - m + 1)}
+        total = model.bias + sum(w for f, w in zip(model.features.tolist(), model.weights.tolist(), strict=True) if f in held)
+        assert score[i] == pytest.approx(1 / (1 + np.exp(-total)))
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2, int(i == 8), "x") for i in range(17)] + [(3, None, None, ""), (99, 1, 1, "")], "doc_id long, quality int, toxic int, text string")
     assert toxicity.toxicity(odd, labels).count() == odd.count()
@@ -165,6 +256,13 @@ def test_licenses_ignore_layout(spark, odd, none):
     assert licenses.scan_licenses(none, known).count() == 0
 
 
+def test_notices_go_by_row(spark):
+    """Rows of one id, or of none, have the notices of their own texts."""
+    df = spark.createDataFrame([(1, "Licensed under the MIT License."), (1, "nothing"), (None, "a\nLicensed under the MIT License."), (None, None), (1, "Licensed under the MIT License.")], "doc_id long, text string")
+    out = licenses.scan_licenses(df, licenses.known_digests(spark)).collect()
+    assert Counter((r.doc_id, r.license, r.n_notices) for r in out) == Counter([(1, "MIT", 1), (1, None, 0), (None, None, 1), (None, None, 0), (1, "MIT", 1)])
+
+
 def test_licenses_under_wraps(spark):
     """Whole texts keep their name however they are wrapped, with notices on top or not; list items and sentences are no notices."""
     known = licenses.known_digests(spark)
@@ -220,6 +318,35 @@ def test_rules_find_a_planted_threshold(spark):
     assert len(rules) == 1 and str(rules[0][0]).startswith("symbol_share > 0.35")
 
 
+def test_statistics_survive_a_filter(spark, sf_dir, docs):
+    out = quality.text_statistics(spark.read.parquet(f"{sf_dir}/documents.parquet")).where(~quality.base_failed() & (F.col("distinct_share") > 0.1))
+    want = {i: base_statistics(t or "") for i, t in docs.items()}
+    got = {r.doc_id: (r.n_words, r.n_repeat_words) for r in out.collect()}
+    assert got == {i: (x[0], x[4]) for i, x in want.items() if not x[5] and len({*WORD.findall(docs[i])}) > 0.1 * x[0]}
+
+
+def test_verdicts_follow_the_ordered_list(spark):
+    """kept and rule of a whole table against the learned conditions, checked one by one in Python; the first rule has the largest FOIL gain."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    stats = quality.materialize(quality.text_statistics(docs).drop("text"), "s")
+    y = labels.where("quality in (0, 1)").select("doc_id", (1 - F.col("quality")).cast("int").alias("bad"))
+    marked = stats.where(~quality.base_failed()).join(y, "doc_id")
+    rules = quality.learn_rules(marked)
+    values = {r.doc_id: r for r in stats.collect()}
+    holds = lambda rule, r: all((r[c.feature] > c.threshold) == c.above for c in rule)
+    first = {i: next((k for k, rule in enumerate(rules, 1) if holds(rule, r)), 0) for i, r in values.items()}
+    got = quality.quality(docs, labels).collect()
+    assert rules and {r.doc_id: r.rule for r in got} == first
+    assert all(r.kept == (not r.base_failed and first[r.doc_id] == 0) for r in got)
+    covered = Counter()
+    for r in marked.collect():
+        k = first[r.doc_id]
+        covered[k, r.bad] += 1
+    for k in range(1, len(rules) + 1):
+        assert covered[k, 1] >= quality.MIN_COVER and covered[k, 1] >= quality.MIN_PRECISION * (covered[k, 0] + covered[k, 1])
+
+
 # 7. N-gram join
 
 
@@ -272,6 +399,26 @@ def test_join_of_many_near_copies(spark):
     assert found(ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"))) == components(rows)
 
 
+def near_copies(rng, groups, copies, size, vocabulary=300):
+    """Texts of a few families that share passages: some pairs link, more of them nearly do."""
+    passage = [[f"p{x}" for x in rng.integers(0, vocabulary, size)] for _ in range(3)]
+    for g in range(groups):
+        words = [*passage[g % 3], *(f"g{x}" for x in rng.integers(0, vocabulary, size // 2))]
+        for _ in range(copies):
+            copy = list(words)
+            for at in rng.integers(0, len(words), rng.integers(0, len(words) // 12)):
+                copy[at] = f"v{rng.integers(0, 40)}"
+            yield " ".join(copy)
+
+
+@pytest.mark.parametrize("block_sets, part_bytes", [(1024, 1 << 25), (8, 1 << 11), (2, 1 << 14)])
+def test_join_of_open_groups(spark, block_sets, part_bytes):
+    """Pivots whose classes fall in several components, by pairs, in one block and in many, over one partition of the domain and over many."""
+    rows = list(enumerate(near_copies(np.random.default_rng(11), 12, 30, 60)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(ngram_join.ngram_components(df, part_bytes=part_bytes, block_sets=block_sets)) == components(rows)
+
+
 def test_null_ids_link_with_nothing(spark):
     same = "a b c d e f g h"
     df = spark.createDataFrame([(1, same), (None, same), (None, same), (2, same), (None, None), (3, "a b")], "doc_id long, text string")
@@ -283,12 +430,22 @@ def test_null_ids_link_with_nothing(spark):
 
 
 def test_automaton_matches_globs():
-    globs = ("*a?c*", "abc", "*", "", "?", "**b*", "*aab", "a*a*a", "x" * 70 + "*y")
-    words = ["", "a", "abc", "zabcz", "aab", "aaab", "aXa\u4e2da", "b", "x" * 70 + "zzy", "x" * 69 + "y", "a\nc", "xa\u0301c"]
-    want = [[bool(re.fullmatch("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in g), w, re.S)) for g in globs] for w in words]
+    globs = ("*a?c*", "abc", "*", "", "?", "***b**", "*aab", "a*a*a", "x" * 70 + "*y", "**/b/*", "a/**", "**", "\u4e2d*\u6587")
+    words = ["", "a", "abc", "zabcz", "aab", "aaab", "aXa\u4e2da", "b", "x" * 70 + "zzy", "x" * 69 + "y", "a\nc", "xa\u0301c", "/", "a/b/c", "a/b/c/d", "/b/", "a/c", "x/abc", "\u4e2dz\u6587", "\u4e2d/\u6587"]
+    part = lambda x: (".*" if len(x) > 1 else "[^/]*") if x[0] == "*" else "[^/]" if x == "?" else re.escape(x)
+    want = [[bool(re.fullmatch("".join(map(part, re.findall(r"\*+|[^*]", g))), w, re.S)) for g in globs] for w in words]
     assert urls.GlobAutomaton(globs).matches(words).tolist() == want
 
 
+def test_host_words_stay_in_the_host(spark, tmp_path):
+    rows = ["https://news.org/law/malware-report/a", "https://get-malware.biz/x", "https://news.org/malware/x", "https://news.org/a/tool.exe", "https://news.org/a/tool.exe.html", "https://ads.shop.de/", "https://loads.shop.de/"]
+    df = spark.createDataFrame([(u, 1, "x") for u in rows], "url string, glob int, _host string")
+    out = urls.filter_urls(df, [])
+    assert [r.verdict for r in out.collect()] == ["allow", "block", "block", "block", "allow", "block", "allow"] and "_host" in out.columns
+    (tmp_path / "rules.txt").write_text("# none\n\nurl://*news*/law/**\n")
+    assert [r.verdict for r in urls.filter_urls(df, [], urls.read_globs(spark, str(tmp_path / "rules.txt"))).collect()] == ["block", *["allow"] * 6]
+
+
 def test_urls_by_hand(spark):
     rows = ["HTTP://A.Example.COM/en/7x?q", "https://example.com/en/8", "https://notcom/en/7", "x://example.net#f", "no scheme", None, "", "a://b.org/es/", "a://cheap-pills.biz/", "http://x.de?u=c://d/e"]
     df = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(rows)], "page_id long, url string, host string, path string")
@@ -354,6 +511,61 @@ def test_signatures_copies_and_far_words_reveal(spark):
         assert sum("[TERM]" in t for t in out) == 607 and {*plain} <= {*out}
 
 
+def test_terms_match_brute_force(spark):
+    """Counts of texts, shares and spans of the whole table, by plain counting; the class of personal data is revealed by more than chance."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = texts(docs)
+    both, alone, holders = Counter(), Counter(), Counter()
+
+    def shape(w):
+        kind = "d" if w.isdecimal() else "x" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", w) else "w"
+        return f"#{kind}{len(w)}" if re.search(r"\d", w) else w.lower()
+
+    for t in {t for _, t in rows}:
+        spans, bare = base_pii(t), t
+        for a, b, _ in spans:
+            bare = bare[:a] + " " * (b - a) + bare[b:]
+        words = {shape(w) for w in re.findall(r"\w{3,}", bare)}
+        alone.update(words)
+        protected = {t[a:b].lower() + k for a, b, k in spans} | {k for _, _, k in spans} | ({"any"} if spans else set())
+        both.update((p, w) for p in protected for w in words)
+        holders.update(protected)
+    least = {p: max(8, 0.01 * n) if p in (*pii.KINDS, "any") else 3 for p, n in holders.items()}
+    want: dict[str, float] = {}
+    for (p, w), n in both.items():
+        if n >= least[p] and n / alone[w] >= pii.DISCLOSURE:
+            want[w] = max(want.get(w, 0.0), n / alone[w])
+    got = {r.term: r.reveals for r in pii.revealing_terms(docs).collect()}
+    assert want and got == {pii.term_hash(w): x for w, x in want.items()}
+    seen = {r.doc_id: r.spans for r in pii.personal_data(docs).select("doc_id", "spans").collect()}
+    for i, t in rows:
+        base = base_pii(t)
+        more = [(m.start(), m.end(), "term" if want[shape(m[0])] >= pii.REMOVAL else "hint") for m in re.finditer(r"\w{3,}", t) if shape(m[0]) in want]
+        more = [x for x in more if not any(a < x[1] and x[0] < b for a, b, _ in base)]
+        assert seen[i] == ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(base + more, key=lambda s: (s[0], pii.ALL_KINDS.index(s[2]))))
+    assert sum("term:" in x or "hint:" in x for x in seen.values()) >= 10
+
+
+def test_terms_of_a_kind_are_generalised_or_removed(spark):
+    """A word before values that never come again reveals their kind; the weaker one is generalised; copies and few texts are no evidence."""
+    word = lambda i: "".join(chr(97 + int(d)) * 3 for d in f"{i:03}")
+    rows = [f"{word(i)} Dial +44 20 7946 0{i + 100} {word(i + 50)} reach" for i in range(20)] + [f"the {word(i + 100)} reach of {word(i + 150)}" for i in range(15)]
+    rows += [f"the {word(300)} seldom a{i}@b.example" for i in range(5)] + ["quux c@d.example"] * 40 + [f"the {word(400 + i)} day" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for most in (1_000_000, 0):
+        out = [r.clean_text for r in pii.personal_data(df, broadcast_terms=most).orderBy("doc_id").collect()]
+        assert all("[TERM] [PHONE]" in t and t.endswith("[WORD]") for t in out[:20])
+        assert all("reach" not in t for t in out[20:35]) and all("seldom" in t for t in out[35:40])
+        assert out[40:80] == ["quux [EMAIL]"] * 40 and out[80:] == rows[80:]
+
+
+def test_mask_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([("a@b.example", "x", 1, "y", None), (None, "z", 2, None, 3)], "text string, clean_text string, row int, _row string, spans int")
+    assert sorted(pii.mask(df).collect(), key=repr) == sorted([("[EMAIL]", "x", 1, "y", None), (None, "z", 2, None, 3)], key=repr)
+    assert pii.mask(df).columns == df.columns
+
+
 # 10. Nearest neighbours
 
 
@@ -371,6 +583,25 @@ def test_recall_and_scores(spark, sf_dir):
     assert hit / total >= 0.9
 
 
+def test_exact_scores_and_recall_of_many_vectors(spark):
+    """Over 20,000 vectors, with a cluster of near-equal ones and copies: scores are the exact products, and recall holds."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((20_480, 32))
+    x[1000:1600] = x[1000] + 0.01 * rng.standard_normal((600, 32))
+    x[3000:3300] = x[3000]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    out = ann.inner_product_search(df, df.where("vec_id % 20 = 0")).toPandas()
+    exact = x[::20] @ x.T
+    hit = 0
+    for q, g in out.groupby("query_id"):
+        g = g.sort_values("rank")
+        s = exact[q // 20].copy()
+        assert np.allclose(g.score, (x[g.vec_id] * x[q]).sum(axis=1), rtol=1e-13, atol=1e-13) and len({*g.vec_id}) == 20 and q not in {*g.vec_id}
+        s[q] = -np.inf
+        hit += len({*g.vec_id} & {*np.lexsort((np.arange(len(s)), -s))[:20]})
+    assert out.query_id.nunique() == 1024 and hit / (20 * 1024) >= 0.95
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [2.0, 0.0]), (7, [float("inf"), 0.0]), (8, [-1.0, 5.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
