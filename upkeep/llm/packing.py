@@ -228,13 +228,14 @@ def _epoch(capacity: int, epoch: int):
 def _pack_level(items: DataFrame, blocks: int, capacity: int) -> DataFrame:
     """(block, bin, row, size, fill) of one level; items: (row, size)."""
     dealt = items.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), "row", F.col("size").cast("int").alias("size"))
-    first = materialize(dealt.groupBy("block").applyInArrow(_first(capacity), "block int, bin int, row long, size int, open boolean"), "first")
+    tasks = lambda n: min(n, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # noqa: E731  a number that Spark keeps: these rows are few bytes and much work
+    first = materialize(dealt.repartition(tasks(blocks), "block").groupBy("block").applyInArrow(_first(capacity), "block int, bin int, row long, size int, open boolean"), "first")
     state = first.where("open").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("row", "size", "bin"))).alias("x"))  # of a block's rows at most
     state = state.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("x.row").alias("rows"), F.col("x.size").alias("sizes"), F.col("x.bin").alias("bins"), F.lit(0.0).alias("fitness"))
     for epoch in range(EPOCHS):
         if epoch:
             state = state.withColumn("island", F.explode(F.array("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)))))
-        state = state.groupBy("block", "island").applyInArrow(_epoch(capacity, epoch), _STATE)
+        state = state.repartition(tasks(blocks * ISLANDS), "block", "island").groupBy("block", "island").applyInArrow(_epoch(capacity, epoch), _STATE)
     best = state.groupBy("block").agg(F.max_by(F.struct("rows", "sizes", "bins"), F.struct("fitness", -F.col("island"))).alias("s"))
     rows = best.select("block", F.explode(F.arrays_zip("s.rows", "s.sizes", "s.bins")).alias("x"))
     rows = rows.select("block", (F.col("x.bins") + BLOCK).alias("bin"), F.col("x.rows").alias("row"), F.col("x.sizes").alias("size"))
