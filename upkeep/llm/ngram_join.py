@@ -42,9 +42,9 @@ from upkeep.llm.shingles import mix, shingle_sets, text_bytes
 
 _U = np.uint64
 _BITS = _U((1 << 48) - 1)
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Bytes of text for one partition of the shingles' and the classes' domains.
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 BLOCK_SETS, BLOCK_ELEMENTS = 1024, 2_000_000
 #: Rows that travel: documents, shingles of one class of a batch, shingles known to be shared, marks of those, sizes of classes.
 DOCS, LONE, SHARED, MARKS, SIZES = range(5)
@@ -71,13 +71,17 @@ def _pack(cls: np.ndarray, count: np.ndarray, h: np.ndarray) -> bytes:
 
 
 def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Class and shingle hash of each element."""
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    """Class and shingle hash of each element, filled into arrays of the size that they need."""
+    counts = []
     for b in blobs:
         k, code = np.frombuffer(b, np.int32, 2).tolist()
-        cls, count = np.frombuffer(b, np.int64, k, 8), np.frombuffer(b, _WIDTHS[code], k, 8 + 8 * k)
-        out.append((np.repeat(cls, count), _of_six(b, int(count.sum()), 8 + 8 * k + count.nbytes)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        counts.append(np.frombuffer(b, _WIDTHS[code], k, 8 + 8 * k))
+    ends = np.cumsum([0, *(int(c.sum()) for c in counts)]).tolist()
+    cls, h = np.empty(ends[-1], np.int64), np.empty(ends[-1], np.uint64)
+    for b, count, lo, hi in zip(blobs, counts, ends, ends[1:], strict=False):
+        cls[lo:hi] = np.repeat(np.frombuffer(b, np.int64, len(count), 8), count)
+        h[lo:hi] = _of_six(b, hi - lo, 8 + 8 * len(count) + count.nbytes)
+    return cls, h
 
 
 def _deal(part: np.ndarray, cls: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -187,13 +191,16 @@ def _shared_shingles(parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         blobs = _by_kind(table)
-        cls, h = _unpack(blobs[LONE])
+        cls, h = _unpack(blobs.pop(LONE))
         marks = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_of_six(b, len(b) // 6) for b in blobs[MARKS])]))
         order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(h) else order
-        order = np.unique(np.concatenate((order, np.flatnonzero(_held(h, marks)))))
-        cls, h = cls[order], h[order]
+        sorted_h = h[order]
+        same = sorted_h[1:] == sorted_h[:-1]
+        del sorted_h
+        many = _held(h, marks)
+        many[order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(h) else order] = True
+        del order, same
+        cls, h = cls[many], h[many]
         order = np.lexsort((cls, h))
         cls, h = cls[order], h[order]
         if len(h):
