@@ -31,13 +31,13 @@ CTES: dict[str, str] = {
     "inspections": f"SELECT event_id AS inspection_id, ts, day, unit_id, component_id, least(100.0::DOUBLE, value) AS score, CASE WHEN value >= 60 THEN 1 ELSE 0 END AS defect, (50 + event_id % 50) / 100 AS confidence, {SEV}[event_id % 4 + 1] AS severity, {REPORTED}[event_id % 5 + 1] AS reported FROM ev WHERE event_type = 'signup'",
     "failures": "SELECT event_id AS failure_id, ts, day, unit_id, component_id, (1 + event_id % 5)::INT AS severity, 1 + value / 50 AS downtime_h, (event_id % 2)::INT AS repeated, 'mode_' || (event_id % 3) AS mode FROM ev WHERE event_type = 'error'",
     "alerts": f"SELECT reading_id AS alert_id, ts, day, unit_id, component_id, CASE WHEN reading_id % 3 <> 0 THEN 1 ELSE 0 END AS early, (reading_id % 2)::INT AS attended, {SEV}[reading_id % 4 + 1] AS severity, CASE WHEN reading_id % 5 < 3 THEN 'sensor' ELSE 'inspection' END AS origin FROM readings WHERE value > 80",
-    "maintenance": "SELECT event_id AS maintenance_id, ts, day, unit_id, component_id, unit_id % 10 AS depot_id, (event_id % 3 = 0)::INT AS corrective, (event_id % 3 = 1)::INT AS condition_based, (event_id % 3 = 2)::INT AS planned, 1 + value / 100 AS hours, value * 20 AS cost FROM ev WHERE event_type = 'purchase'",
+    "maintenance": "SELECT event_id AS maintenance_id, ts, day, unit_id, component_id, unit_id % 25 AS depot_id, (event_id % 3 = 0)::INT AS corrective, (event_id % 3 = 1)::INT AS condition_based, (event_id % 3 = 2)::INT AS planned, 1 + value / 100 AS hours, value * 20 AS cost FROM ev WHERE event_type = 'purchase'",
     "calendar": "SELECT unnest(generate_series((SELECT min(day) FROM ev), (SELECT max(day) FROM ev), INTERVAL 1 DAY))::DATE AS day",
     "weeks": "SELECT unnest(generate_series((SELECT min(day) FROM ev), (SELECT max(day) FROM ev), INTERVAL 7 DAY))::DATE AS snapshot",
-    "backlog": f"SELECT snapshot AS day, event_id AS order_id, unit_id % 10 AS depot_id, unit_id, component_id, date_diff('day', e.day, snapshot) AS age_days, {SEV}[event_id % 4 + 1] AS severity, least(100.0::DOUBLE, date_diff('day', e.day, snapshot) * 2 + value / 5) AS risk FROM ev e JOIN weeks ON snapshot >= e.day WHERE event_type = 'purchase' AND event_id % 2 = 0",
-    "units": "SELECT unit_id, unit_id % 6 AS fleet_id, unit_id % 10 AS depot_id, unit_id % 16 AS line_id, (3 + unit_id % 4) || '_cars' AS configuration, (5 + unit_id % 6) / 2 AS service_criticality FROM (SELECT DISTINCT unit_id FROM ev)",
+    "backlog": f"SELECT snapshot AS day, event_id AS order_id, unit_id % 25 AS depot_id, unit_id, component_id, date_diff('day', e.day, snapshot) AS age_days, {SEV}[event_id % 4 + 1] AS severity, least(100.0::DOUBLE, date_diff('day', e.day, snapshot) * 2 + value / 5) AS risk FROM ev e JOIN weeks ON snapshot >= e.day WHERE event_type = 'purchase'",
+    "units": "SELECT unit_id, unit_id % 6 AS fleet_id, unit_id % 25 AS depot_id, unit_id % 16 AS line_id, (3 + unit_id % 4) || '_cars' AS configuration, (5 + unit_id % 6) / 2 AS service_criticality FROM (SELECT DISTINCT unit_id FROM ev)",
     "components": f"SELECT p_partkey AS component_id, p_partkey // 8 AS unit_id, p_type AS system, {KIND}[p_partkey % 5 + 1] AS kind, (1 + p_size % 5)::DOUBLE AS criticality, p_size / 40 AS age_ratio, (p_retailprice - 900) / 100 AS cycles_ratio FROM part WHERE p_partkey IN (SELECT component_id FROM ev)",
-    "depots": f"SELECT s_suppkey AS depot_id, s_name AS depot_name, 50 + abs(s_acctbal) / 200 AS capacity, {KIND}[s_suppkey % 5 + 1] || ' ' || {KIND}[(s_suppkey + 2) % 5 + 1] AS speciality FROM supplier WHERE s_suppkey < 10",
+    "depots": f"SELECT n_nationkey::BIGINT AS depot_id, n_name AS depot_name, 50 + coalesce(wealth, 0) / 200 AS capacity, {KIND}[n_nationkey % 5 + 1] || ' ' || {KIND}[(n_nationkey + 2) % 5 + 1] AS speciality FROM nation LEFT JOIN (SELECT s_nationkey, round(avg(abs(s_acctbal)), 2) AS wealth FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey",
     "service": """SELECT day, unit_id, fleet_id, line_id, 20.0::DOUBLE AS planned_h, 20 - unavailable_h AS available_h, unavailable_h, floor(unavailable_h / 4)::BIGINT AS cancellations, unavailable_h / 20 AS punctuality_hit, (unavailable_h > 8)::INT AS substitution
         FROM (SELECT c.day, u.*, least(20.0::DOUBLE, coalesce(d, 0) + coalesce(h, 0) * 13 / 20) AS unavailable_h FROM units u CROSS JOIN calendar c
         LEFT JOIN (SELECT day, unit_id, sum(downtime_h) AS d FROM failures GROUP BY ALL) f ON f.day = c.day AND f.unit_id = u.unit_id LEFT JOIN (SELECT day, unit_id, sum(hours) AS h FROM maintenance GROUP BY ALL) m ON m.day = c.day AND m.unit_id = u.unit_id)""",

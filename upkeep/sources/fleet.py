@@ -1,9 +1,10 @@
 """The canonical fleet model derived from the star-schema tables.
 
 ``events`` are the fleet's signals: views and clicks are sensor readings, signups
-inspections, errors failures, purchases maintenance.  ``part`` describes the
-components, ``supplier`` the depots.  All derivations are plain arithmetic, so they
-run inside code generation and push filters on the event type down to the scan.
+inspections, errors failures, purchases maintenance and the orders for it.  ``part``
+describes the components; each of the nations is a depot, whose capacity its
+suppliers give.  All derivations are plain arithmetic, so they run inside code
+generation and push filters on the event type down to the scan.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ SEVERITIES = "array('low', 'medium', 'high', 'critical')"
 REPORTED = "array('wheel scan', 'brake thermal', 'bogie acoustic', 'pantograph camera', 'general')"
 KINDS = "array('wheel_profile', 'brake_disc', 'bogie_frame', 'pantograph_head', 'door_actuator')"
 
+DEPOTS = 25  # the nations of the star schema, a table of fixed size
+
 
 class Fleet:
     """Lazy tables of one data folder."""
@@ -68,7 +71,7 @@ class Fleet:
     @cached_property
     def maintenance(self) -> DataFrame:
         return self.signals.where("event_type = 'purchase'").selectExpr(
-            "event_id as maintenance_id", "ts", "day", "unit_id", "component_id", "unit_id % 10 as depot_id", "case when event_id % 3 = 0 then 1 else 0 end as corrective", "case when event_id % 3 = 1 then 1 else 0 end as condition_based", "case when event_id % 3 = 2 then 1 else 0 end as planned", "1 + value / 100 as hours", "value * 20 as cost"
+            "event_id as maintenance_id", "ts", "day", "unit_id", "component_id", f"unit_id % {DEPOTS} as depot_id", "case when event_id % 3 = 0 then 1 else 0 end as corrective", "case when event_id % 3 = 1 then 1 else 0 end as condition_based", "case when event_id % 3 = 2 then 1 else 0 end as planned", "1 + value / 100 as hours", "value * 20 as cost"
         )
 
     @cached_property
@@ -84,16 +87,16 @@ class Fleet:
     def backlog(self) -> DataFrame:
         """Open orders at each weekly snapshot from their day on."""
         weeks = self.span.selectExpr("explode(sequence(first_day, last_day, interval 7 days)) as snapshot")
-        orders = self.signals.where("event_type = 'purchase' and event_id % 2 = 0")
+        orders = self.signals.where("event_type = 'purchase'")
         open_ = orders.join(F.broadcast(weeks), F.col("snapshot") >= F.col("day"))
         return open_.selectExpr(
-            "snapshot as day", "event_id as order_id", "unit_id % 10 as depot_id", "unit_id", "component_id", "datediff(snapshot, day) as age_days", f"element_at({SEVERITIES}, cast(event_id % 4 as int) + 1) as severity", "least(100.0D, datediff(snapshot, day) * 2 + value / 5) as risk"
+            "snapshot as day", "event_id as order_id", f"unit_id % {DEPOTS} as depot_id", "unit_id", "component_id", "datediff(snapshot, day) as age_days", f"element_at({SEVERITIES}, cast(event_id % 4 as int) + 1) as severity", "least(100.0D, datediff(snapshot, day) * 2 + value / 5) as risk"
         )
 
     @cached_property
     def units(self) -> DataFrame:
         return self.signals.select("unit_id").distinct().selectExpr(
-            "unit_id", "unit_id % 6 as fleet_id", "unit_id % 10 as depot_id", "unit_id % 16 as line_id", "concat(3 + unit_id % 4, '_cars') as configuration", "(5 + unit_id % 6) / 2 as service_criticality"
+            "unit_id", "unit_id % 6 as fleet_id", f"unit_id % {DEPOTS} as depot_id", "unit_id % 16 as line_id", "concat(3 + unit_id % 4, '_cars') as configuration", "(5 + unit_id % 6) / 2 as service_criticality"
         )
 
     @cached_property
@@ -106,8 +109,10 @@ class Fleet:
 
     @cached_property
     def depots(self) -> DataFrame:
-        return self.table("supplier").where("s_suppkey < 10").selectExpr(
-            "s_suppkey as depot_id", "s_name as depot_name", "50 + abs(s_acctbal) / 200 as capacity", f"concat(element_at({KINDS}, cast(s_suppkey % 5 as int) + 1), ' ', element_at({KINDS}, cast((s_suppkey + 2) % 5 as int) + 1)) as speciality"
+        wealth = self.table("supplier").groupBy("s_nationkey").agg(F.round(F.avg(F.abs("s_acctbal")), 2).alias("wealth"))
+        nations = self.table("nation").join(wealth, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+        return nations.selectExpr(
+            "cast(n_nationkey as long) as depot_id", "n_name as depot_name", "50 + coalesce(wealth, 0.0D) / 200 as capacity", f"concat(element_at({KINDS}, cast(n_nationkey % 5 as int) + 1), ' ', element_at({KINDS}, cast((n_nationkey + 2) % 5 as int) + 1)) as speciality"
         )
 
     @cached_property
