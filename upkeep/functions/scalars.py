@@ -1,10 +1,10 @@
-"""Column helpers: null-aware clips, ratios, families, percent ranks and rule chains."""
+"""Column helpers: null-aware clips, ratios, families and rule chains."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FAMILIES = ("wheel", "brake", "bogie", "pantograph")
@@ -51,25 +51,6 @@ def last_rule_wins(rules: Sequence[tuple[Column, object]], default: object) -> C
     return out
 
 
-def min_max(x: Column, within: Sequence[str] = ()) -> Column:
-    """Scaled to 0..1 over a frame or its partitions; 0 where all values are equal."""
-    w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    low, high = F.min(x).over(w), F.max(x).over(w)
-    return F.when(high - low < 1e-9, F.lit(0.0)).otherwise((x - low) / (high - low))
-
-
-def average_rank(x: Column, within: Sequence[str] = ()) -> Column:
-    """Rank from 1, ties get the mean of their places."""
-    w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    ties = Window.partitionBy(*within, x) if within else Window.partitionBy(x)
-    return F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(ties) - 1) / 2
-
-
-def percent_rank(x: Column, within: Sequence[str] = ()) -> Column:
-    w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    return average_rank(x, within) / F.count(F.lit(1)).over(w)
-
-
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from upkeep.functions.ordering import running
 from upkeep.functions.scalars import FAMILIES, clip, days_crossed, family, filled, hours_crossed, ratio
 from upkeep.functions.temporal import nearest_in_window
 from upkeep.operators.marts import total
@@ -110,5 +111,5 @@ def condition_value(fleet: Fleet) -> DataFrame:
 def pareto(df: DataFrame, key: str, value: str) -> DataFrame:
     """Sums by key with the running share, largest first."""
     sums = df.groupBy(key).agg(F.sum(value).alias(value))
-    w = Window.orderBy(F.col(value).desc(), key)
-    return sums.withColumn("running_share", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(value).over(Window.partitionBy(F.lit(0))))
+    upto = running(sums, {"_upto": F.col(value)}, [F.col(value).desc(), F.col(key)])
+    return upto.withColumn("running_share", F.col("_upto") / F.col("_upto_total")).drop("_upto", "_upto_total")

@@ -7,30 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from upkeep.functions.scalars import average_rank, right_closed
+from upkeep.functions.ordering import running, value_ranks
+from upkeep.functions.scalars import right_closed
 
 
 def roc_auc(df: DataFrame, outcome: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve from average ranks; null without both outcomes."""
-    ranked = df.withColumn("_r", average_rank(F.col(score), by))
-    sums = ranked.groupBy(*by).agg(F.sum(F.when(F.col(outcome) == 1, F.col("_r"))).alias("s"), F.sum(F.col(outcome).cast("long")).alias("p"), F.count("*").alias("n"))
+    ranked = value_ranks(df, score, [F.sum(F.col(outcome).cast("long")).alias("_p")], by)
+    sums = ranked.groupBy(*by).agg(F.sum(F.col("_rank") * F.col("_p")).alias("s"), F.sum("_p").alias("p"), F.sum("_n").alias("n"))
     p, n = F.col("p"), F.col("n") - F.col("p")
     return sums.select(*by, F.when((p > 0) & (n > 0), F.try_divide(F.col("s") - p * (p + 1) / 2, p * n)).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, outcome: str = "y", score: str = "score", tie: str = "component_id", by: Sequence[str] = ()) -> DataFrame:
     """Mean of the precision at each hit, scores from high to low, ties by id."""
-    base = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    w = base.orderBy(F.col(score).desc(), tie)
-    hits = df.withColumn("_h", F.sum(outcome).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.row_number().over(w))
+    sums = running(df, {"_hits": F.col(outcome), "_k": F.lit(1)}, [F.col(score).desc(), F.col(tie)], by)
+    hits = sums.withColumn("_h", F.col("_hits") / F.col("_k"))
     return hits.groupBy(*by).agg(F.try_divide(F.sum(F.when(F.col(outcome) == 1, F.col("_h"))), F.sum(outcome).cast("double")).alias("average_precision"))
 
 
 def top_lift(df: DataFrame, outcome: str = "y", score: str = "score", tie: str = "component_id", share: float = 0.10, by: Sequence[str] = ()) -> DataFrame:
     """Rate of outcomes in the top share against the rate of all."""
-    base = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = df.withColumn("_k", F.row_number().over(base.orderBy(F.col(score).desc(), tie))).withColumn("_n", F.count("*").over(base))
-    first = F.col("_k") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * share))
+    ranked = running(df, {"_k": F.lit(1)}, [F.col(score).desc(), F.col(tie)], by)
+    first = F.col("_k") <= F.greatest(F.lit(1), F.ceil(F.col("_k_total") * share))
     return ranked.groupBy(*by).agg(F.try_divide(F.avg(F.when(first, F.col(outcome))), F.avg(outcome)).alias("top_lift"))
 
 

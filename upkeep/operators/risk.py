@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.functions.scalars import average_rank, clip, family, filled, min_max, percent_rank, right_closed, with_quantiles
+from upkeep.functions.ordering import average_rank, placed, scaled, value_ranks
+from upkeep.functions.scalars import clip, family, filled, right_closed, with_quantiles
 from upkeep.functions.temporal import asof
+from upkeep.sources.store import materialize
 
 
 def component_scores(df: DataFrame, within: Sequence[str] = ()) -> DataFrame:
@@ -19,26 +21,29 @@ def component_scores(df: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """
     health = filled("health_index", 60) * 0.58 + clip(100 - filled("deterioration_index", 40), 0, 100) * 0.17 + clip(100 - filled("velocity", 0) * 10, 0, 100) * 0.12 + clip(100 - filled("defect_recent", 0), 0, 100) * 0.07 + filled("restoration", 0) * 0.10 - filled("exposed", 0) * 2.0
     weights = {"deterioration_index": (0.45, 40), "velocity": (0.22, 0), "stress": (0.12, 0.9), "anomalies_30": (0.08, 0), "shocks_30": (0.05, 0), "exposed": (0.05, 0), "repeated": (0.03, 0), "restoration": (-0.10, 0)}
-    raw = sum((F.lit(w) * min_max(filled(c, d), within) for c, (w, d) in weights.items()), F.lit(0.0))
+    df = scaled(df, {f"_s_{c}": filled(c, d) for c, (_, d) in weights.items()}, within)
+    raw = sum((F.lit(w) * F.col(f"_s_{c}") for c, (w, _) in weights.items()), F.lit(0.0))
     df = df.withColumn("family", family(F.col("kind"), order=("wheel", "brake", "pantograph", "bogie"), default="bogie"))
-    df = df.withColumns({"health_score": clip(health, 5, 100), "_raw": F.round(clip(raw, 0, 1), 9)})
-    pct = clip(0.60 * percent_rank(F.col("_raw"), [*within, "family"]) + 0.40 * percent_rank(F.col("_raw"), within), 0, 1)
-    return df.withColumn("failure_risk", clip(0.03 + 0.88 * F.pow(pct, 1.55), 0.02, 0.95)).drop("_raw")
+    df = df.withColumns({"health_score": clip(health, 5, 100), "_raw": F.round(clip(raw, 0, 1), 9)}).drop(*(f"_s_{c}" for c in weights))
+    df = materialize(df, "raw")  # counted and joined for each rank
+    df = average_rank(df, "_raw", "_in_family", [*within, "family"], share=True)
+    df = average_rank(df, "_raw", "_in_all", within, share=True)
+    pct = clip(0.60 * F.col("_in_family") + 0.40 * F.col("_in_all"), 0, 1)
+    return df.withColumn("failure_risk", clip(0.03 + 0.88 * F.pow(pct, 1.55), 0.02, 0.95)).drop("_raw", "_in_family", "_in_all")
 
 
 def main_driver(scored: DataFrame) -> DataFrame:
     """The largest contribution, the first of equals, under four overriding rules of which the last wins."""
     signal = filled("anomalies_30", 0) + 0.6 * filled("shocks_30", 0)
     df = scored.withColumns({"_signal": signal, "_stress": filled("stress", 0)})
-    parts = {
-        "degradation": min_max(filled("deterioration_index", 40)) * 0.45 + min_max(filled("velocity", 0)) * 0.35 + min_max(filled("defect_recent", 0)) * 0.20,
-        "stress": min_max(filled("stress", 0.9)),
-        "anomalies": min_max(F.col("_signal")),
-        "backlog": min_max(filled("exposed", 0) + (filled("days_since_maintenance", 365) > 120).cast("int")),
-        "repetition": min_max(filled("repeated", 0) + (filled("days_since_failure", 365) < 60).cast("int")),
-    }
+    units = {
+        "_worn": filled("deterioration_index", 40), "_velocity": filled("velocity", 0), "_defect": filled("defect_recent", 0), "_stressed": filled("stress", 0.9), "_anomalies": signal,
+        "_backlog": filled("exposed", 0) + (filled("days_since_maintenance", 365) > 120).cast("int"), "_repetition": filled("repeated", 0) + (filled("days_since_failure", 365) < 60).cast("int"),
+    }
+    df = scaled(df, units)
+    parts = {"degradation": F.col("_worn") * 0.45 + F.col("_velocity") * 0.35 + F.col("_defect") * 0.20, "stress": F.col("_stressed"), "anomalies": F.col("_anomalies"), "backlog": F.col("_backlog"), "repetition": F.col("_repetition")}
     best = F.array_max(F.array(*(F.struct(F.round(v, 9).alias("v"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, v) in enumerate(parts.items()))))
-    df = with_quantiles(df.withColumn("_best", best), {"stress88": ("_stress", 0.88), "signal85": ("_signal", 0.85)})
+    df = with_quantiles(df.withColumn("_best", best).drop(*units), {"stress88": ("_stress", 0.88), "signal85": ("_signal", 0.85)})
     risk, worn = F.col("failure_risk"), filled("deterioration_index", 0)
     driver = (
         F.when((filled("repeated", 0) == 1) & (risk >= 0.50) & (worn < 75), "repetition")
@@ -55,9 +60,10 @@ def confidence(scored: DataFrame) -> DataFrame:
     fields = ["sensor_mean", "sensor_std", "rolling_mean", "rolling_std", "deterioration_index", "stress", "velocity"]
     complete = sum((F.col(c).isNotNull().cast("int") for c in fields), F.lit(0)) / len(fields)
     fresh = F.exp(-clip(filled("days_since_maintenance", 180), 0, 365) / 180.0)
-    calm = 1 - min_max(filled("anomalies_30", 0) + 0.5 * filled("shocks_30", 0))
+    scored = scaled(scored, {"_restless": filled("anomalies_30", 0) + 0.5 * filled("shocks_30", 0)})
+    calm = 1 - F.col("_restless")
     signal = complete * 0.45 + fresh * 0.20 + clip(filled("confidence_recent", 0.55), 0, 1) * 0.25 + calm * 0.10
-    df = with_quantiles(scored.withColumn("quality", F.round(clip(signal, 0, 1), 9)), {"q20": ("quality", 0.20), "q70": ("quality", 0.70)})
+    df = with_quantiles(scored.withColumn("quality", F.round(clip(signal, 0, 1), 9)).drop("_restless"), {"q20": ("quality", 0.20), "q70": ("quality", 0.70)})
     low = F.greatest(F.lit(0.35), F.least("q20", F.lit(0.60)))
     high = F.least(F.greatest("q70", low + 0.08), F.lit(0.90))
     return df.withColumn("confidence_flag", F.when(F.col("quality") >= high, "high").when(F.col("quality") >= low, "medium").otherwise("low")).drop("q20", "q70")
@@ -77,7 +83,7 @@ def business_ranking(scored: DataFrame, units: DataFrame) -> DataFrame:
     df = scored.join(units.select("unit_id", "unit_score"), "unit_id", "left")
     risk = clip(F.col("failure_risk") * 100 * 0.7 + (100 - F.col("health_score")) * 0.2 + filled("unit_score", 0) * 0.1, 0, 100)
     df = df.withColumn("business_risk", F.round(risk, 9))
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col("business_risk").desc(), "component_id")))
+    return placed(df, "rank", [F.col("business_risk").desc(), F.col("component_id")])
 
 
 def history(features: DataFrame, failures: DataFrame, days: int = 30) -> DataFrame:
@@ -104,12 +110,20 @@ def confusion(past: DataFrame, threshold: float = 55) -> DataFrame:
 
 
 def spearman(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """Rank correlation of each feature with the target; 0 where either is constant.  Nulls count as the median."""
+    """Rank correlation of each feature with the target; 0 where either is constant.  Nulls count as the median.
+
+    The target's centred ranks are summed by value of a feature, so ranks of the
+    feature needn't be joined back to the rows.
+    """
     medians = df.agg(*(F.percentile(c, 0.5).alias(f"_m_{c}") for c in features))
     df = df.crossJoin(F.broadcast(medians)).select(F.col(target).alias("_y"), *(F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")).alias(c) for c in features))
-    ranks = df.select(average_rank(F.col("_y")).alias("_y"), *(average_rank(F.col(c)).alias(c) for c in features))
-    row = ranks.agg(*(F.when((F.stddev_pop(c) > 0) & (F.stddev_pop("_y") > 0), F.corr(c, "_y")).otherwise(F.lit(0.0)).alias(c) for c in features))
-    return row.unpivot([], list(features), "feature", "correlation")
+    ranked = average_rank(df, "_y", "_ry").unpivot(["_ry"], list(features), "feature", "value")
+    middle = ranked.groupBy("feature").agg(F.avg("_ry").alias("_m"))
+    ranked = ranked.join(F.broadcast(middle), "feature").withColumn("_ry", F.col("_ry") - F.col("_m"))  # a row for each feature
+    values = value_ranks(ranked, "value", [F.sum("_ry").alias("_s"), F.sum(F.col("_ry") * F.col("_ry")).alias("_s2")], ["feature"])
+    rank = F.col("_rank") - (F.col("_rows") + 1) / 2
+    sums = values.groupBy("feature").agg(F.sum(rank * F.col("_s")).alias("xy"), F.sum(rank * rank * F.col("_n")).alias("xx"), F.sum("_s2").alias("yy"))
+    return sums.select("feature", F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt("xx") / F.sqrt("yy")).otherwise(F.lit(0.0)).alias("correlation"))
 
 
 def segments(scored: DataFrame) -> DataFrame:

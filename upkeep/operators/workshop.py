@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from upkeep.functions.scalars import clip, filled, min_max
+from upkeep.functions.ordering import placed, scaled
+from upkeep.functions.scalars import clip, filled
 from upkeep.sources.store import materialize
 
 WINDOW_DAYS = {"D01_now": 2, "D02_window": 7, "D02B_blocked": 7, "D03_inspect": 3, "D04_monitor": 10, "D05_observe": 14, "D06_none": 21, "D07_conflict": 1}
@@ -28,9 +29,10 @@ def _lookup(column: str, values: dict, default) -> Column:
 def priority_scores(df: DataFrame) -> DataFrame:
     """priority, deferral and service scores of workshop inputs with failure_risk and rul_days."""
     priority = filled("technical_inputs", 0) * 0.45 + filled("service_inputs", 0) * 0.30 + filled("urgency_inputs", 0) * 0.15 + (100 - filled("efficiency_inputs", 50)) * 0.10
-    deferral = filled("deferral_inputs", 0) * 0.50 + filled("failure_risk", 0) * 100 * 0.30 + min_max(365 - filled("rul_days", 365)) * 100 * 0.20
+    df = scaled(df, {"_short": 365 - filled("rul_days", 365)})
+    deferral = filled("deferral_inputs", 0) * 0.50 + filled("failure_risk", 0) * 100 * 0.30 + F.col("_short") * 100 * 0.20
     service = filled("service_inputs", 0) * 0.70 + filled("risk", 0) * 100 * 0.30
-    return df.withColumns({"priority": clip(priority, 0, 100), "deferral": clip(deferral, 0, 100), "service": clip(service, 0, 100)})
+    return df.withColumns({"priority": clip(priority, 0, 100), "deferral": clip(deferral, 0, 100), "service": clip(service, 0, 100)}).drop("_short")
 
 
 def rank_depots(cases: DataFrame, depots: DataFrame) -> DataFrame:
@@ -49,7 +51,7 @@ def rank_depots(cases: DataFrame, depots: DataFrame) -> DataFrame:
 def entry_order(cases: DataFrame) -> DataFrame:
     """entry: place by the weighted scores, ties by component."""
     score = F.round(F.col("priority") * 0.50 + F.col("deferral") * 0.30 + F.col("service") * 0.20, 9)
-    return cases.withColumn("entry", F.row_number().over(Window.orderBy(score.desc(), "component_id")))
+    return placed(cases, "entry", [score.desc(), F.col("component_id")])
 
 
 def queue(cases: DataFrame) -> DataFrame:

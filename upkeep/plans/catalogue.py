@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from upkeep.functions import ordering
 from upkeep.functions import scalars as s
 from upkeep.functions import temporal as t
 from upkeep.operators import features, governance, kpis, marts, monitoring, panel, risk, rul, rules, strategy, validation, workshop
@@ -285,7 +286,9 @@ def _group_quantiles(f: Fleet) -> DataFrame:
 
 def _ranks(f: Fleet) -> DataFrame:
     sums = f.signals.groupBy("component_id", (F.col("component_id") % 5).alias("g")).agg(F.floor(F.sum("value") / 50).alias("v"))
-    return sums.select("component_id", s.percent_rank(F.col("v"), ["g"]).alias("in_group"), s.percent_rank(F.col("v")).alias("overall"), s.min_max(F.col("v")).alias("scaled"), F.row_number().over(Window.orderBy(F.col("v").desc(), "component_id")).alias("first"))
+    df = ordering.scaled(f.stored("sums", lambda: sums), {"scaled": F.col("v")})
+    df = ordering.average_rank(ordering.average_rank(df, "v", "in_group", ["g"], share=True), "v", "overall", share=True)
+    return ordering.placed(df, "first", [F.col("v").desc(), F.col("component_id")]).select("component_id", "in_group", "overall", "scaled", "first")
 
 
 def _calendar_days(f: Fleet) -> DataFrame:
