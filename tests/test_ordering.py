@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from upkeep.functions.ordering import average_rank, placed, running, scaled
+from upkeep.functions.ordering import average_rank, placed, quantiles, running, scaled, with_quantiles
 
 SCHEMA = "id long, g string, v double"
 
@@ -88,3 +88,24 @@ def test_no_single_partition(frame):
     df = frame.sparkSession.range(0, 200_000, 1, 8).select("id", F.lit("hot").alias("g"), F.rand(3).alias("v"))
     plan = placed(df, "k", [F.col("v"), F.col("id")], ["g"])._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+@pytest.mark.parametrize("rows", [1, 3, 40, 2_999, 60_000])
+def test_quantiles(spark, by, rows):
+    """Equal to the built-in exact percentile, with ties, nulls and brackets of many values."""
+    v = F.when(F.col("id") % 3 == 0, 0.5).when(F.col("id") % 17 > 0, F.rand(5))
+    df = spark.range(0, rows, 1, 5).select(F.when(F.col("id") % 4 > 0, F.col("id") % 2).cast("string").alias("g"), v.alias("v"), (F.col("id") % 7).alias("w"))
+    wanted = {f"{c}{k}": (c, q) for c in ("v", "w") for k, q in enumerate((0.0, 0.1, 0.35, 0.5, 0.88, 0.95, 1.0))}
+    want = df.groupBy(*by).agg(*(F.percentile(c, q).alias(n) for n, (c, q) in wanted.items()))
+    plain = lambda d: sorted((tuple(x if x is None or isinstance(x, str) else round(x, 12) for x in r) for r in d.select(*by, *wanted).collect()), key=repr)
+    assert plain(quantiles(df, wanted, by)) == plain(want)
+    assert with_quantiles(df, wanted, by).count() == rows
+
+
+def test_quantiles_of_nothing(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert quantiles(none, {"a": ("v", 0.5)}).collect() == [(None,)]
+    assert quantiles(none, {"a": ("v", 0.5)}, ["g"]).count() == 0
+    nulls = spark.createDataFrame([(1, "a", None), (2, "b", 3.0)], SCHEMA)
+    assert sorted(with_quantiles(nulls, {"a": ("v", 0.5)}, ["g"]).select("id", "a").collect()) == [(1, None), (2, 3.0)]

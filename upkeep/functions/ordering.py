@@ -1,4 +1,4 @@
-"""Places, running sums, average ranks and scalings over whole tables, without a task that holds a whole table.
+"""Places, running sums, average ranks, quantiles and scalings over whole tables, without a task that holds a whole table.
 
 A window over all rows sorts them in one task.  Here rows are dealt into ranges of
 their order, each range sums up its own rows, and the sums of the ranges before it
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from upkeep.sources.store import materialize
 
+#: The first pass over a quantile misses its place by at most a row in so many; the second counts the values around it.
+ACCURACY = 10_000
+
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on keys of which nulls are equal; the keys of the left side stay."""
@@ -77,3 +80,47 @@ def scaled(df: DataFrame, columns: dict[str, Column], within: Sequence[str] = ()
         return F.when(span < 1e-9, F.lit(0.0)).otherwise((F.col(n) - low) / span)
 
     return both.withColumns({n: unit(n) for n in columns}).drop(*(f"_{k}_{n}" for n in columns for k in ("low", "high")))
+
+
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], by: Sequence[str] = ()) -> DataFrame:
+    """Exact interpolated quantiles in one row, or a row for each group; wanted: name to (column, q).
+
+    A sketch brackets each quantile; then the rows below a bracket are one count, and
+    only the values within it are counted one by one, some in a thousand of all.
+    Nulls don't count; without values a quantile is null.
+    """
+    source = {c: f"_c{k}" for k, c in enumerate(sorted({c for c, _ in wanted.values()}))}
+    values = df.select(*by, *(F.col(c).cast("double").alias(x) for c, x in source.items()))
+    margin = 4 / ACCURACY
+    around = [F.struct(F.count(source[c]).alias("n"), F.percentile_approx(source[c], [max(q - margin, 0.0), min(q + margin, 1.0)], ACCURACY).alias("at")) for c, q in wanted.values()]
+    edges = values.groupBy(*by).agg(F.array(*around).alias("_edges"))
+    both = _same(values, edges, by) if by else values.crossJoin(F.broadcast(edges))  # one row
+    each = [F.struct(F.lit(k).alias("k"), F.lit(float(q)).alias("q"), F.col(source[c]).alias("v"), F.col("_edges")[k]["n"].alias("n"), F.col("_edges")[k]["at"].alias("at")) for k, (c, q) in enumerate(wanted.values())]
+    rows = both.select(*by, F.inline(F.array(*each))).where("v IS NOT NULL")
+    side = F.when(F.col("v") < F.col("at")[0], -1).when(F.col("v") > F.col("at")[1], 1).otherwise(0)
+    rows = rows.withColumn("side", side).withColumn("mid", F.when(F.col("side") == 0, F.col("v")))
+    counts = rows.groupBy(*by, "k", "q", "n", "side", "mid").agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+    upto = F.sum("c").over(Window.partitionBy(*by, "k").orderBy("side", "mid").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("upto", upto).withColumn("x", F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least")))
+    place = F.col("q") * (F.col("n") - 1)
+    first = lambda k: F.min(F.when(F.col("upto") > k, F.struct("upto", "x", "side", "c")))
+    found = counts.groupBy(*by, "k", "q", "n").agg(first(F.floor(place)).alias("a"), first(F.ceil(place)).alias("b"))
+
+    def value(end: str, at: Column) -> Column:
+        """The value at a place; of the rows beyond a bracket only the nearest is known."""
+        e = F.col(end)
+        missed = ((e["side"] < 0) & (at != e["c"] - 1)) | ((e["side"] > 0) & (at != e["upto"] - e["c"]))
+        return F.when(missed, F.raise_error(F.lit("a quantile lies outside of its bracket")).cast("double")).otherwise(e["x"])
+
+    low, high = value("a", F.floor(place)), value("b", F.ceil(place))
+    found = found.select(*by, "k", "n", F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high).alias("x"))
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("k") == k, F.col("x"))).alias(name) for k, name in enumerate(wanted)))
+
+
+def with_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], by: Sequence[str] = ()) -> DataFrame:
+    """df with exact quantiles of its own columns, over all rows or by group."""
+    found = quantiles(df, wanted, by)
+    if not by:
+        return df.crossJoin(F.broadcast(found))  # one row
+    renamed = found.withColumnsRenamed({k: f"_r_{k}" for k in by})
+    return df.join(renamed, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in by)), "left").drop(*(f"_r_{k}" for k in by))

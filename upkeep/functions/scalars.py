@@ -88,13 +88,3 @@ def right_closed(x: Column, edges: Sequence[float], first: bool = False) -> Colu
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Every double rounded, for results that don't hang on the order of sums."""
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-
-
-def with_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """df with exact quantiles of its own columns, from one aggregate of one row; wanted: name to (column, q)."""
-    by: dict[str, list[tuple[str, float]]] = {}
-    for name, (column, q) in wanted.items():
-        by.setdefault(column, []).append((name, q))
-    row = df.agg(*(F.percentile(c, [q for _, q in qs]).alias(f"_q{i}") for i, (c, qs) in enumerate(by.items())))
-    row = row.select(*(F.col(f"_q{i}")[k].alias(name) for i, qs in enumerate(by.values()) for k, (name, _) in enumerate(qs)))
-    return df.crossJoin(F.broadcast(row))

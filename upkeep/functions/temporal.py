@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,10 +18,20 @@ def asof(base: DataFrame, events: DataFrame, key: str, at: str, event_at: str, o
     return both.where(F.col("_side") == (0 if forward else 1)).select(*columns, out)
 
 
-def nearest_in_window(left: DataFrame, right: DataFrame, on: list[str], condition, left_id: str, order: list, how: str = "inner") -> DataFrame:
-    """For each left row the first right row, by ``order``, of those that the range condition admits."""
-    joined = left.alias("l").join(right.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [condition], how)
-    return joined.withColumn("_rn", F.row_number().over(Window.partitionBy(f"l.{left_id}").orderBy(*order))).where("_rn = 1").drop("_rn")
+def nearest_in_window(left: DataFrame, right: DataFrame, on: list[str], condition, left_id: str, order: list, span: tuple[Column, Column], at: Column, how: str = "inner", days: int = 30) -> DataFrame:
+    """For each left row the first right row, by ``order``, of those that the range condition admits.
+
+    span: first and last day, on the left, that the condition can admit; at: day on
+    the right.  A bucket of ``days`` joins the keys, so a hot key spreads over its
+    buckets; the left side visits each bucket of its span.
+    """
+    bucket = lambda day: F.floor(F.unix_date(day) / days)
+    left = left.withColumn("_lb", F.explode_outer(F.sequence(bucket(span[0]), bucket(span[1]))))
+    right = right.withColumn("_rb", bucket(at))
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [F.col("l._lb") == F.col("r._rb")]
+    joined = left.alias("l").join(right.alias("r"), [*same, condition], how)
+    first = Window.partitionBy(f"l.{left_id}").orderBy(F.col("r._rb").isNull(), *order)
+    return joined.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn", "_lb", "_rb")
 
 
 def bucketed_range_join(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, days: int) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from upkeep.functions.scalars import clip, filled, with_quantiles
+from upkeep.functions.ordering import quantiles, with_quantiles
+from upkeep.functions.scalars import clip, filled
 from upkeep.functions.temporal import asof
 from upkeep.sources.fleet import Fleet
 
@@ -45,7 +46,7 @@ def component_day_features(fleet: Fleet, mart: DataFrame) -> DataFrame:
     df = days_since(df, fleet.maintenance, "days_since_maintenance")
     df = days_since(df, fleet.failures, "days_since_failure")
     df = df.withColumn("environment", clip(F.abs(F.col("ambient") - F.col("ambient50")) / 18.0 + F.abs(F.col("humidity") - 50) / 55.0 + filled("intensity", 1.0) * 0.65 + filled("congestion", 0.4) * 0.9, 0, 4.5))
-    top = fleet.backlog.agg(F.coalesce(F.percentile("risk", 0.8), F.lit(40.0)).alias("risk80"))
+    top = quantiles(fleet.backlog, {"risk80": ("risk", 0.8)}).select(F.coalesce("risk80", F.lit(40.0)).alias("risk80"))
     df = df.join(backlog_component_day(fleet.backlog), ["day", "unit_id", "component_id"], "left").crossJoin(F.broadcast(top))
     exposed = (F.coalesce("age_days", F.lit(0)) >= 25) | F.coalesce(F.col("order_risk") >= F.col("risk80"), F.lit(False)) | F.coalesce("severity", F.lit("low")).isin("high", "critical")
     at_least_1 = lambda c: F.greatest(filled(c, 0), F.lit(1.0))

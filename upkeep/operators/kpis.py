@@ -65,16 +65,16 @@ def inspection_families(fleet: Fleet) -> DataFrame:
     hits = seen.where("defect = 1")
     on = ["component_id", "family"]
     gap = days_crossed(F.col("r.ts"), F.col("l.failed"))
-    linked = nearest_in_window(failed, hits, on, gap.between(0, 30), "failure_id", [F.col("r.ts").desc(), F.col("r.inspection_id")])
+    linked = nearest_in_window(failed, hits, on, gap.between(0, 30), "failure_id", [F.col("r.ts").desc(), F.col("r.inspection_id")], (F.date_sub(F.to_date("failed"), 30), F.to_date("failed")), F.to_date("ts"))
     linked = linked.select("failure_id", F.col("l.component_id").alias("component_id"), F.col("l.family").alias("family"), "failed", F.col("r.ts").alias("found"), gap.alias("lead"), F.col("r.confidence").alias("confidence"))
     ahead = days_crossed(F.col("l.ts"), F.col("r.failed"))
-    outcome = nearest_in_window(hits, failed, on, ahead.between(0, 30), "inspection_id", [F.col("r.failed"), F.col("r.failure_id")], "left").select(F.col("l.family").alias("family"), F.when(F.col("r.failure_id").isNull(), 0).otherwise(1).alias("hit"))
+    outcome = nearest_in_window(hits, failed, on, ahead.between(0, 30), "inspection_id", [F.col("r.failed"), F.col("r.failure_id")], (F.to_date("ts"), F.date_add(F.to_date("ts"), 30)), F.to_date("failed"), "left").select(F.col("l.family").alias("family"), F.when(F.col("r.failure_id").isNull(), 0).otherwise(1).alias("hit"))
     early = fleet.alerts.where("early = 1").select("component_id", F.col("ts").alias("alerted"), "alert_id")
-    chain = nearest_in_window(linked, early, ["component_id"], F.col("r.alerted").between(F.col("l.found"), F.col("l.failed").cast("timestamp_ntz")), "failure_id", [F.col("r.alerted"), F.col("r.alert_id")], "left")
+    chain = nearest_in_window(linked, early, ["component_id"], F.col("r.alerted").between(F.col("l.found"), F.col("l.failed").cast("timestamp_ntz")), "failure_id", [F.col("r.alerted"), F.col("r.alert_id")], (F.to_date("found"), F.to_date("failed")), F.to_date("alerted"), "left")
     chain = chain.select("l.family", F.col("r.alerted").isNotNull().cast("double").alias("chained"), hours_crossed(F.col("l.found"), F.col("r.alerted")).alias("to_alert"), hours_crossed(F.col("r.alerted"), F.col("l.failed").cast("timestamp_ntz")).alias("to_failure"))
     severe = hits.where(F.col("severity").isin("high", "critical"))
     work = fleet.maintenance.select("component_id", F.col("ts").alias("started"), "maintenance_id")
-    follow = nearest_in_window(severe, work, ["component_id"], days_crossed(F.col("l.ts"), F.col("r.started")).between(0, 14), "inspection_id", [F.col("r.started"), F.col("r.maintenance_id")], "left").select("l.family", F.col("r.started").isNotNull().cast("double").alias("followed"))
+    follow = nearest_in_window(severe, work, ["component_id"], days_crossed(F.col("l.ts"), F.col("r.started")).between(0, 14), "inspection_id", [F.col("r.started"), F.col("r.maintenance_id")], (F.to_date("ts"), F.date_add(F.to_date("ts"), 14)), F.to_date("started"), "left").select("l.family", F.col("r.started").isNotNull().cast("double").alias("followed"))
 
     by = "family"
     grid = fleet.spark.createDataFrame([(f,) for f in FAMILIES], "family string")

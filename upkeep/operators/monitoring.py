@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from upkeep.functions.ordering import running, value_ranks
+from upkeep.functions.ordering import quantiles, running, value_ranks
 from upkeep.functions.scalars import right_closed
 
 
@@ -51,7 +51,8 @@ def brier(df: DataFrame, outcome: str = "y", probability: str = "p") -> DataFram
 
 def stability_index(reference: DataFrame, current: DataFrame, column: str, parts: int = 10) -> DataFrame:
     """Population stability index over the deciles of the reference; 0 with under two different bins."""
-    edges = reference.agg(F.array_distinct(F.percentile(column, [i / parts for i in range(parts + 1)])).alias("e"))
+    cuts = quantiles(reference, {f"e{i}": (column, i / parts) for i in range(parts + 1)})
+    edges = cuts.select(F.array_distinct(F.array_compact(F.array(*cuts.columns))).alias("e"))
     inner = F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0)))
 
     def shares(df: DataFrame, name: str) -> DataFrame:

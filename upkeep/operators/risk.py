@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.functions.ordering import average_rank, placed, scaled, value_ranks
-from upkeep.functions.scalars import clip, family, filled, right_closed, with_quantiles
+from upkeep.functions.ordering import average_rank, placed, quantiles, scaled, value_ranks, with_quantiles
+from upkeep.functions.scalars import clip, family, filled, right_closed
 from upkeep.functions.temporal import asof
 from upkeep.sources.store import materialize
 
@@ -115,7 +115,7 @@ def spearman(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     The target's centred ranks are summed by value of a feature, so ranks of the
     feature needn't be joined back to the rows.
     """
-    medians = df.agg(*(F.percentile(c, 0.5).alias(f"_m_{c}") for c in features))
+    medians = quantiles(df, {f"_m_{c}": (c, 0.5) for c in features})
     df = df.crossJoin(F.broadcast(medians)).select(F.col(target).alias("_y"), *(F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")).alias(c) for c in features))
     ranked = average_rank(df, "_y", "_ry").unpivot(["_ry"], list(features), "feature", "value")
     middle = ranked.groupBy("feature").agg(F.avg("_ry").alias("_m"))

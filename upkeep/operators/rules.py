@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.functions.scalars import clip, filled, last_rule_wins, with_quantiles
+from upkeep.functions.ordering import with_quantiles
+from upkeep.functions.scalars import clip, filled, last_rule_wins
 
 # Weight of a confidence flag, and of an unknown one.
 CONFIDENCE, UNKNOWN_CONFIDENCE = {"high": 0.92, "medium": 0.74, "low": 0.52}, 0.66
@@ -17,9 +18,12 @@ def confidence_value(name: str = "confidence_flag"):
 
 def early_warnings(df: DataFrame) -> DataFrame:
     """active_rules, level and action from thresholds by family.  df: family, failure_risk, health_score, rul_days, driver."""
-    of = Window.partitionBy("family")
-    q = lambda c, p, lo, hi: clip(F.percentile(c, p).over(of), lo, hi)
-    df = df.withColumns({"_risk": q("failure_risk", 0.75, 0.45, 0.72), "_risk2": q("failure_risk", 0.90, 0.62, 0.86), "_health": q("health_score", 0.30, 32, 52), "_health2": q("health_score", 0.15, 20, 40), "_rul": q("rul_days", 0.25, 20, 70), "_rul2": q("rul_days", 0.10, 8, 45)})
+    bounds = {
+        "_risk": ("failure_risk", 0.75, 0.45, 0.72), "_risk2": ("failure_risk", 0.90, 0.62, 0.86), "_health": ("health_score", 0.30, 32, 52), "_health2": ("health_score", 0.15, 20, 40),
+        "_rul": ("rul_days", 0.25, 20, 70), "_rul2": ("rul_days", 0.10, 8, 45),
+    }
+    df = with_quantiles(df, {name: (c, q) for name, (c, q, _, _) in bounds.items()}, ["family"])
+    df = df.withColumns({name: clip(F.col(name), low, high) for name, (_, _, low, high) in bounds.items()})
     risk, rul, health = F.col("failure_risk"), filled("rul_days", 365), F.col("health_score")
     high = risk >= F.col("_risk")
     rules = [high, health <= F.col("_health"), F.coalesce(rul <= F.col("_rul"), F.lit(False)), F.col("driver").isin("backlog", "repetition", "anomalies") & high]

@@ -209,7 +209,7 @@ def _event_in_window(f: Fleet) -> DataFrame:
 
 def _nearest_fractional(f: Fleet) -> DataFrame:
     lead = s.days_between(F.col("r.ts"), F.col("l.ts"))
-    near = t.nearest_in_window(f.failures.select("failure_id", "component_id", "ts"), f.inspections.where("defect = 1").select("inspection_id", "component_id", "ts"), ["component_id"], lead.between(0, 30), "failure_id", [F.col("r.ts").desc(), F.col("r.inspection_id")])
+    near = t.nearest_in_window(f.failures.select("failure_id", "component_id", "ts"), f.inspections.where("defect = 1").select("inspection_id", "component_id", "ts"), ["component_id"], lead.between(0, 30), "failure_id", [F.col("r.ts").desc(), F.col("r.inspection_id")], (F.date_sub(F.to_date("ts"), 30), F.to_date("ts")), F.to_date("ts"))
     return near.select("failure_id", "inspection_id", lead.alias("lead_days"))
 
 
@@ -280,8 +280,8 @@ def _slopes(f: Fleet) -> DataFrame:
 
 
 def _group_quantiles(f: Fleet) -> DataFrame:
-    of = Window.partitionBy("kind")
-    return _mart(f).select("day", "component_id", F.percentile("health", 0.15).over(of).alias("low"), F.percentile("health", 0.9).over(of).alias("high"), "health").withColumn("place", F.when(F.col("health") <= F.col("low"), "low").when(F.col("health") >= F.col("high"), "high").otherwise("mid"))
+    df = ordering.with_quantiles(_stored_mart(f), {"low": ("health", 0.15), "high": ("health", 0.9)}, ["kind"])
+    return df.select("day", "component_id", "low", "high", "health").withColumn("place", F.when(F.col("health") <= F.col("low"), "low").when(F.col("health") >= F.col("high"), "high").otherwise("mid"))
 
 
 def _ranks(f: Fleet) -> DataFrame:
