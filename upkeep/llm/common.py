@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 512
@@ -51,6 +51,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def finite_vector(v: Column) -> Column:
+    """Whether an array of doubles is there and holds neither null nor non-finite entries."""
+    return F.coalesce(F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))), F.lit(False))
+
+
 def dealt_again(df: DataFrame, key: str) -> DataFrame:
     """df with ``key`` as a new expression: a join on it deals this side out too, so that Spark can split a hot key of the other."""
     return df.withColumn(key, F.col(key) + F.lit(0).cast("long"))

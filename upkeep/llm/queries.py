@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upkeep.llm import ann, bpe, licenses, ngram_join, packing, pii, quality, sharding, toxicity, urls
+from upkeep.llm import ann, bpe, embedding_dedup, filter_audit, licenses, ngram_join, packing, pii, quality, sharding, toxicity, urls, whitening
 
 SHARD_BYTES = 256 << 10
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
@@ -65,12 +65,25 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.inner_product_search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_copies(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_packing, op3_toxicity, op4_bpe, op5_licenses, op6_quality, op7_ngram_join, op8_urls, op9_pii, op10_ann, pipeline)
+    f.__name__: f
+    for f in (op1_sharding, op2_packing, op3_toxicity, op4_bpe, op5_licenses, op6_quality, op7_ngram_join, op8_urls, op9_pii, op10_ann, op11_embedding_dedup, op12_filter_audit, op13_whitening, pipeline)
 }
 
 
@@ -121,5 +134,22 @@ SELECT doc_id, n_bytes::BIGINT AS n_bytes, CASE WHEN fits.depth = 0 THEN '*' ELS
 FROM fits JOIN cells ON cells.depth = fits.depth AND bits = CASE WHEN fits.depth = 0 THEN 0::UBIGINT ELSE h >> (64 - fits.depth) END"""
 
 
+def _audit_sql() -> str:
+    letters = "(VALUES " + ", ".join(f"('{x}')" for x in filter_audit.FILTERS) + ")"
+    return rf"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^ 	-]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM texts),
+fails AS (SELECT doc_id, part, CASE WHEN len(w) < {filter_audit.MIN_WORDS} THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < {filter_audit.MIN_DISTINCT} * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {filter_audit.MAX_CAPITALS} * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN least < doc_id THEN 'E' ELSE '' END AS f FROM words),
+said AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+counts AS (SELECT part, f, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM fails LEFT JOIN said USING (doc_id) GROUP BY ALL),
+orders AS (SELECT a || b || c || d || e AS filter_order FROM {letters} v(a), {letters} w(b), {letters} x(c), {letters} y(d), {letters} z(e) WHERE len(list_distinct([a, b, c, d, e])) = 5),
+steps AS (SELECT filter_order, step::INT AS step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+met AS (SELECT *, contains(f, letter) AS hit, f = translate(f, before, '') AS alive FROM counts, steps),
+sums AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT hit AND alive), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit AND alive), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (hit AND NOT alive), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (f = letter), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (hit AND alive), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (hit AND alive), 0)::BIGINT AS toxic_lost FROM met GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley FROM sums"""
+
+
 #: The other operators learn from the data, iterate or carry tokenizers; tests hold them against brute force.
-SQL: dict[str, str] = {"op1_sharding": _sharding_sql(), "op5_licenses": _licenses_sql(), "op8_urls": _urls_sql()}
+SQL: dict[str, str] = {"op1_sharding": _sharding_sql(), "op5_licenses": _licenses_sql(), "op8_urls": _urls_sql(), "op12_filter_audit": _audit_sql()}
