@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +43,11 @@ def family(*texts: Column, order: Sequence[str] = FAMILIES, default: str = "othe
     return out
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def last_rule_wins(rules: Sequence[tuple[Column, object]], default: object) -> Column:
     """Rules in order of application, later ones overriding: one conditional chain, last rule first."""
     out = F.lit(default)

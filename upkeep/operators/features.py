@@ -125,3 +125,9 @@ def workshop_features(fleet: Fleet, features: DataFrame, unit_features: DataFram
     })
     deferral = F.col("technical_inputs") * 0.4 + F.col("service_inputs") * 0.3 + filled("risk", 0) * 100 * 0.2 + clip(filled("unit_exposure", 0), 0, 100) * 0.1
     return df.withColumn("deferral_inputs", clip(deferral, 0, 100))
+
+
+def operating_windows(fleet: Fleet, days: int = 7, least_h: float = 4.0) -> DataFrame:
+    """(unit_id, windows): of the last days those on which a unit stood still for at least ``least_h`` hours, long enough for a visit."""
+    last = fleet.service.join(F.broadcast(fleet.span.select("last_day")), F.datediff("last_day", "day") < days)  # one row
+    return last.groupBy("unit_id").agg(F.count_if(F.col("unavailable_h") >= least_h).cast("double").alias("windows"))

@@ -1,19 +1,12 @@
-"""Workshop planning: scores, depot ranking, calendar, queue, finite-capacity schedules and allocation.
-
-The schedule runs by depot: each depot books its queue into its calendar in one
-group; what stays open moves to the case's next candidate depot in the next
-round.  No group holds more than one depot's open cases.
-"""
+"""Workshop planning: scores, depot ranking, calendar, queue, the capacity gate and stress scenarios."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from upkeep.functions.ordering import placed, scaled
 from upkeep.functions.scalars import clip, filled
-from upkeep.sources.store import materialize
 
 WINDOW_DAYS = {"D01_now": 2, "D02_window": 7, "D02B_blocked": 7, "D03_inspect": 3, "D04_monitor": 10, "D05_observe": 14, "D06_none": 21, "D07_conflict": 1}
 EXTRA_HOURS = {"D01_now": 2.8, "D02_window": 1.8, "D02B_blocked": 1.8, "D03_inspect": 1.0, "D07_conflict": 0.6}
@@ -22,7 +15,8 @@ CAPTURE = {"booked": 1.0, "next_window": 0.65, "waits_parts": 0.28, "waits_capac
 HORIZON, CANDIDATES = 35, 3
 
 
-def _lookup(column: str, values: dict, default) -> Column:
+def lookup(column: str, values: dict, default) -> Column:
+    """The value of a fixed table by a column's text."""
     return F.coalesce(*(F.when(F.col(column) == k, F.lit(v)) for k, v in values.items()), F.lit(default))
 
 
@@ -57,14 +51,14 @@ def entry_order(cases: DataFrame) -> DataFrame:
 def queue(cases: DataFrame) -> DataFrame:
     """Window, bucket, ageing, queue score, hours and delay cost of decided cases."""
     c = F.col
-    df = cases.withColumn("window_days", _lookup("decision", WINDOW_DAYS, 21))
+    df = cases.withColumn("window_days", lookup("decision", WINDOW_DAYS, 21))
     first = (c("decision") == "D01_now") | (c("priority") >= 88) | (c("deferral") >= 75) | ((filled("rul_days", 365) <= 12) & (c("failure_risk") >= 0.75))
     second = c("decision").isin("D02_window", "D02B_blocked", "D07_conflict") | (c("priority") >= 74) | (c("deferral") >= 60)
     third = c("decision").isin("D03_inspect", "D04_monitor") | (c("priority") >= 55)
     df = df.withColumn("bucket", F.when(first, "P1").when(second, "P2").when(third, "P3").otherwise("P4"))
     df = df.withColumn("ageing", clip(clip(22 - c("window_days"), 1, 21) / 21 * 100 + c("deferral") * 0.25, 0, 100))
     return df.withColumns({
-        "queue_score": c("priority") * 0.58 + c("deferral") * 0.22 + c("service") * 0.12 + c("ageing") * 0.08, "hours": clip(2.0 + c("priority") / 25 + _lookup("decision", EXTRA_HOURS, 0.0), 2, 14), "delay_cost": c("deferral") * 180 + c("service") * 95 + (100 - c("fit")) * 40,
+        "queue_score": c("priority") * 0.58 + c("deferral") * 0.22 + c("service") * 0.12 + c("ageing") * 0.08, "hours": clip(2.0 + c("priority") / 25 + lookup("decision", EXTRA_HOURS, 0.0), 2, 14), "delay_cost": c("deferral") * 180 + c("service") * 95 + (100 - c("fit")) * 40,
     })
 
 
@@ -79,87 +73,11 @@ def capacity_calendar(depots: DataFrame, start: Column, horizon: int = HORIZON)
     return df.select("depot_id", "offset", "slot", F.bround("regular_h", 4).alias("regular_h"), F.bround(flex, 4).alias("flex_h"))
 
 
-_PLAN = "depot_id long, component_id long, day int, slot string, ledger int, regular_h double, flex_h double, units string, families string"
-
-
-def _book(round_: int):
-    def run(key, cases: pd.DataFrame, days: pd.DataFrame) -> pd.DataFrame:
-        """Book one depot's open cases in queue order; rows of cases and, with ledger 1, of days."""
-        depot = int(key[0])
-        regular = dict(zip(days.offset, days.regular_h, strict=True))
-        flex = dict(zip(days.offset, days.flex_h, strict=True))
-        units = {d: set(u.split("|")) - {""} for d, u in zip(days.offset, days.units, strict=True)}
-        kinds = {d: set(u.split("|")) - {""} for d, u in zip(days.offset, days.families, strict=True)}
-        out = []
-        for row in cases.sort_values(["bucket", "queue_score", "entry"], ascending=[True, False, True]).itertuples(index=False):
-            window = max(1, int(row.window_days))
-            last = min(HORIZON, window + CARRY_DAYS.get(row.bucket, 14))
-            found = None
-            for day in range(1, last + 1):
-                if day not in regular:
-                    continue
-                need = max(1.8, row.hours + (0.35 if str(row.unit_id) in units[day] else 1.10) - (0.15 if row.family in kinds[day] else 0.0))
-                late = day > window
-                if regular[day] >= need:
-                    regular[day] -= need
-                    found = day, "regular"
-                elif late and row.bucket in ("P1", "P2") and regular[day] + flex[day] >= need:
-                    flex[day] -= need - regular[day]
-                    regular[day] = 0.0
-                    found = day, "flex"
-                if found:
-                    units[day].add(str(row.unit_id))
-                    kinds[day].add(row.family)
-                    break
-            out.append((depot, int(row.component_id), found[0] if found else -1, found[1] if found else "none", 0, 0.0, 0.0, "", ""))
-        out += [(depot, -1, int(d), "", 1, float(regular[d]), float(flex[d]), "|".join(sorted(units[d])), "|".join(sorted(kinds[d]))) for d in regular]
-        return pd.DataFrame(out, columns=["depot_id", "component_id", "day", "slot", "ledger", "regular_h", "flex_h", "units", "families"])
-
-    return run
-
-
-def schedule(cases: DataFrame, calendar: DataFrame, resources: float = 0.6, checkpoint=lambda df, _: df) -> tuple[DataFrame, DataFrame]:
-    """(plan, ledger) of queued cases over up to three candidate depots each.
-
-    plan: component_id, depot_id, day (null if open), slot, status, days_late,
-    moved.  ledger: calendar with the hours used.  checkpoint(df, name) stores the
-    rounds' results in a pipeline, so a round runs once.
-    """
-    first = F.array_distinct(F.concat(F.array(F.col("depot").cast("string")), F.split("candidates", "\\|"), F.array(F.col("home").cast("string"))))
-    open_ = cases.withColumn("tries", F.slice(first, 1, CANDIDATES))
-    days = calendar.select("depot_id", "offset", "regular_h", "flex_h", F.lit("").alias("units"), F.lit("").alias("families"))
-    booked = None
-    for k in range(CANDIDATES):
-        now = open_.where(F.size("tries") > k).withColumn("depot_id", F.element_at("tries", k + 1).cast("long")).select("depot_id", "component_id", "unit_id", "family", "window_days", "bucket", "queue_score", "entry", "hours")
-        done = checkpoint(now.groupBy("depot_id").cogroup(days.groupBy("depot_id")).applyInPandas(_book(k), _PLAN), f"round{k}")
-        days = done.where("ledger = 1").select("depot_id", F.col("day").alias("offset"), "regular_h", "flex_h", "units", "families")
-        hit = done.where("ledger = 0 and day > 0").select("component_id", "depot_id", "day", "slot")
-        booked = hit if booked is None else booked.unionByName(hit)
-        open_ = open_.join(hit.select("component_id"), "component_id", "left_anti")
-    c = F.col
-    plan = cases.drop("depot_id", "day", "slot").join(booked, "component_id", "left")
-    escalate = (c("decision") == "D07_conflict") | (c("decision_conflict") == 1) | ((c("bucket") == "P1") & (c("confidence_flag") == "low"))
-    operation = (filled("windows", 0) <= 0) & c("decision").isin("D01_now", "D02_window", "D02B_blocked") & c("bucket").isin("P1", "P2") & (c("service") >= 82) & (c("service_criticality") >= 0.70)
-    parts = F.lit(resources < 0.50) & c("kind").isin("pantograph_head", "brake_disc") & (c("priority") >= 62)
-    status = F.when(c("day").isNotNull() & (c("day") <= c("window_days")), "booked").when(c("day").isNotNull(), "next_window").when(escalate, "escalate").when(operation, "waits_operation").when(parts, "waits_parts").otherwise("waits_capacity")
-    plan = plan.select(
-        "component_id", "unit_id", F.coalesce("depot_id", c("depot").cast("long")).alias("depot_id"), "day", F.coalesce("slot", F.lit("none")).alias("slot"), status.alias("status"), F.greatest(F.lit(0), c("day") - c("window_days")).alias("days_late"), F.when(c("depot_id").isNotNull(), (c("depot_id") != c("depot")).cast("int")).otherwise(0).alias("moved"), "bucket", "hours", "deferral", "service", "delay_cost",
-    )
-    left = days.select("depot_id", "offset", F.col("regular_h").alias("regular_left"), F.col("flex_h").alias("flex_left"))
-    ledger = calendar.join(left, ["depot_id", "offset"], "left").withColumns({"regular_left": F.coalesce("regular_left", "regular_h"), "flex_left": F.coalesce("flex_left", "flex_h")})
-    ledger = ledger.withColumns({"capacity_h": c("regular_h") + c("flex_h"), "used_h": c("regular_h") - c("regular_left") + c("flex_h") - c("flex_left")})
-    return plan, ledger
-
-
-def schedule_metrics(plan: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Shares by status, utilisation, residual risk and captured value: one row."""
-    weight = 0.6 * F.col("deferral") + 0.4 * F.col("service")
-    done = F.col("status").isin("booked", "next_window")
-    a = plan.agg(F.count("*").alias("cases"), *((F.avg((F.col("status") == s).cast("double")) * 100).alias(f"{s}_pct") for s in CAPTURE), (F.avg(done.cast("double")) * 100).alias("actionable_pct"), (F.sum(F.when(~done, weight).otherwise(0.0)) / F.greatest(F.sum(weight), F.lit(1e-6)) * 100).alias("residual_risk_pct"), F.sum(F.col("delay_cost") * _lookup("status", CAPTURE, 0.0)).alias("captured"), F.sum("delay_cost").alias("value"))
-    return a.crossJoin(ledger.agg(F.sum("used_h").alias("used_h"), F.try_divide(F.sum("used_h"), F.sum("capacity_h")).alias("utilisation")))
-
-
-def capacity_gate(plan: DataFrame, ledger: DataFrame, trigger: float = 0.95, day_share: float = 0.20) -> DataFrame:
+#: Use of a day that counts as full, and the share of full days that makes it lasting.
+FULL_DAY, FULL_SHARE = 0.85, 0.10
+
+
+def capacity_gate(plan: DataFrame, ledger: DataFrame, trigger: float = FULL_DAY, day_share: float = FULL_SHARE) -> DataFrame:
     """One row: whether saturation is persistent and cases wait for capacity."""
     use = F.try_divide("used_h", "capacity_h")
     a = ledger.agg(F.coalesce(F.max(use), F.lit(0.0)).alias("max_utilisation"), F.coalesce(F.avg((use >= trigger).cast("double")), F.lit(0.0)).alias("saturated_share"))
@@ -167,60 +85,10 @@ def capacity_gate(plan: DataFrame, ledger: DataFrame, trigger: float = 0.95, day
     return a.crossJoin(b).withColumn("required", (F.col("max_utilisation") >= trigger) & (F.col("saturated_share") >= day_share) & (F.col("waiting") > 0))
 
 
-def stress_scenarios(plan: DataFrame, ledger: DataFrame, trigger: float = 0.95) -> DataFrame:
+def stress_scenarios(plan: DataFrame, ledger: DataFrame, trigger: float = FULL_DAY) -> DataFrame:
     """Load under more demand and less capacity."""
     spark = plan.sparkSession
     cases = spark.createDataFrame([("baseline", 1.0, 1.0), ("demand_plus_15", 1.15, 1.0), ("capacity_minus_10", 1.0, 0.9), ("both", 1.15, 0.9)], "scenario string, demand double, capacity double")
     sums = ledger.agg(F.sum("capacity_h").alias("c"), F.sum("used_h").alias("u")).crossJoin(plan.agg(F.coalesce(F.sum(F.when(F.col("status") == "waits_capacity", F.col("hours"))), F.lit(0.0)).alias("w")))
     out = cases.crossJoin(F.broadcast(sums)).withColumns({"demand_h": (F.col("u") + F.col("w")) * F.col("demand"), "available_h": F.col("c") * F.col("capacity")})
     return out.select("scenario", "demand_h", "available_h", F.try_divide("demand_h", "available_h").alias("load"), (F.col("demand_h") > F.col("available_h") * trigger).alias("breach"))
-
-
-def allocation_candidates(cases: DataFrame, weeks: DataFrame) -> DataFrame:
-    """Cost of each case in each candidate depot and week, and of leaving it open (null depot); weeks: depot_id, week."""
-    c = F.col
-    span = F.greatest(F.lit(1), F.ceil(F.least(F.lit(HORIZON), c("window_days") + _lookup("bucket", CARRY_DAYS, 14)) / 7))
-    ranked = cases.select("component_id", "hours", "queue_score", "deferral", "home", span.alias("span"), F.posexplode(F.split("candidates", "\\|")).alias("place", "d")).withColumn("depot_id", c("d").cast("long"))
-    slots = ranked.join(weeks, "depot_id").where(c("week") <= c("span"))
-    cost = c("place") * 4.0 + (c("week") - 1) * (1.0 + c("queue_score") / 25.0) + F.when(c("depot_id") == c("home"), 0.0).otherwise(2.0)
-    out = slots.select("component_id", "hours", "depot_id", "week", cost.alias("cost"))
-    none = cases.select("component_id", "hours", F.lit(None).cast("long").alias("depot_id"), F.lit(None).cast("int").alias("week"), (100.0 + c("queue_score") * 5.0 + c("deferral") * 2.0).alias("cost"))
-    return out.unionByName(none)
-
-
-def allocate(candidates: DataFrame, capacity: DataFrame, checkpoint=materialize) -> DataFrame:
-    """(component_id, depot_id, week, cost): each case at its cheapest slot with room, by rounds of bids.
-
-    In a round every open case bids for its cheapest slot left; a slot takes bids by
-    regret, the loss of going elsewhere, while their running hours fit.  The first of
-    them always fits, so each round with a bid books a case; the rounds end when no
-    open case has a slot with room, and these get a null slot.  ``checkpoint`` writes
-    each round's results.  capacity: depot_id, week, hours.
-    """
-    room = capacity.select("depot_id", "week", F.col("hours").alias("room"))
-    slots, taken, k = candidates.where("depot_id is not null"), None, 0
-    w = Window.partitionBy("component_id").orderBy("cost", "depot_id", "week")
-    fill = Window.partitionBy("depot_id", "week").orderBy(F.col("regret").desc(), "component_id").rowsBetween(Window.unboundedPreceding, 0)
-    while True:
-        live = checkpoint(slots.join(room, ["depot_id", "week"]).where("hours <= room"), f"slots{k}")  # room only shrinks: the others are lost for good
-        bids = live.withColumns({"n": F.row_number().over(w), "next": F.lead("cost").over(w)}).where("n = 1").withColumn("regret", F.coalesce("next", F.lit(1e6)) - F.col("cost"))
-        won = checkpoint(bids.withColumn("sum", F.sum("hours").over(fill)).where("sum <= room").select("component_id", "depot_id", "week", "cost", "hours"), f"bids{k}")
-        taken = won if taken is None else taken.unionByName(won)
-        if won.isEmpty():
-            break
-        slots = live.drop("room").join(won.select("component_id"), "component_id", "left_anti")
-        used = won.groupBy("depot_id", "week").agg(F.sum("hours").alias("u"))
-        room = checkpoint(room.join(used, ["depot_id", "week"], "left").select("depot_id", "week", (F.col("room") - F.coalesce("u", F.lit(0.0))).alias("room")), f"room{k}")
-        k += 1
-    taken = checkpoint(taken, "taken")
-    rest = candidates.where("depot_id is null").join(taken.select("component_id"), "component_id", "left_anti").select("component_id", "depot_id", "week", "cost", "hours")
-    return taken.unionByName(rest)
-
-
-def allocation_gap(candidates: DataFrame, allocated: DataFrame) -> DataFrame:
-    """One row: cost, the bound of every case at its cheapest slot, and the gap between them."""
-    bound = candidates.groupBy("component_id").agg(F.min("cost").alias("c")).agg(F.sum("c").alias("bound"))
-    out = allocated.agg(F.sum("cost").alias("cost")).crossJoin(bound)
-    gap = F.try_divide(F.col("cost") - F.col("bound"), F.col("cost"))
-    label = F.when(gap <= 1e-9, "proven_optimal").when(gap <= 0.10, "within_tolerance").otherwise("feasible")
-    return out.withColumns({"gap": gap, "label": label})
