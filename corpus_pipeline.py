@@ -1,6 +1,7 @@
 """A training corpus from the documents: toxic and poor texts go, near copies too, personal data is masked, the rest is packed.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of docs.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of docs,
+further ones of any name included.
 """
 
 from __future__ import annotations
@@ -17,35 +18,46 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _with_rows(docs: DataFrame) -> DataFrame:
-    """docs with an id of each row, written: ids of documents may be null or come again."""
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    return rows.join(kept.select("_row"), "_row", "left_semi").drop("_row")
+def _with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with an id of each row, written, and that column's name: ids of documents may be null or come again."""
+    row = _free(docs, "_row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def _keep(rows: DataFrame, kept: DataFrame, row: str) -> DataFrame:
+    return rows.join(kept.select(row), row, "left_semi").drop(row)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic."""
     model = toxicity.learn(docs, _labels(spark, sf_dir))
-    return toxicity.with_toxicity(docs, model, score_col="_score").where("_score < 0.5").select(docs.columns)
+    score = _free(docs, "_score")
+    return toxicity.with_toxicity(docs, model, score_col=score).where(F.col(score) < 0.5).select(docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base and no rule rejects."""
-    rows = _with_rows(docs)
-    return _keep(rows, quality.quality(rows, _labels(spark, sf_dir), row_col="_row").where("kept")).select(docs.columns)
+    rows, row = _with_rows(docs)
+    judged = quality.quality(rows.select("doc_id", "text", row), _labels(spark, sf_dir), row_col=row)
+    return _keep(rows, judged.where("kept"), row).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of smallest id (a null is the largest) of each group of near copies; of repeated rows without words, one."""
-    rows = _with_rows(docs)
-    linked = ngram_join.ngram_components(rows, "_row").select("_row", "n_shingles", "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
-    kept = rows.select("_row", "doc_id").join(linked.where("n_shingles > 0"), "_row").groupBy("component_id").agg(first)
-    empty = rows.select("_row", "doc_id", "text").join(linked.where("n_shingles = 0").select("_row"), "_row").groupBy("doc_id", "text", F.when(F.col("doc_id").isNull(), F.col("_row"))).agg(first)
-    return _keep(rows, kept.select("first._row").union(empty.select("first._row"))).select(docs.columns)
+    rows, row = _with_rows(docs)
+    linked = ngram_join.ngram_components(rows.select(row, "text"), row).select(row, "n_shingles", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first")
+    kept = rows.select(row, "doc_id").join(linked.where("n_shingles > 0"), row).groupBy("component_id").agg(first)
+    empty = rows.select(row, "doc_id", "text").join(linked.where("n_shingles = 0").select(row), row).groupBy("doc_id", "text", F.when(F.col("doc_id").isNull(), F.col(row))).agg(first)
+    return _keep(rows, kept.select(f"first.{row}").union(empty.select(f"first.{row}")), row).select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
