@@ -52,3 +52,18 @@ def test_null_and_repeated_ids(spark, sf_dir):
 
 def test_rows_of_the_registered_query(spark, sf_dir):
     assert queries.pipeline(spark, sf_dir).where(F.col("length") > 0).count() > 0
+
+
+def test_stages_keep_further_columns_of_any_name(spark, sf_dir):
+    """Columns named as the stages' own helpers pass through with their values, row by row."""
+    names = ["_row", "_score", "first", "n_shingles", "component_id", "kept", "score", "_t", "n_words", "id", "label"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    for k, n in enumerate(names):
+        docs = docs.withColumn(n, F.col("doc_id") * 100 + k)
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == columns
+    got = docs.collect()
+    assert len(got) > 20 and all(r[n] == r.doc_id * 100 + k for r in got for k, n in enumerate(names))
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() > 0
