@@ -55,8 +55,7 @@ def test_contracts(spark, sf_dir):
 
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([(1, "a|b", 2.5), (2, None, None)], "k int, t string, v double")
-    got = {r.object: (r.n_rows, r.n_columns) for r in files.export({"x": df, "y": df.limit(1)}, str(tmp_path)).collect()}
-    assert got == {"x": (2, 3), "y": (1, 3)}
+    df.write.option("header", True).csv(str(tmp_path / "x"))
     back = files.read_csv(spark, str(tmp_path / "x"))
     assert dict(back.dtypes) == {"k": "int", "t": "string", "v": "double"} and sorted(back.collect()) == sorted(df.collect())
     with pytest.raises(FileNotFoundError, match="gone"):
@@ -67,9 +66,7 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         files.to_markdown(df, most=1)
     listed = governance.manifest(spark, str(tmp_path), "one.csv").collect()
-    assert [(r.file, r.bytes) for r in listed] == [("one.csv", 8)] and len(governance.run_id()) == 32
-    a, b = (governance.dataset_digest(spark.createDataFrame(x, "file string, sha256 string")).first().digest for x in ([("a", "1"), ("b", "2")], [("b", "2"), ("a", "1")]))
-    assert a == b
+    assert [(r.file, r.bytes) for r in listed] == [("one.csv", 8)]
     store.save_sorted(df, str(tmp_path / "sorted"), ["k"])
     assert spark.read.parquet(str(tmp_path / "sorted")).count() == 2
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -49,15 +48,6 @@ def manifest(spark, folder: str, pattern: str = "*") -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def dataset_digest(files: DataFrame) -> DataFrame:
-    """One row: a digest of all files, whatever their order."""
-    return files.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "file", "sha256"))), "|"), 256).alias("digest"))
-
-
-def run_id() -> str:
-    return uuid.uuid4().hex
-
-
 def decision_id(*parts: str) -> Column:
     """DEC- and sixteen hex digits of the parts' SHA-256."""
     text = F.concat_ws("|", *(F.col(p).cast("string") for p in parts))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from upkeep.functions import scalars as s
-from upkeep.operators import governance, kpis, marts, monitoring, validation
+from upkeep.operators import governance, marts, monitoring, validation
 from upkeep.plans import catalogue
 from upkeep.plans.catalogue import HORIZON, Q, Query
 from upkeep.sources import files
@@ -166,11 +166,6 @@ def _csv_scan(f: Fleet) -> DataFrame:
     return files.read_csv(f.spark, path)
 
 
-def _export(f: Fleet) -> DataFrame:
-    path = f"{shared_dir(f.spark)}/export-{uuid.uuid4().hex}"
-    return files.export({"units": f.units, "depots": f.depots, "repetition": kpis.repetitive_failures(marts.failure_repetition(f))}, path)
-
-
 def _views(f: Fleet) -> DataFrame:
     """Marts by name: views that SQL reads."""
     f.components.createOrReplaceTempView("v_components")
@@ -206,7 +201,6 @@ AUDIT: dict[str, Query] = {
     "calibration_quality": Query(_calibration_quality, "", "calibration_error brier", "(SELECT sum(n * abs(o - p)) / sum(n) AS calibration_error, (SELECT avg((score - y) ** 2) FROM labelled) AS brier FROM (SELECT least(9, greatest(0, ceil(score * 10) - 1)) AS b, count(*) AS n, avg(score) AS p, avg(y) AS o FROM labelled GROUP BY 1))"),
     "drift_report": Query(lambda f: monitoring.drift(catalogue._features(f), DRIFTING, HORIZON), "feature level", "psi", _drift_sql()),
     "csv_scan": Query(_csv_scan, "s_suppkey s_name", "s_acctbal", "supplier"),
-    "export_manifest": Query(_export, "object n_rows n_columns", "", "(SELECT 'units' AS object, count(*) AS n_rows, 6 AS n_columns FROM units UNION ALL SELECT 'depots', count(*), 4 FROM depots UNION ALL SELECT 'repetition', count(DISTINCT (kind, mode)), 5 FROM patterns)"),
     "named_views": Query(_views, "kind failures", "downtime_h", "(SELECT kind, count(*) AS failures, sum(downtime_h) AS downtime_h FROM failures JOIN components USING (component_id) GROUP BY 1)"),
     "top_combined_risk": Query(_top_combined, "component_id family", "combined", "(SELECT *, round(failure_risk + deterioration_index / 100, 9) AS combined FROM scored ORDER BY combined DESC, component_id LIMIT 220)"),
     "unit_hours": Query(_unit_hours, "unit_id fleet_id days", "unavailable_h", "(SELECT u.unit_id, u.fleet_id, count(*) AS days, sum(unavailable_h) AS unavailable_h FROM units u JOIN service v ON v.unit_id = u.unit_id GROUP BY 1, 2)"),

@@ -33,7 +33,10 @@ class Query:
     source: str | None = None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = self.build(Fleet(spark, sf_dir))
+        return self.shape(self.build(Fleet(spark, sf_dir)))
+
+    def shape(self, df: DataFrame) -> DataFrame:
+        """The query's columns, dates as text and doubles rounded."""
         kinds = dict(df.dtypes)
         plain = [F.col(c).cast("string").alias(c) if kinds[c] == "date" else F.col(c) for c in self.plain.split()]
         return df.select(*plain, *(F.round(F.col(c).cast("double") + 1e-9, 6).alias(c) for c in self.doubles.split()))
@@ -44,15 +47,15 @@ class Query:
 
 
 def _mart(f: Fleet) -> DataFrame:
-    return marts.mart_component_day(f)
+    return f.shared("component_day", lambda: marts.mart_component_day(f))
 
 
 def _units(f: Fleet) -> DataFrame:
-    return marts.mart_unit_day(f)
+    return f.shared("unit_day", lambda: marts.mart_unit_day(f, _stored_mart(f)) if f.warehouse else marts.mart_unit_day(f))
 
 
 def _stored_mart(f: Fleet) -> DataFrame:
-    return f.stored("component_day", lambda: _mart(f))
+    return f.stored("component_day", lambda: marts.mart_component_day(f))
 
 
 def _stored_units(f: Fleet) -> DataFrame:
@@ -60,7 +63,7 @@ def _stored_units(f: Fleet) -> DataFrame:
 
 
 def _depots(f: Fleet) -> DataFrame:
-    return marts.depot_pressure(f, _units(f))
+    return f.shared("depot_day", lambda: marts.depot_pressure(f, _units(f)))
 
 
 def _stored_depots(f: Fleet) -> DataFrame:
@@ -68,7 +71,7 @@ def _stored_depots(f: Fleet) -> DataFrame:
 
 
 def _weeks(f: Fleet) -> DataFrame:
-    return marts.mart_fleet_week(f, _units(f))
+    return f.shared("fleet_week", lambda: marts.mart_fleet_week(f, _units(f)))
 
 
 def _features(f: Fleet) -> DataFrame:

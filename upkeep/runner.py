@@ -1,4 +1,4 @@
-"""Steps in order, each with its status and time; the command line runs queries over a folder and checks its tables."""
+"""Steps in order, each with its status and time; the command line runs queries over a folder, checks its tables, and exports its objects."""
 
 from __future__ import annotations
 
@@ -36,23 +36,30 @@ def run_steps(steps: Sequence[tuple[str, Callable[[], object]]]) -> list[Step]:
 
 def main(argv: Sequence[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="upkeep", description="Runs queries over a folder of tables.")
-    parser.add_argument("command", choices=("run", "validate-input"))
+    parser.add_argument("command", choices=("run", "validate-input", "export"))
     parser.add_argument("folder")
-    parser.add_argument("--out", help="folder for the results, Parquet")
+    parser.add_argument("--out", help="folder for the results, Parquet; for export the folder of tables and manifests")
+    parser.add_argument("--kind", choices=("csv", "parquet"), default="csv", help="files of exported objects")
     parser.add_argument("--queries", nargs="*", default=["val_row_counts", "mart_fleet_week", "validation_gate"])
     args = parser.parse_args(argv)
+    if args.command == "export" and not args.out:
+        parser.error("export needs --out")
 
     from pyspark.sql import SparkSession
 
-    from upkeep.plans import audit, catalogue
+    from upkeep.operators.contracts import require_publishable
+    from upkeep.plans import audit, catalogue, planning, registry
     from upkeep.sources.files import require_inputs
+    from upkeep.sources.fleet import Fleet
 
     spark = SparkSession.builder.appName("upkeep").getOrCreate()
     steps: list[tuple[str, Callable[[], object]]] = [("inputs", lambda: require_inputs(spark, args.folder, [f"{t}.parquet" for t in audit.CONTRACTS])), ("contracts", lambda: audit.require_contracts(spark, args.folder))]
     if args.command == "run":
-        known = {**catalogue.QUERIES, **audit.QUERIES}
+        known = {**catalogue.QUERIES, **audit.QUERIES, **planning.QUERIES, **registry.QUERIES}
         for name in args.queries:
             steps.append((name, lambda name=name: (lambda df: df.write.mode("overwrite").parquet(f"{args.out}/{name}") if args.out else df.write.format("noop").mode("overwrite").save())(known[name](spark, args.folder))))
+    if args.command == "export":
+        steps += [("gates", lambda: audit.require_gates(Fleet(spark, args.folder))), ("contract gate", lambda: require_publishable(registry.checks(Fleet(spark, args.folder)))), ("export", lambda: registry.export_run(spark, args.folder, args.out, args.kind))]
     found = run_steps(steps)
     print(json.dumps([asdict(s) for s in found], indent=1))
     return 0 if all(s.status == "passed" for s in found) else 1

@@ -1,11 +1,10 @@
-"""Text sources and sinks: typed CSV scans, guards for missing inputs, exports with a manifest, small documents."""
+"""Text sources and sinks: typed CSV scans, guards for missing inputs, small documents."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def missing_inputs(spark: SparkSession, folder: str, names: Sequence[str]) -> list[str]:
@@ -35,20 +34,6 @@ def register_raw(spark: SparkSession, folder: str, names: Sequence[str], prefix:
     return [f"{prefix}{n}" for n in names]
 
 
-def export(objects: Mapping[str, DataFrame], folder: str, kind: str = "csv") -> DataFrame:
-    """Each frame to a folder of its name; returns the manifest (object, n_rows, n_columns), read back from what was written."""
-    parts = []
-    for name, df in objects.items():
-        writer = df.write.mode("overwrite").option("header", True)
-        writer.format(kind).save(f"{folder}/{name}")
-        back = df.sparkSession.read.option("header", True).format(kind).load(f"{folder}/{name}")
-        parts.append(back.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("object"), "n_rows", F.lit(len(df.columns)).alias("n_columns")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
 def to_markdown(df: DataFrame, title: str = "", most: int = 200) -> str:
     """A small report as a Markdown table; a frame of more rows than ``most`` is refused, not cut."""
     rows = df.limit(most + 1).collect()

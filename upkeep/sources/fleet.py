@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from upkeep.sources.store import materialize
+from upkeep.sources.warehouse import Warehouse
 
 SEVERITIES = "array('low', 'medium', 'high', 'critical')"
 REPORTED = "array('wheel scan', 'brake thermal', 'bogie acoustic', 'pantograph camera', 'general')"
@@ -27,8 +28,9 @@ DEPOTS = 25  # the nations of the star schema, a table of fixed size
 class Fleet:
     """Lazy tables of one data folder."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, warehouse: Warehouse | None = None):
+        """warehouse: where marts are kept and found again; without one they are written anew for this object."""
+        self.spark, self.path, self.warehouse = spark, path, warehouse
         self._stored: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
@@ -36,10 +38,16 @@ class Fleet:
 
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A mart that several steps read: built and written once."""
+        if self.warehouse:
+            return self.warehouse.table(name, build)
         if name not in self._stored:
             self._stored[name] = materialize(build(), name)
         return self._stored[name]
 
+    def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A mart kept in the warehouse if there is one, else just its plan."""
+        return self.stored(name, build) if self.warehouse else build()
+
     @cached_property
     def signals(self) -> DataFrame:
         return self.table("events").selectExpr("event_id", "ts", "cast(ts as date) as day", "user_id as component_id", "user_id div 8 as unit_id", "event_type", "value")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,12 +11,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from upkeep.sources import lineage
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; in local mode, where it is unset, a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="upkeep-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
@@ -26,6 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """A table instead of a plan: what reads it several times doesn't compute it again, lost executors or not."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    lineage.written(path, df)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
