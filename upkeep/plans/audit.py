@@ -148,7 +148,7 @@ def _calibration_quality(f: Fleet) -> DataFrame:
     return monitoring.calibration_error(table).crossJoin(monitoring.brier(scored, probability="score"))
 
 
-def _drift_sql() -> str:
+def drift_sql(columns: tuple[str, ...] = DRIFTING) -> str:
     def one(c: str) -> str:
         near = lambda rows: f"(SELECT len(list_filter(inner_, lambda v: {c} > v)) AS b, count(*) / sum(count(*)) OVER () AS share FROM feat CROSS JOIN edges_{c} WHERE {c} IS NOT NULL AND {rows} GROUP BY 1)"
         first, last = near(f"date_diff('day', (SELECT min(day) FROM feat), day) < {HORIZON}"), near(f"date_diff('day', day, (SELECT max(day) FROM feat)) < {HORIZON}")
@@ -156,7 +156,7 @@ def _drift_sql() -> str:
         part = f"SELECT '{c}' AS feature, coalesce(sum(CASE WHEN len(e) >= 3 THEN (c - r) * ln(c / r) ELSE 0 END), 0) AS psi FROM (SELECT e, greatest(coalesce(x.share, 0), 1e-6) AS r, greatest(coalesce(y.share, 0), 1e-6) AS c FROM (SELECT e, unnest(range(len(e) - 1)) AS bin FROM edges_{c}) g LEFT JOIN {first} x ON x.b = bin LEFT JOIN {last} y ON y.b = bin)"
         return f"SELECT * FROM (WITH {edges} {part})"
 
-    return "(SELECT *, CASE WHEN psi >= 0.25 THEN 'high' WHEN psi >= 0.10 THEN 'moderate' ELSE 'low' END AS level FROM (" + " UNION ALL ".join(one(c) for c in DRIFTING) + "))"
+    return "(SELECT *, CASE WHEN psi >= 0.25 THEN 'high' WHEN psi >= 0.10 THEN 'moderate' ELSE 'low' END AS level FROM (" + " UNION ALL ".join(one(c) for c in columns) + "))"
 
 
 def _csv_scan(f: Fleet) -> DataFrame:
@@ -199,7 +199,7 @@ AUDIT: dict[str, Query] = {
     "cardinalities": Query(_cardinalities, "object n_rows n_columns n_distinct", "", "(" + " UNION ALL ".join(f"SELECT '{t}' AS object, count(*) AS n_rows, (SELECT count(*) FROM (DESCRIBE {t})) AS n_columns, (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) AS n_distinct FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")) + ")"),
     "mode_entropy": Query(_entropy, "unit_id failures", "entropy", "(SELECT unit_id, sum(n)::BIGINT AS failures, -sum(n / t * log2(n / t)) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY unit_id) AS t FROM (SELECT unit_id, mode, count(*) AS n FROM failures GROUP BY ALL)) GROUP BY 1)"),
     "calibration_quality": Query(_calibration_quality, "", "calibration_error brier", "(SELECT sum(n * abs(o - p)) / sum(n) AS calibration_error, (SELECT avg((score - y) ** 2) FROM labelled) AS brier FROM (SELECT least(9, greatest(0, ceil(score * 10) - 1)) AS b, count(*) AS n, avg(score) AS p, avg(y) AS o FROM labelled GROUP BY 1))"),
-    "drift_report": Query(lambda f: monitoring.drift(catalogue._features(f), DRIFTING, HORIZON), "feature level", "psi", _drift_sql()),
+    "drift_report": Query(lambda f: monitoring.drift(catalogue._features(f), DRIFTING, HORIZON), "feature level", "psi", drift_sql()),
     "csv_scan": Query(_csv_scan, "s_suppkey s_name", "s_acctbal", "supplier"),
     "named_views": Query(_views, "kind failures", "downtime_h", "(SELECT kind, count(*) AS failures, sum(downtime_h) AS downtime_h FROM failures JOIN components USING (component_id) GROUP BY 1)"),
     "top_combined_risk": Query(_top_combined, "component_id family", "combined", "(SELECT *, round(failure_risk + deterioration_index / 100, 9) AS combined FROM scored ORDER BY combined DESC, component_id LIMIT 220)"),

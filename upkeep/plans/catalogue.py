@@ -22,7 +22,7 @@ from upkeep.sources.fleet import Fleet
 
 
 #: Dates go out as text, the same in every engine's frames.
-DATES = {"day", "week", "event_day", "slot"}
+DATES = {"day", "week", "event_day", "slot", "cut"}
 
 
 @dataclass(frozen=True)
@@ -147,17 +147,9 @@ def _validation_cuts(f: Fleet) -> DataFrame:
     last = f.span.select(F.date_sub("last_day", HORIZON).alias("limit"))
     cuts = feats.select("day").distinct().join(F.broadcast(last), F.col("day") <= F.col("limit")).groupBy(F.trunc("day", "week")).agg(F.max("day").alias("day")).select("day")
     scored = risk.component_scores(feats.join(F.broadcast(cuts), "day"), ["day"])
-    hit = scored.select("component_id", "day").join(f.failures.select("component_id", F.col("day").alias("failed")), "component_id").where(F.datediff("failed", "day").between(1, HORIZON)).select("component_id", "day").distinct().withColumn("y", F.lit(1))
-    return scored.join(hit, ["component_id", "day"], "left").select(F.col("day").alias("cut"), "component_id", "unit_id", "family", F.col("failure_risk").alias("score"), F.coalesce("y", F.lit(0)).alias("y"))
-
-
-def _readiness(f: Fleet) -> DataFrame:
-    cuts = f.stored("cuts", lambda: _validation_cuts(f))
-    folds, events = cuts.agg(F.count_distinct("cut"), F.sum("y")).first()
-    psi = monitoring.drift(_features(f), ["health_index", "velocity"], HORIZON).agg(F.max("psi")).first()[0]
-    auc = monitoring.roc_auc(cuts).first()[0]
-    rows = monitoring.readiness(folds, events, auc, None, psi)
-    return f.spark.createDataFrame([(r["check"], r["status"], r["threshold"]) for r in rows], "check string, status string, threshold string")
+    hit = t.bucketed_range_join(scored.select("component_id", "day"), f.failures.select("component_id", F.col("day").alias("failed")), "component_id", "day", "failed", HORIZON)
+    hit = hit.where("failed > day").select("component_id", "day").distinct().withColumn("y", F.lit(1))
+    return scored.join(hit, ["component_id", "day"], "left").select(F.col("day").alias("cut"), "component_id", "unit_id", "family", F.round("failure_risk", 9).alias("score"), F.coalesce("y", F.lit(0)).alias("y"))
 
 
 def _observed(f: Fleet) -> DataFrame:
@@ -423,9 +415,6 @@ Q: dict[str, Query] = {
     "average_precision": Query(lambda f: monitoring.average_precision(_labelled(f)), "", "average_precision", "(SELECT sum(h) FILTER (y = 1) / sum(y) AS average_precision FROM (SELECT *, sum(y) OVER (ORDER BY score DESC, component_id) / row_number() OVER (ORDER BY score DESC, component_id) AS h FROM labelled))"),
     "top_lift": Query(lambda f: monitoring.top_lift(_labelled(f)), "", "top_lift", "(SELECT avg(y) FILTER (k <= greatest(1, ceil(n * 0.10))) / avg(y) AS top_lift FROM (SELECT *, row_number() OVER (ORDER BY score DESC, component_id) AS k, count(*) OVER () AS n FROM labelled))"),
     "calibration": Query(lambda f: monitoring.calibration_table(_labelled(f), probability="score"), "bin n_rows", "predicted observed", "(SELECT b::INT AS bin, count(score) AS n_rows, avg(score) AS predicted, avg(y) AS observed FROM range(10) r(b) LEFT JOIN labelled ON (score > b / 10 OR (b = 0 AND score = 0)) AND score <= (b + 1) / 10 GROUP BY 1)"),
-    "psi_drift": Query(lambda f: monitoring.drift(_features(f), ["health_index", "stress"], HORIZON), "feature level", "psi"),
-    "temporal_validation": Query(lambda f: monitoring.rolling_calibration(f.stored("cuts", lambda: _validation_cuts(f)), HORIZON, min_rows=50, min_events=5), "cut component_id family y status", "score p"),
-    "readiness_gate": Query(_readiness, "check status threshold"),
     "rul_slopes": Query(_slopes, "component_id n_days", "slope intercept r2", f"(SELECT component_id, count(*) AS n_days, regr_slope(health, x) AS slope, regr_intercept(health, x) AS intercept, regr_r2(health, x) AS r2 FROM (SELECT component_id, health, row_number() OVER (PARTITION BY component_id ORDER BY day) - 1 AS x FROM mart WHERE date_diff('day', day, (SELECT max(day) FROM ev)) < {WINDOW}) GROUP BY 1)"),
     "rul_snapshot": Query(_lives, "component_id family rul_days trend_days bucket rul_flag", "daily_damage signal rul_confidence"),
     "rul_backtest": Query(lambda f: rul.rul_backtest(_features(f), f, 3, HORIZON, 5, WINDOW, LEAST), "cut component_id family trend_days rul_days failed trend_bucket rul_bucket"),

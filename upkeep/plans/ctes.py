@@ -114,6 +114,32 @@ CTES: dict[str, str] = {
     "labelled": "SELECT component_id, round(deterioration_index / 100, 9) AS score, EXISTS (SELECT 1 FROM failures x WHERE x.component_id = f.component_id AND x.day > f.day AND x.day <= f.day + 7)::INT AS y FROM feat f WHERE day = (SELECT max(day) - 7 FROM ev)",
 }
 
+HORIZON = 7  # as in the catalogue: days in which a failure counts
+
+
+def _by_day(sql: str) -> str:
+    """Scores of the last day, made over every cut day by itself."""
+    for old, new in (("OVER ()", "OVER (PARTITION BY day)"), ("PARTITION BY family", "PARTITION BY day, family"), ("OVER (ORDER BY raw)", "OVER (PARTITION BY day ORDER BY raw)"), ("OVER (PARTITION BY raw)", "OVER (PARTITION BY day, raw)"), ("FROM nowc", "FROM cutrows"), ("FROM rawrisk", "FROM cutraw")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+# validation: scores at the last mature day of each week, and a calibrator of the cuts that had matured by then
+CTES["cutrows"] = f"SELECT f.*, {family('kind', 'wheel brake pantograph bogie', 'bogie')} AS family FROM feat f WHERE day IN (SELECT max(day) FROM feat WHERE day <= (SELECT max(day) - {HORIZON} FROM ev) GROUP BY date_trunc('week', day))"
+CTES["cutraw"], CTES["cutscored"] = _by_day(CTES["rawrisk"]), _by_day(CTES["scored"])
+CTES["validation"] = f"SELECT day AS cut, component_id, family, round(failure_risk, 9) AS score, EXISTS (SELECT 1 FROM failures x WHERE x.component_id = s.component_id AND x.day > s.day AND x.day <= s.day + {HORIZON})::INT AS y FROM cutscored s"
+_TENTHS = ", ".join(str(i / 10) for i in range(11))
+CTES["trained"] = f"SELECT c.judged, v.score, v.y FROM (SELECT DISTINCT cut AS judged FROM validation) c JOIN validation v ON date_diff('day', v.cut, c.judged) >= {HORIZON}"
+CTES["markers"] = f"SELECT judged, e[2:len(e) - 1] AS inner_ FROM (SELECT judged, list_sort(list_distinct(quantile_cont(score, [{_TENTHS}]))) AS e, count(*) AS n, sum(y) AS events FROM trained GROUP BY 1) WHERE n >= 50 AND events >= 5 AND len(e) >= 4"
+CTES["rates"] = "SELECT judged, bin, max(coalesce(rate, 0.5)) OVER (PARTITION BY judged ORDER BY bin) AS p FROM (SELECT judged, unnest(range(len(inner_) + 1)) AS bin FROM markers) g LEFT JOIN (SELECT judged, len(list_filter(inner_, lambda e: score >= e)) AS bin, (sum(y) + 1.0::DOUBLE) / (count(*) + 2.0::DOUBLE) AS rate FROM trained JOIN markers USING (judged) GROUP BY 1, 2) USING (judged, bin)"
+CTES["calibrated"] = "SELECT v.*, p, CASE WHEN p IS NULL THEN 'insufficient_history' ELSE 'rolling' END AS status FROM validation v LEFT JOIN markers m ON m.judged = v.cut LEFT JOIN rates r ON r.judged = v.cut AND r.bin = len(list_filter(inner_, lambda e: score >= e))"
+CTES["folded"] = "SELECT *, cut::VARCHAR AS fold FROM calibrated UNION ALL SELECT *, 'overall' FROM calibrated"
+CTES["foldplaces"] = "SELECT *, row_number() OVER w AS k, sum(y) OVER (w ROWS UNBOUNDED PRECEDING) AS hits, count(*) OVER (PARTITION BY fold) AS total, rank() OVER (PARTITION BY fold ORDER BY score) + (count(*) OVER (PARTITION BY fold, score) - 1) / 2 AS r FROM folded WINDOW w AS (PARTITION BY fold ORDER BY score DESC, cut, component_id)"
+CTES["folderrors"] = "SELECT fold, sum(n * abs(o - e)) / sum(n) AS calibration_error FROM (SELECT fold, b, count(*) AS n, avg(y) AS o, avg(p) AS e FROM folded JOIN range(10) t(b) ON (p > b / 10 OR (b = 0 AND p = 0)) AND p <= (b + 1) / 10 GROUP BY 1, 2) GROUP BY 1"
+CTES["foldmetrics"] = """SELECT f.*, calibration_error FROM (SELECT fold, count(*) AS "rows", sum(y)::BIGINT AS failures, avg(y) AS prevalence, CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) END AS roc_auc,
+    CASE WHEN sum(y) > 0 THEN sum(hits / k) FILTER (y = 1) / sum(y) END AS average_precision, CASE WHEN sum(y) > 0 THEN avg(y) FILTER (k <= greatest(1, ceil(total * 0.10))) / avg(y) END AS top_decile_lift, avg((score - y) ** 2) AS raw_brier, count(p) AS calibrated_rows, avg((p - y) ** 2) AS calibrated_brier
+    FROM foldplaces GROUP BY 1) f LEFT JOIN folderrors USING (fold)"""
+
 _NAMES = re.compile(r"\b(" + "|".join(CTES) + r")\b")
 
 
