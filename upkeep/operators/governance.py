@@ -55,8 +55,8 @@ def decision_id(*parts: str) -> Column:
 
 
 def decision_register(cases: DataFrame) -> DataFrame:
-    """Decisions in shadow mode: an id each, and whether a person must approve."""
-    gate = F.col("decision").isin("D01_now", "D02_window", "D02B_blocked", "D03_inspect", "D07_conflict") | (F.col("decision_conflict") == 1) | (F.col("confidence_flag") != "high")
+    """Decisions in shadow mode: an id each, and whether a person must approve, as all that act must."""
+    gate = F.col("decision") != "D06_none"
     return cases.withColumn("decision_id", decision_id("day", "unit_id", "component_id", "decision")).select("decision_id", "day", "unit_id", "component_id", "decision", gate.alias("needs_approval"), F.lit(False).alias("auto"))
 
 

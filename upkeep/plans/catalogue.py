@@ -105,10 +105,6 @@ def _lives(f: Fleet) -> DataFrame:
     return f.stored("lives", lambda: rul.rul_snapshot(_features(f), _scored(f), WINDOW, LEAST))
 
 
-def _warned(f: Fleet) -> DataFrame:
-    return rules.early_warnings(_driven(f).join(_lives(f).select("component_id", "rul_days", "rul_confidence"), "component_id", "left"))
-
-
 def cases(f: Fleet) -> DataFrame:
     """Decided cases in queue order."""
 
@@ -405,8 +401,6 @@ Q: dict[str, Query] = {
     "unit_score": Query(lambda f: risk.unit_scores(_scored(f)), "unit_id high_risk component_count", "mean_risk p90_risk unit_score", "uscore"),
     "business_ranking": Query(lambda f: risk.business_ranking(_scored(f), risk.unit_scores(_scored(f))), "component_id rank", "business_risk", _BUSINESS),
     "component_actions": Query(_decided, "component_id rule conflict", "", _actions_sql()),
-    "early_warning_levels": Query(_warned, "component_id family active_rules level action"),
-    "operational_decisions": Query(cases, "component_id decision decision_conflict bucket window_days", "priority deferral service queue_score hours delay_cost"),
     "score_evidence_bins": Query(lambda f: risk.evidence_bins(risk.history(_features(f), f.failures)), "bin days failures", "rate", "(SELECT b AS bin, count(component_id) AS days, coalesce(sum(fails), 0)::BIGINT AS failures, round(sum(fails) / nullif(count(component_id), 0), 4) AS rate FROM range(5) r(b) LEFT JOIN past ON deterioration_index > [-1, 20, 40, 60, 80][b + 1] AND deterioration_index <= [20, 40, 60, 80, 100][b + 1] GROUP BY 1)"),
     "confusion": Query(lambda f: risk.confusion(risk.history(_features(f), f.failures), 40), "tp fp fn", "precision recall", "(SELECT *, round(tp / greatest(tp + fp, 1), 4) AS precision, round(tp / greatest(tp + fn, 1), 4) AS recall FROM (SELECT count(*) FILTER (deterioration_index >= 40 AND fails = 1) AS tp, count(*) FILTER (deterioration_index >= 40 AND fails = 0) AS fp, count(*) FILTER (deterioration_index < 40 AND fails = 1) AS fn FROM past))"),
     "spearman": Query(lambda f: risk.spearman(_scored(f), ["deterioration_index", "velocity", "restoration"], "failure_risk"), "feature", "correlation", "(SELECT 'deterioration_index' AS feature, corr(a, y) AS correlation FROM (SELECT rank() OVER (ORDER BY deterioration_index) + (count(*) OVER (PARTITION BY deterioration_index) - 1) / 2 AS a, rank() OVER (ORDER BY failure_risk) + (count(*) OVER (PARTITION BY failure_risk) - 1) / 2 AS y FROM scored) UNION ALL SELECT 'velocity', corr(a, y) FROM (SELECT rank() OVER (ORDER BY velocity) + (count(*) OVER (PARTITION BY velocity) - 1) / 2 AS a, rank() OVER (ORDER BY failure_risk) + (count(*) OVER (PARTITION BY failure_risk) - 1) / 2 AS y FROM scored) UNION ALL SELECT 'restoration', corr(a, y) FROM (SELECT rank() OVER (ORDER BY restoration) + (count(*) OVER (PARTITION BY restoration) - 1) / 2 AS a, rank() OVER (ORDER BY failure_risk) + (count(*) OVER (PARTITION BY failure_risk) - 1) / 2 AS y FROM scored))"),
@@ -416,9 +410,6 @@ Q: dict[str, Query] = {
     "top_lift": Query(lambda f: monitoring.top_lift(_labelled(f)), "", "top_lift", "(SELECT avg(y) FILTER (k <= greatest(1, ceil(n * 0.10))) / avg(y) AS top_lift FROM (SELECT *, row_number() OVER (ORDER BY score DESC, component_id) AS k, count(*) OVER () AS n FROM labelled))"),
     "calibration": Query(lambda f: monitoring.calibration_table(_labelled(f), probability="score"), "bin n_rows", "predicted observed", "(SELECT b::INT AS bin, count(score) AS n_rows, avg(score) AS predicted, avg(y) AS observed FROM range(10) r(b) LEFT JOIN labelled ON (score > b / 10 OR (b = 0 AND score = 0)) AND score <= (b + 1) / 10 GROUP BY 1)"),
     "rul_slopes": Query(_slopes, "component_id n_days", "slope intercept r2", f"(SELECT component_id, count(*) AS n_days, regr_slope(health, x) AS slope, regr_intercept(health, x) AS intercept, regr_r2(health, x) AS r2 FROM (SELECT component_id, health, row_number() OVER (PARTITION BY component_id ORDER BY day) - 1 AS x FROM mart WHERE date_diff('day', day, (SELECT max(day) FROM ev)) < {WINDOW}) GROUP BY 1)"),
-    "rul_snapshot": Query(_lives, "component_id family rul_days trend_days bucket rul_flag", "daily_damage signal rul_confidence"),
-    "rul_backtest": Query(lambda f: rul.rul_backtest(_features(f), f, 3, HORIZON, 5, WINDOW, LEAST), "cut component_id family trend_days rul_days failed trend_bucket rul_bucket"),
-    "rul_tables": Query(lambda f: rul.rul_tables(rul.rul_backtest(_features(f), f, 3, HORIZON, 5, WINDOW, LEAST)), "method bucket cases failures", "p10 p50 p90 failure_rate share"),
     "rul_buckets": Query(lambda f: f.backlog.select("order_id", "day", rul.bucket(F.col("risk")).alias("bucket")), "order_id day bucket", "", f"(SELECT order_id, day, {_fine('risk')} AS bucket FROM backlog)"),
     "strategy_grid": Query(_simulated, "scenario strategy", "downtime_mult failure_mult capacity_mult detection_mult corrective_mult preventive_mult availability_pct mtbf_h mttr_h downtime_h critical_backlog high_deferral total_cost saving", _SIM),
     "strategy_summary": Query(lambda f: strategy.strategy_summary(_simulated(f)), "strategy", "p10 p50 p90 total_cost saves_share", f"(SELECT strategy, quantile_cont(saving, 0.1) AS p10, quantile_cont(saving, 0.5) AS p50, quantile_cont(saving, 0.9) AS p90, avg(total_cost) AS total_cost, avg((saving > 0)::INT) AS saves_share FROM {_SIM} GROUP BY 1)"),
@@ -427,10 +418,7 @@ Q: dict[str, Query] = {
     "deferral_summary": Query(lambda f: strategy.deferral_summary(strategy.deferral_grid(_deferral_cases(f))), "defer_days cases", "downtime_h total_cost extra_cost extra_hours", f"(SELECT *, total_cost - first(total_cost) OVER (ORDER BY defer_days) AS extra_cost, downtime_h - first(downtime_h) OVER (ORDER BY defer_days) AS extra_hours FROM (SELECT defer_days, count(*) AS cases, sum(downtime_h) AS downtime_h, sum(total_cost) AS total_cost FROM {_DEFER} GROUP BY 1))"),
     "depot_ranking": Query(lambda f: workshop.rank_depots(f.components.select("component_id", "kind"), f.depots.withColumn("saturation", F.col("depot_id") / 10)), "component_id depot candidates", "fit", "(SELECT component_id, first(d ORDER BY s DESC, d) AS depot, max(s) AS fit, array_to_string(list(d ORDER BY s DESC, d)[1:4], '|') AS candidates FROM (SELECT component_id, depot_id AS d, round((CASE WHEN contains(speciality, kind) THEN 1 ELSE 0.42 END * 0.62 + (1 - depot_id / 10 / 1.9) * 0.24 + least(capacity / 95, 1) * 0.14) * 100, 6) AS s FROM components CROSS JOIN depots) GROUP BY 1)"),
     "capacity_calendar": Query(lambda f: workshop.capacity_calendar(f.depots.crossJoin(F.broadcast(f.span)).withColumn("saturation", F.col("depot_id") / 8), F.col("last_day")), "depot_id offset slot", "regular_h flex_h", "(SELECT depot_id, \"offset\", slot, round(r, 4) AS regular_h, round(r * CASE WHEN \"offset\" <= 14 THEN 0.10 ELSE 0.05 END, 4) AS flex_h FROM (SELECT *, greatest(4, greatest(3, capacity * 0.38 * CASE WHEN depot_id / 8 > 1.15 THEN 0.88 WHEN depot_id / 8 > 1 THEN 0.94 WHEN depot_id / 8 < 0.75 THEN 1.05 ELSE 1 END) * CASE WHEN isodow(slot) < 6 THEN 1 WHEN isodow(slot) = 6 THEN 0.75 ELSE 0.60 END) AS r FROM (SELECT *, (SELECT max(day) FROM ev) + o::INT AS slot, o::INT AS \"offset\" FROM depots CROSS JOIN range(1, 36) t(o))))"),
-    "priority_scores": Query(cases, "component_id entry depot candidates", "priority deferral service fit ageing"),
-    "queue_hours": Query(lambda f: cases(f).groupBy("bucket").agg(F.count("*").alias("cases"), F.sum("hours").alias("hours"), F.avg("queue_score").alias("queue_score")), "bucket cases", "hours queue_score"),
     "decision_ids": Query(lambda f: f.inspections.where("defect = 1").withColumn("rule", F.lit("D03_inspect")).select("inspection_id", governance.decision_id("day", "unit_id", "component_id", "rule").alias("decision_id")), "inspection_id decision_id", "", "(SELECT inspection_id, 'DEC-' || upper(substr(sha256(day || '|' || unit_id || '|' || component_id || '|D03_inspect'), 1, 16)) AS decision_id FROM inspections WHERE defect = 1)"),
-    "decision_register": Query(lambda f: governance.decision_register(cases(f)), "decision_id day unit_id component_id decision needs_approval auto"),
     "narrative_metrics": Query(_metrics, "metric", "value", "(SELECT 'availability' AS metric, avg(availability) * 100 AS value FROM unitday UNION ALL SELECT 'high_risk_units', count(*) FILTER (r >= m) FROM (SELECT r, avg(r) OVER () + 1.5 * stddev_samp(r) OVER () AS m FROM (SELECT avg(risk) AS r FROM unitday GROUP BY unit_id)) UNION ALL SELECT m, v FROM (SELECT sum(backlog_items) AS backlog_physical, sum(overdue_items) AS backlog_overdue, sum(critical_items) AS backlog_critical FROM depotday WHERE day = (SELECT max(day) FROM (SELECT day FROM depotday GROUP BY day HAVING sum(backlog_items) > 0))) UNPIVOT (v FOR m IN (backlog_physical, backlog_overdue, backlog_critical)) UNION ALL SELECT 'worst_saturation', max(saturation) FROM depotday)"),
     "panel_filters": Query(lambda f: panel.apply_filters(_mart(f).select("day", "component_id", "kind", "alerts"), {"alerts": 1}, "WHEEL"), "day component_id kind alerts", "", "(SELECT day, component_id, kind, alerts FROM mart WHERE alerts = 1 AND kind LIKE '%wheel%')"),
     "panel_group_mean": Query(lambda f: panel.group_mean(_mart(f), "unit_id", "health", 10), "unit_id n_rows", "mean", "(SELECT unit_id, avg(health) AS mean, count(*) AS n_rows FROM mart GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)"),

@@ -140,15 +140,15 @@ CTES["foldmetrics"] = """SELECT f.*, calibration_error FROM (SELECT fold, count(
     CASE WHEN sum(y) > 0 THEN sum(hits / k) FILTER (y = 1) / sum(y) END AS average_precision, CASE WHEN sum(y) > 0 THEN avg(y) FILTER (k <= greatest(1, ceil(total * 0.10))) / avg(y) END AS top_decile_lift, avg((score - y) ** 2) AS raw_brier, count(p) AS calibrated_rows, avg((p - y) ** 2) AS calibrated_brier
     FROM foldplaces GROUP BY 1) f LEFT JOIN folderrors USING (fold)"""
 
-_NAMES = re.compile(r"\b(" + "|".join(CTES) + r")\b")
 
 
 def with_ctes(body: str) -> str:
     """The body under the expressions that it needs, in their order."""
+    names = re.compile(r"\b(" + "|".join(CTES) + r")\b")
     need: set[str] = set()
 
     def visit(text: str) -> None:
-        for name in {*_NAMES.findall(re.sub(r"'[^']*'", "", text))} - need:
+        for name in {*names.findall(re.sub(r"'[^']*'", "", text))} - need:
             need.add(name)
             visit(CTES[name])
 
@@ -157,7 +157,7 @@ def with_ctes(body: str) -> str:
 
     def place(name: str) -> None:
         if name not in order:
-            for other in {*_NAMES.findall(re.sub(r"'[^']*'", "", CTES[name]))} - {name}:
+            for other in {*names.findall(re.sub(r"'[^']*'", "", CTES[name]))} - {name}:
                 if other in need:
                     place(other)
             order.append(name)
