@@ -76,6 +76,50 @@ def latest_approvals(approvals: DataFrame) -> DataFrame:
     return approvals.groupBy("decision_id").agg(F.max_by(F.struct("approval_status", "reviewer_id"), "reviewed_at").alias("a")).select("decision_id", "a.*")
 
 
+def reviewed_register(register: DataFrame, reviews: DataFrame, as_of: Column) -> DataFrame:
+    """register with the state of each decision as of a moment: approval_status, reviewer_id, reviewed_at, reviews, contradicting, late.
+
+    register: decision_id, day, decision, window_days.  reviews: decision_id,
+    approval_status, reviewer_id, reviewed_at, review_id; those after the moment, with
+    another status, or without reviewer or time don't count.  The last one holds, of
+    one time the larger review_id.  contradicting: reviews of more than one status;
+    late: the last came after the decision's window.  Decisions without a review are
+    pending.  Nothing is authorised: the register runs in shadow mode.
+    """
+    c = F.col
+    fine = c("approval_status").isin(*APPROVALS) & (F.trim(F.coalesce("reviewer_id", F.lit(""))) != "") & (c("reviewed_at") <= as_of)
+    kinds = F.bit_or(sum((F.when(c("approval_status") == s, 1 << k).otherwise(0) for k, s in enumerate(APPROVALS)), F.lit(0)))
+    last = reviews.where(fine).groupBy("decision_id").agg(F.max_by(F.struct("approval_status", "reviewer_id", "reviewed_at"), F.struct("reviewed_at", "review_id")).alias("last"), F.count("*").alias("reviews"), (F.bit_count(kinds) > 1).alias("contradicting"))
+    out = register.join(last, "decision_id", "left")
+    return out.select(
+        *(c(x) for x in register.columns), (c("decision") != "D06_none").alias("approval_required"), F.coalesce("last.approval_status", F.lit("pending")).alias("approval_status"), c("last.reviewer_id").alias("reviewer_id"), c("last.reviewed_at").alias("reviewed_at"), F.coalesce("reviews", F.lit(0)).alias("reviews"),
+        F.coalesce("contradicting", F.lit(False)).alias("contradicting"), F.coalesce(F.datediff(F.to_date("last.reviewed_at"), "day") > c("window_days"), F.lit(False)).alias("late"), F.when(c("last").isNull(), "system_pending_review").otherwise("human_review").alias("record_origin"), F.lit("shadow").alias("operating_mode"), F.lit(False).alias("auto_execution_allowed"), F.lit(False).alias("execution_authorized"),
+    )
+
+
+def governance_checks(register: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(check, passed, observed, expected, blocker): the six checks of a reviewed register, two passes over decisions and one over reviews."""
+    c = F.col
+    again = lambda df, *keys: df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(c("n") - 1), F.lit(0)).alias("n"))
+    counts = register.agg(
+        F.count_if(c("operating_mode") != "shadow").alias("outside"), F.count_if("auto_execution_allowed").alias("auto"), F.count_if("approval_required").alias("material"), F.count_if((c("decision") != "D06_none") & ~c("approval_required")).alias("unasked"),
+        F.count_if((c("approval_status") == "approved") & (F.trim(F.coalesce("reviewer_id", F.lit(""))) == "")).alias("unsigned"),
+    )
+    one = counts.crossJoin(F.broadcast(again(register, "decision_id").withColumnRenamed("n", "ids"))).crossJoin(F.broadcast(again(reviews, "decision_id", "reviewed_at").withColumnRenamed("n", "events")))  # one row each
+    checks = [
+        ("decision_id_unique", c("ids") == 0, c("ids"), "0 duplicate ids"), ("shadow_mode_enforced", c("outside") == 0, c("outside"), "0 decisions outside shadow mode"), ("automatic_execution_disabled", c("auto") == 0, c("auto"), "0 automatically executable decisions"),
+        ("critical_decisions_require_approval", c("unasked") == 0, c("material"), "all material actions"), ("approved_decisions_have_reviewer", c("unsigned") == 0, c("unsigned"), "0 approved decisions without reviewer"), ("review_event_identity_unique", c("events") == 0, c("events"), "0 duplicate review events"),
+    ]
+    rows = [F.struct(F.lit(n).alias("check"), ok.alias("passed"), seen.cast("long").alias("observed"), F.lit(want).alias("expected"), F.lit(True).alias("blocker")) for n, ok, seen, want in checks]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def require_governed(checks: DataFrame) -> None:
+    """Raises where a check of the register failed."""
+    if failed := [r["check"] for r in checks.where("NOT passed").collect()]:
+        raise ValueError("decision checks failed: " + ", ".join(failed))
+
+
 def scalars(**frames: tuple[DataFrame, str]) -> DataFrame:
     """(metric, value) rows from one-row frames; frames: metric to (frame, column)."""
     out = None

@@ -119,9 +119,13 @@ def cases(f: Fleet) -> DataFrame:
     return f.stored("cases", lambda: workshop.queue(rules.operational_decisions(f.stored("entries", entries))))
 
 
+def _loaded_depots(f: Fleet) -> DataFrame:
+    """Depots with the saturation of the last day."""
+    return f.depots.join(features.latest(_stored_depots(f)).select("depot_id", "saturation"), "depot_id", "left")
+
+
 def calendar(f: Fleet) -> DataFrame:
-    load = features.latest(_stored_depots(f)).select("depot_id", "saturation")
-    days = f.depots.select("depot_id", "capacity").join(load, "depot_id", "left").crossJoin(F.broadcast(f.span.select("last_day")))
+    days = _loaded_depots(f).select("depot_id", "capacity", "saturation").crossJoin(F.broadcast(f.span.select("last_day")))
     return f.stored("calendar", lambda: workshop.capacity_calendar(days, F.col("last_day")))
 
 
@@ -352,6 +356,7 @@ def _count(where: str) -> str:
     return f"count(*) FILTER ({where})"
 
 
+_LOADED = "SELECT depots.*, saturation FROM depots LEFT JOIN (SELECT depot_id, saturation FROM depotday WHERE day = (SELECT max(day) FROM depotday)) USING (depot_id)"
 Q: dict[str, Query] = {
     "staging_typed_projection": Query(lambda f: f.inspections, "inspection_id day unit_id component_id defect severity reported", "score confidence", "inspections"),
     "component_day_inputs": Query(marts.component_day_inputs, f"{_COMP} kind defect_flag maintenance_events failures repeated", "sensor_mean sensor_std sensor_max temperature vibration wear load defect_score maintenance_hours corrective_share failure_downtime_h failure_severity ambient", "inputs"),
@@ -416,8 +421,8 @@ Q: dict[str, Query] = {
     "strategy_ofat": Query(lambda f: strategy.strategy_ofat(_simulated(f)), "strategy parameter", "level total_cost saving", "(" + " UNION ALL ".join(f"SELECT strategy, '{n}' AS parameter, {n} AS level, avg(total_cost) AS total_cost, avg(saving) AS saving FROM {_SIM} GROUP BY ALL" for n in strategy.LEVELS) + ")"),
     "deferral_grid": Query(lambda f: strategy.deferral_grid(_deferral_cases(f)), "defer_days component_id", "adjusted_risk downtime_h impact_cost total_cost", _DEFER),
     "deferral_summary": Query(lambda f: strategy.deferral_summary(strategy.deferral_grid(_deferral_cases(f))), "defer_days cases", "downtime_h total_cost extra_cost extra_hours", f"(SELECT *, total_cost - first(total_cost) OVER (ORDER BY defer_days) AS extra_cost, downtime_h - first(downtime_h) OVER (ORDER BY defer_days) AS extra_hours FROM (SELECT defer_days, count(*) AS cases, sum(downtime_h) AS downtime_h, sum(total_cost) AS total_cost FROM {_DEFER} GROUP BY 1))"),
-    "depot_ranking": Query(lambda f: workshop.rank_depots(f.components.select("component_id", "kind"), f.depots.withColumn("saturation", F.col("depot_id") / 10)), "component_id depot candidates", "fit", "(SELECT component_id, first(d ORDER BY s DESC, d) AS depot, max(s) AS fit, array_to_string(list(d ORDER BY s DESC, d)[1:4], '|') AS candidates FROM (SELECT component_id, depot_id AS d, round((CASE WHEN contains(speciality, kind) THEN 1 ELSE 0.42 END * 0.62 + (1 - depot_id / 10 / 1.9) * 0.24 + least(capacity / 95, 1) * 0.14) * 100, 6) AS s FROM components CROSS JOIN depots) GROUP BY 1)"),
-    "capacity_calendar": Query(lambda f: workshop.capacity_calendar(f.depots.crossJoin(F.broadcast(f.span)).withColumn("saturation", F.col("depot_id") / 8), F.col("last_day")), "depot_id offset slot", "regular_h flex_h", "(SELECT depot_id, \"offset\", slot, round(r, 4) AS regular_h, round(r * CASE WHEN \"offset\" <= 14 THEN 0.10 ELSE 0.05 END, 4) AS flex_h FROM (SELECT *, greatest(4, greatest(3, capacity * 0.38 * CASE WHEN depot_id / 8 > 1.15 THEN 0.88 WHEN depot_id / 8 > 1 THEN 0.94 WHEN depot_id / 8 < 0.75 THEN 1.05 ELSE 1 END) * CASE WHEN isodow(slot) < 6 THEN 1 WHEN isodow(slot) = 6 THEN 0.75 ELSE 0.60 END) AS r FROM (SELECT *, (SELECT max(day) FROM ev) + o::INT AS slot, o::INT AS \"offset\" FROM depots CROSS JOIN range(1, 36) t(o))))"),
+    "depot_ranking": Query(lambda f: workshop.rank_depots(f.components.select("component_id", "kind"), _loaded_depots(f)), "component_id depot candidates", "fit", "(SELECT component_id, first(d ORDER BY s DESC, d) AS depot, max(s) AS fit, array_to_string(list(d ORDER BY s DESC, d)[1:4], '|') AS candidates FROM (SELECT component_id, depot_id AS d, round((CASE WHEN contains(speciality, kind) THEN 1 ELSE 0.42 END * 0.62 + (1 - least(1.7, greatest(0, coalesce(saturation, 0.90))) / 1.9) * 0.24 + least(capacity / 95, 1) * 0.14) * 100, 6) AS s FROM components CROSS JOIN (" + _LOADED + ")) GROUP BY 1)"),
+    "capacity_calendar": Query(calendar, "depot_id offset slot", "regular_h flex_h", "(SELECT depot_id, \"offset\", slot, round(r, 4) AS regular_h, round(r * CASE WHEN \"offset\" <= 14 THEN 0.10 ELSE 0.05 END, 4) AS flex_h FROM (SELECT *, greatest(4, greatest(3, capacity * 0.38 * CASE WHEN coalesce(saturation, 0.95) > 1.15 THEN 0.88 WHEN coalesce(saturation, 0.95) > 1 THEN 0.94 WHEN coalesce(saturation, 0.95) < 0.75 THEN 1.05 ELSE 1 END) * CASE WHEN isodow(slot) < 6 THEN 1 WHEN isodow(slot) = 6 THEN 0.75 ELSE 0.60 END) AS r FROM (SELECT *, (SELECT max(day) FROM ev) + o::INT AS slot, o::INT AS \"offset\" FROM (" + _LOADED + ") CROSS JOIN range(1, 36) t(o))))"),
     "decision_ids": Query(lambda f: f.inspections.where("defect = 1").withColumn("rule", F.lit("D03_inspect")).select("inspection_id", governance.decision_id("day", "unit_id", "component_id", "rule").alias("decision_id")), "inspection_id decision_id", "", "(SELECT inspection_id, 'DEC-' || upper(substr(sha256(day || '|' || unit_id || '|' || component_id || '|D03_inspect'), 1, 16)) AS decision_id FROM inspections WHERE defect = 1)"),
     "narrative_metrics": Query(_metrics, "metric", "value", "(SELECT 'availability' AS metric, avg(availability) * 100 AS value FROM unitday UNION ALL SELECT 'high_risk_units', count(*) FILTER (r >= m) FROM (SELECT r, avg(r) OVER () + 1.5 * stddev_samp(r) OVER () AS m FROM (SELECT avg(risk) AS r FROM unitday GROUP BY unit_id)) UNION ALL SELECT m, v FROM (SELECT sum(backlog_items) AS backlog_physical, sum(overdue_items) AS backlog_overdue, sum(critical_items) AS backlog_critical FROM depotday WHERE day = (SELECT max(day) FROM (SELECT day FROM depotday GROUP BY day HAVING sum(backlog_items) > 0))) UNPIVOT (v FOR m IN (backlog_physical, backlog_overdue, backlog_critical)) UNION ALL SELECT 'worst_saturation', max(saturation) FROM depotday)"),
     "panel_filters": Query(lambda f: panel.apply_filters(_mart(f).select("day", "component_id", "kind", "alerts"), {"alerts": 1}, "WHEEL"), "day component_id kind alerts", "", "(SELECT day, component_id, kind, alerts FROM mart WHERE alerts = 1 AND kind LIKE '%wheel%')"),

@@ -114,6 +114,7 @@ CTES: dict[str, str] = {
     "labelled": "SELECT component_id, round(deterioration_index / 100, 9) AS score, EXISTS (SELECT 1 FROM failures x WHERE x.component_id = f.component_id AND x.day > f.day AND x.day <= f.day + 7)::INT AS y FROM feat f WHERE day = (SELECT max(day) - 7 FROM ev)",
 }
 
+CTES["reviews"] = "SELECT o_orderkey AS review_id, o_custkey AS component_id, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'rejected' ELSE 'escalated' END AS approval_status, 'reviewer_' || substr(o_orderpriority, 1, 1) AS reviewer_id, ((SELECT max(day) FROM ev) + 1)::TIMESTAMP + to_hours(o_orderkey % 660) AS reviewed_at FROM orders"
 HORIZON = 7  # as in the catalogue: days in which a failure counts
 
 

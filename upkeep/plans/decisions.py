@@ -127,6 +127,19 @@ _CASES = _steps(
     {"queue_score": "priority * 0.58 + deferral * 0.22 + service * 0.12 + ageing * 0.08"},
 )
 CTES["cases"] = f"SELECT * FROM {_CASES}"
+#: The register is read as of so many days after its decisions.
+AS_OF_DAYS = 14
+CTES["registered"] = "SELECT *, 'DEC-' || upper(substr(sha256(day || '|' || unit_id || '|' || component_id || '|' || decision), 1, 16)) AS decision_id FROM cases"
+CTES["decisionreviews"] = "SELECT v.*, decision_id, day FROM reviews v JOIN registered d ON d.component_id = v.component_id"
+CTES["reviewed"] = f"""SELECT r.*, decision <> 'D06_none' AS approval_required, coalesce(l.status, 'pending') AS approval_status, l.reviewer AS reviewer_id, l.at_ AS reviewed_at, coalesce(l.n, 0) AS reviews, coalesce(l.kinds > 1, false) AS contradicting,
+    coalesce(date_diff('day', day, l.at_::DATE) > window_days, false) AS late, CASE WHEN l.n IS NULL THEN 'system_pending_review' ELSE 'human_review' END AS record_origin, 'shadow' AS operating_mode, false AS auto_execution_allowed FROM registered r
+    LEFT JOIN (SELECT decision_id AS id, arg_max(approval_status, (reviewed_at, review_id)) AS status, arg_max(reviewer_id, (reviewed_at, review_id)) AS reviewer, max(reviewed_at) AS at_, count(*) AS n, count(DISTINCT approval_status) AS kinds FROM decisionreviews WHERE reviewed_at <= day::TIMESTAMP + INTERVAL {AS_OF_DAYS} DAY GROUP BY 1) l ON l.id = r.decision_id"""
+_CHECKS = """(SELECT 'decision_id_unique' AS "check", n = 0 AS passed, n AS observed, '0 duplicate ids' AS expected FROM (SELECT count(*) - count(DISTINCT decision_id) AS n FROM reviewed)
+    UNION ALL SELECT 'shadow_mode_enforced', count(*) FILTER (operating_mode <> 'shadow') = 0, count(*) FILTER (operating_mode <> 'shadow'), '0 decisions outside shadow mode' FROM reviewed
+    UNION ALL SELECT 'automatic_execution_disabled', count(*) FILTER (auto_execution_allowed) = 0, count(*) FILTER (auto_execution_allowed), '0 automatically executable decisions' FROM reviewed
+    UNION ALL SELECT 'critical_decisions_require_approval', count(*) FILTER (decision <> 'D06_none' AND NOT approval_required) = 0, count(*) FILTER (approval_required), 'all material actions' FROM reviewed
+    UNION ALL SELECT 'approved_decisions_have_reviewer', n = 0, n, '0 approved decisions without reviewer' FROM (SELECT count(*) FILTER (approval_status = 'approved' AND trim(coalesce(reviewer_id, '')) = '') AS n FROM reviewed)
+    UNION ALL SELECT 'review_event_identity_unique', n = 0, n, '0 duplicate review events' FROM (SELECT count(*) - count(DISTINCT (decision_id, reviewed_at)) AS n FROM decisionreviews))"""
 
 
 def warned(f: Fleet) -> DataFrame:
@@ -141,6 +154,16 @@ def _hours(f: Fleet) -> DataFrame:
     return cases(f).groupBy("bucket").agg(F.count("*").alias("cases"), F.sum("hours").alias("hours"), F.avg("queue_score").alias("queue_score"))
 
 
+def _reviewed(f: Fleet) -> tuple[DataFrame, DataFrame]:
+    """(register, its reviews)."""
+    register = cases(f).withColumn("decision_id", governance.decision_id("day", "unit_id", "component_id", "decision")).select("decision_id", "day", "unit_id", "component_id", "decision", "bucket", "window_days")
+    register = f.stored("register", lambda: register)
+    reviews = f.reviews.join(register.select("component_id", "decision_id"), "component_id")
+    as_of = F.date_add("last_day", AS_OF_DAYS).cast("timestamp")
+    dated = reviews.crossJoin(F.broadcast(f.span.select("last_day")))  # one row
+    return f.stored("reviewed", lambda: governance.reviewed_register(register, dated, as_of)), reviews
+
+
 Q: dict[str, Query] = {
     "rul_snapshot": Query(catalogue._lives, "component_id family rul_days trend_days bucket rul_flag", "daily_damage signal rul_confidence", "lives"),
     "rul_backtest": Query(backtest, "cut component_id family trend_days rul_days failed trend_bucket rul_bucket", "", "backtest"),
@@ -149,7 +172,9 @@ Q: dict[str, Query] = {
     "priority_scores": Query(cases, "component_id entry depot candidates", "priority deferral service fit ageing", "cases"),
     "operational_decisions": Query(cases, "component_id decision decision_conflict bucket window_days", "priority deferral service queue_score hours delay_cost", "cases"),
     "queue_hours": Query(_hours, "bucket cases", "hours queue_score", "(SELECT bucket, count(*) AS cases, sum(hours) AS hours, avg(queue_score) AS queue_score FROM cases GROUP BY 1)"),
-    "decision_register": Query(lambda f: governance.decision_register(cases(f)), "decision_id day unit_id component_id decision needs_approval auto", "", "(SELECT *, 'DEC-' || upper(substr(sha256(day || '|' || unit_id || '|' || component_id || '|' || decision), 1, 16)) AS decision_id, decision <> 'D06_none' AS needs_approval, false AS auto FROM cases)"),
+    "decision_register": Query(lambda f: governance.decision_register(cases(f)), "decision_id day unit_id component_id decision needs_approval auto", "", "(SELECT *, decision <> 'D06_none' AS needs_approval, false AS auto FROM registered)"),
+    "decision_reviews": Query(lambda f: _reviewed(f)[0], "decision_id component_id decision bucket approval_required approval_status reviewer_id reviewed_at reviews contradicting late record_origin operating_mode", "", "reviewed"),
+    "governance_checks": Query(lambda f: governance.governance_checks(*_reviewed(f)), "check passed observed expected", "", _CHECKS),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q.run for name, q in Q.items()}

@@ -140,3 +140,11 @@ class Fleet:
         return lines.crossJoin(F.broadcast(self.calendar)).selectExpr(
             "day", "line_id", "cast(10 + (line_id * 3 + dayofmonth(day)) % 25 as double) as ambient", "cast(40 + (line_id + dayofmonth(day)) % 30 as double) as humidity", "(10 + line_id % 5) / 10 as intensity", "(line_id % 5) / 5 as congestion"
         )
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        """People's reviews of the last day's decisions: each order is one, of the component with its customer's number, in the four weeks that follow."""
+        last = self.span.select("last_day")
+        return self.table("orders").crossJoin(F.broadcast(last)).selectExpr(
+            "o_orderkey as review_id", "o_custkey as component_id", "case o_orderstatus when 'F' then 'approved' when 'O' then 'rejected' else 'escalated' end as approval_status", "concat('reviewer_', substr(o_orderpriority, 1, 1)) as reviewer_id", "timestampadd(HOUR, cast(o_orderkey % 660 as int), cast(date_add(last_day, 1) as timestamp)) as reviewed_at"
+        )
