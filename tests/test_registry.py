@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from tests.oracle import compare, connect
 from upkeep import runner
 from upkeep.operators import contracts
-from upkeep.plans import registry
+from upkeep.plans import catalogue, registry
 from upkeep.sources import lineage, store, warehouse
-from upkeep.sources.fleet import Fleet
+from upkeep.sources.fleet import MARTS, Fleet
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
@@ -135,3 +135,20 @@ def test_export_of_the_fleet(spark, sf_dir, tmp_path, capsys):
     w = warehouse.Warehouse.over(spark, folder, warehouse.input_manifest(spark, sf_dir, registry.ALL_INPUTS))
     assert spark.read.option("header", True).csv(w.path("export_mart_component_day", "csv")).count() == row.n_rows == Fleet(spark, sf_dir, w).stored("component_day", lambda: 1 / 0).count()
     shutil.rmtree(folder)
+
+
+def test_marts_are_kept_between_queries(spark, sf_dir, tmp_path):
+    """With the session's setting, queries find each other's marts and give the same rows."""
+    names = ["kpi_top_depots", "mart_fleet_week", "component_scores"]
+    plain = {n: sorted(map(repr, catalogue.QUERIES[n](spark, sf_dir).collect())) for n in names}
+    spark.conf.set(MARTS, str(tmp_path / "marts"))
+    try:
+        first = {n: sorted(map(repr, catalogue.QUERIES[n](spark, sf_dir).collect())) for n in names}
+        notes = {p.name for p in (tmp_path / "marts").glob("*.json")}
+        again = {n: sorted(map(repr, catalogue.QUERIES[n](spark, sf_dir).collect())) for n in names}
+        assert first == plain == again
+        assert {p.name for p in (tmp_path / "marts").glob("*.json")} == notes and {n.rsplit("-", 1)[0] for n in notes} >= {"component_day", "unit_day", "depot_day", "fleet_week", "features", "scores"}
+        assert Fleet.over(spark, sf_dir).warehouse.state != Fleet.over(spark, str(tmp_path)).warehouse.state
+    finally:
+        spark.conf.unset(MARTS)
+    assert Fleet.over(spark, sf_dir).warehouse is None

@@ -33,7 +33,7 @@ class Query:
     source: str | None = None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.shape(self.build(Fleet(spark, sf_dir)))
+        return self.shape(self.build(Fleet.over(spark, sf_dir)))
 
     def shape(self, df: DataFrame) -> DataFrame:
         """The query's columns, dates as text and doubles rounded."""

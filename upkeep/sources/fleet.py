@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from upkeep.sources.store import materialize
-from upkeep.sources.warehouse import Warehouse
+from upkeep.sources.warehouse import Warehouse, listing_digest
 
 SEVERITIES = "array('low', 'medium', 'high', 'critical')"
 REPORTED = "array('wheel scan', 'brake thermal', 'bogie acoustic', 'pantograph camera', 'general')"
@@ -25,9 +25,20 @@ KINDS = "array('wheel_profile', 'brake_disc', 'bogie_frame', 'pantograph_head',
 DEPOTS = 25  # the nations of the star schema, a table of fixed size
 
 
+#: Setting of the session that names a folder where marts are kept between queries.
+MARTS = "upkeep.marts"
+INPUTS = ("events", "part", "supplier", "nation", "orders", "lineitem", "customer", "region")
+
+
 class Fleet:
     """Lazy tables of one data folder."""
 
+    @classmethod
+    def over(cls, spark: SparkSession, path: str) -> Fleet:
+        """The fleet of a folder; where the session's setting MARTS names a folder, marts are found there again while inputs and code stay the same."""
+        marts = spark.conf.get(MARTS, None)
+        return cls(spark, path, Warehouse(spark, marts, listing_digest(spark, path, INPUTS)) if marts else None)
+
     def __init__(self, spark: SparkSession, path: str, warehouse: Warehouse | None = None):
         """warehouse: where marts are kept and found again; without one they are written anew for this object."""
         self.spark, self.path, self.warehouse = spark, path, warehouse

@@ -11,16 +11,19 @@ import hashlib
 import json
 import time
 from collections.abc import Callable, Sequence
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from upkeep.sources import lineage
 
 PARTS = ("functions", "operators", "plans", "sources")
 
 
+@cache
 def code_digest() -> str:
     """A digest of the package's modules that define tables."""
     root = Path(__file__).parent.parent
@@ -81,6 +84,18 @@ def input_manifest(spark: SparkSession, folder: str, tables: Sequence[str]) -> D
     return out
 
 
+def listing_digest(spark: SparkSession, folder: str, tables: Sequence[str]) -> str:
+    """A digest of the names, sizes and times of the tables' files, without reading them; tables that are missing count as such."""
+    found = []
+    for t in tables:
+        fs, p = _hadoop(spark, f"{folder}/{t}.parquet")
+        if not fs.exists(p):
+            continue
+        for status in [fs.getFileStatus(p)] if fs.getFileStatus(p).isFile() else fs.listStatus(p):
+            found.append((t, status.getPath().getName(), status.getLen(), status.getModificationTime()))
+    return hashlib.sha256(json.dumps([folder, sorted(found)]).encode()).hexdigest()
+
+
 class Warehouse:
     """Tables of one folder, for one state of the inputs and of the code."""
 
@@ -102,8 +117,8 @@ class Warehouse:
         key = hashlib.sha256(f"{self.state}|{name}|{kind}".encode()).hexdigest()[:16]
         return f"{self.folder}/{name}-{key}"
 
-    def table(self, name: str, build: Callable[[], DataFrame], kind: str = "parquet") -> DataFrame:
-        """The table of a name: read if it is there, else built, with those that it asks for, and written."""
+    def table(self, name: str, build: Callable[[], DataFrame], kind: str = "parquet", digest: bool = False) -> DataFrame:
+        """The table of a name: read if it is there, else built, with those that it asks for, and written; digest: of its rows."""
         if self._building:
             self.notes.setdefault(self._building[-1], {"needs": []})["needs"].append(name)
         path, note = self.path(name, kind), self.path(name, kind) + ".json"
@@ -122,14 +137,12 @@ class Warehouse:
                 self._building.pop()
             seen = Observation()
             lineage.written(path, df)
-            writer = df.observe(seen, F.count(F.lit(1)).alias("n_rows"), _row_sum(df).alias("digest")).write.mode("overwrite")
+            writer = df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *([_row_sum(df).alias("digest")] if digest else [])).write.mode("overwrite")
             (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
-            known = {"object": name, "kind": kind, "n_rows": seen.get["n_rows"], "n_columns": len(df.columns), "bytes": n_bytes(self.spark, path), "digest": seen.get["digest"], "needs": sorted({*self.notes[name]["needs"]}), "schema": df.schema.json(), "reads": sorted({p for p, _ in lineage.reads(df)})}
+            known = {"object": name, "kind": kind, "n_rows": seen.get["n_rows"], "n_columns": len(df.columns), "bytes": n_bytes(self.spark, path), "digest": seen.get.get("digest", ""), "needs": sorted({*self.notes[name]["needs"]}), "schema": df.schema.json(), "reads": sorted({p for p, _ in lineage.reads(df)})}
             write_text(self.spark, note, json.dumps(known))
             self.notes[name] = known | {"status": "built", "seconds": round(time.perf_counter() - began, 3)}
             schema = known["schema"]
-        from pyspark.sql.types import StructType
-
         reader = self.spark.read.schema(StructType.fromJson(json.loads(schema)))
         return (reader.option("header", True) if kind == "csv" else reader).format(kind).load(path)
 
@@ -140,7 +153,7 @@ class Warehouse:
         object that fails ends the run, and what was built before stays for the next.
         """
         for name, build in objects.items():
-            self.table(f"export_{name}", build, kind)
+            self.table(f"export_{name}", build, kind, digest=True)
         rows = [(self.run_id, n, *(self.notes[f"export_{n}"][c] for c in ("n_rows", "n_columns", "bytes", "digest")), "|".join(self.notes[f"export_{n}"]["needs"]), self.notes[f"export_{n}"]["status"], self.notes[f"export_{n}"]["seconds"]) for n in objects]
         names = ["run_id", "object", "n_rows", "n_columns", "bytes", "digest", "needs", "status", "seconds"]
         write_text(self.spark, f"{self.folder}/manifest-{self.run_id}.json", json.dumps([dict(zip(names, r, strict=True)) for r in rows], indent=1))
