@@ -97,8 +97,14 @@ def test_made_fleet(spark, tmp_path):
     assert set(share) == {"view", "click", "signup", "error", "purchase"} and 0.2 < share["view"] < 0.5
     for name, df in tables.items():
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
-    checks = {r.check: r.value for r in audit.QUERIES["plausibility"](spark, str(tmp_path)).collect()}
-    assert 0 < checks["availability"] <= 1 and checks["values_in_range"] == 1.0
+    checks = {r.check: r for r in audit.QUERIES["plausibility"](spark, str(tmp_path)).collect()}
+    assert 0 < checks["availability"].value <= 1 and checks["values_in_range"].value == 1.0
+    assert set(checks) == set(audit.PLAUSIBLE) and all((r.status == "plausible") == (r.low <= r.value <= r.high) for r in checks.values())
+    tables["events"].withColumn("value", F.col("value") + 2000).write.mode("overwrite").parquet(str(tmp_path / "odd/events.parquet"))
+    for name in set(tables) - {"events"}:
+        tables[name].write.parquet(str(tmp_path / f"odd/{name}.parquet"))
+    with pytest.raises(ValueError, match="values_in_range"):
+        audit.require_plausible(Fleet(spark, str(tmp_path / "odd")))
     assert Fleet(spark, str(tmp_path)).components.count() > 50
 
 

@@ -117,8 +117,15 @@ def require_gates(f: Fleet) -> None:
         raise ValueError("blocked by " + ", ".join(blocked))
 
 
+#: What a made fleet should lie between, low and high.
+PLAUSIBLE = {
+    "view_share": (0.10, 0.70), "click_share": (0.05, 0.60), "signup_share": (0.01, 0.40), "error_share": (0.01, 0.40), "purchase_share": (0.01, 0.40), "values_in_range": (0.99, 1.0),
+    "mean_downtime": (1.0, 24.0), "repeated_share": (0.05, 0.95), "availability": (0.60, 1.0), "mean_age_ratio": (0.05, 2.0),
+}
+
+
 def _plausible(f: Fleet) -> DataFrame:
-    """(check, value, low, high) of what the made fleet should look like."""
+    """(check, value, low, high, status): what a made fleet should look like; a value that is missing or outside is implausible."""
     share = lambda c: F.avg(c.cast("double"))
     e, k = f.table("events"), F.col("event_type")
     parts = [
@@ -127,12 +134,22 @@ def _plausible(f: Fleet) -> DataFrame:
         f.service.agg((F.sum("available_h") / F.sum("planned_h")).alias("availability")),
         f.components.agg(F.avg("age_ratio").alias("mean_age_ratio")),
     ]
-    return validation.stacked([p.select(F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.col(c).cast("double").alias("value")) for c in p.columns))).alias("x")).select("x.*") for p in parts])
+    row = lambda c: F.struct(F.lit(c).alias("check"), F.col(c).cast("double").alias("value"), F.lit(PLAUSIBLE[c][0]).alias("low"), F.lit(PLAUSIBLE[c][1]).alias("high"))
+    out = validation.stacked([p.select(F.inline(F.array(*map(row, p.columns)))) for p in parts])
+    return out.withColumn("status", F.when(F.col("value").between(F.col("low"), F.col("high")), "plausible").otherwise("implausible"))
+
+
+def require_plausible(f: Fleet) -> None:
+    """Raises with the values that are outside of their bounds."""
+    if odd := _plausible(f).where("status = 'implausible'").collect():
+        raise ValueError("implausible: " + ", ".join(f"{r['check']} = {r['value']}" for r in odd))
 
 
-_PLAUSIBLE = """(SELECT 'view_share' AS "check", avg((event_type = 'view')::INT) AS value FROM events UNION ALL SELECT 'click_share', avg((event_type = 'click')::INT) FROM events UNION ALL SELECT 'signup_share', avg((event_type = 'signup')::INT) FROM events
+_VALUES = """SELECT 'view_share' AS "check", avg((event_type = 'view')::INT) AS value FROM events UNION ALL SELECT 'click_share', avg((event_type = 'click')::INT) FROM events UNION ALL SELECT 'signup_share', avg((event_type = 'signup')::INT) FROM events
     UNION ALL SELECT 'error_share', avg((event_type = 'error')::INT) FROM events UNION ALL SELECT 'purchase_share', avg((event_type = 'purchase')::INT) FROM events UNION ALL SELECT 'values_in_range', avg((value BETWEEN 0 AND 1000)::INT) FROM events
-    UNION ALL SELECT 'mean_downtime', avg(downtime_h) FROM failures UNION ALL SELECT 'repeated_share', avg(repeated) FROM failures UNION ALL SELECT 'availability', sum(available_h) / sum(planned_h) FROM service UNION ALL SELECT 'mean_age_ratio', avg(age_ratio) FROM components)"""
+    UNION ALL SELECT 'mean_downtime', avg(downtime_h) FROM failures UNION ALL SELECT 'repeated_share', avg(repeated) FROM failures UNION ALL SELECT 'availability', sum(available_h) / sum(planned_h) FROM service UNION ALL SELECT 'mean_age_ratio', avg(age_ratio) FROM components"""
+_BOUNDS = ", ".join(f"('{c}', {low}::DOUBLE, {high}::DOUBLE)" for c, (low, high) in PLAUSIBLE.items())
+_PLAUSIBLE = f"""(SELECT v.*, low, high, CASE WHEN value BETWEEN low AND high THEN 'plausible' ELSE 'implausible' END AS status FROM ({_VALUES}) v JOIN (VALUES {_BOUNDS}) b("check", low, high) USING ("check"))"""
 
 
 def _entropy(f: Fleet) -> DataFrame:
@@ -195,7 +212,7 @@ AUDIT: dict[str, Query] = {
     "reference_report": Query(_references, "reference orphans", "", _references_sql()),
     "unit_mismatches": Query(lambda f: validation.mismatched(f.failures, f.components, "component_id", "unit_id"), "failure_id component_id unit_id", "", "(SELECT f.* FROM failures f LEFT JOIN components c ON c.component_id = f.component_id WHERE c.component_id IS NULL OR c.unit_id <> f.unit_id)"),
     "validation_gate": Query(_gates, "gate faults blocking status", "", _gates_sql()),
-    "plausibility": Query(_plausible, "check", "value", _PLAUSIBLE),
+    "plausibility": Query(_plausible, "check status", "value low high", _PLAUSIBLE),
     "cardinalities": Query(_cardinalities, "object n_rows n_columns n_distinct", "", "(" + " UNION ALL ".join(f"SELECT '{t}' AS object, count(*) AS n_rows, (SELECT count(*) FROM (DESCRIBE {t})) AS n_columns, (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) AS n_distinct FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")) + ")"),
     "mode_entropy": Query(_entropy, "unit_id failures", "entropy", "(SELECT unit_id, sum(n)::BIGINT AS failures, -sum(n / t * log2(n / t)) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY unit_id) AS t FROM (SELECT unit_id, mode, count(*) AS n FROM failures GROUP BY ALL)) GROUP BY 1)"),
     "calibration_quality": Query(_calibration_quality, "", "calibration_error brier", "(SELECT sum(n * abs(o - p)) / sum(n) AS calibration_error, (SELECT avg((score - y) ** 2) FROM labelled) AS brier FROM (SELECT least(9, greatest(0, ceil(score * 10) - 1)) AS b, count(*) AS n, avg(score) AS p, avg(y) AS o FROM labelled GROUP BY 1))"),
