@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,9 @@ from upkeep.operators.contracts import DataContract, MetricContract
 from upkeep.plans import audit, catalogue
 from upkeep.plans.catalogue import Query
 from upkeep.sources import lineage
+from upkeep.sources.files import require_inputs
 from upkeep.sources.fleet import Fleet
+from upkeep.sources.snapshots import Snapshots
 from upkeep.sources.store import shared_dir
 from upkeep.sources.warehouse import Warehouse, input_manifest
 
@@ -110,6 +113,19 @@ def _export_manifest(f: Fleet) -> DataFrame:
     return export_run(f.spark, f.path, f"{shared_dir(f.spark)}/exports")
 
 
+def publish(spark: SparkSession, source: str, folder: str) -> Snapshots:
+    """Publishes a folder's tables as the current snapshot of a managed folder, if they keep their contracts."""
+    require_inputs(spark, source, [f"{t}.parquet" for t in ALL_INPUTS])
+    area = Snapshots(spark, folder)
+    area.publish({t: spark.read.parquet(f"{source}/{t}.parquet") for t in ALL_INPUTS}, lambda staged: [f"{n}: {', '.join(x)}" for n, x in audit.contract_faults(spark, staged).items()])
+    return area
+
+
+def _published(f: Fleet) -> DataFrame:
+    area = publish(f.spark, f.path, f"{shared_dir(f.spark)}/snapshots-{uuid.uuid4().hex}")
+    return area.manifest()
+
+
 def _checks_sql() -> str:
     fixed, counted = [], []
     for c in DATA:
@@ -147,6 +163,7 @@ Q: dict[str, Query] = {
     "contract_gate": Query(lambda f: contracts.publication_gate(checks(f)), "checks failed blockers allowed", "", _GATE_SQL.format(_checks_sql())),
     "metric_lineage": Query(metric_lineage, "metric source column status", "", _lineage_sql()),
     "export_manifest": Query(_export_manifest, "object n_rows n_columns", "", _export_sql()),
+    "published_snapshot": Query(_published, "table n_rows n_columns", "", _inputs_sql()),
     "input_manifest": Query(lambda f: input_manifest(f.spark, f.path, ALL_INPUTS), "table n_rows n_columns", "", _inputs_sql()),
 }
 

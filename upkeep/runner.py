@@ -1,4 +1,4 @@
-"""Steps in order, each with its status and time; the command line runs queries over a folder, checks its tables, and exports its objects."""
+"""Steps in order, each with its status and time; the command line runs queries over a folder, checks its tables, exports its objects, and publishes it as a snapshot."""
 
 from __future__ import annotations
 
@@ -36,14 +36,14 @@ def run_steps(steps: Sequence[tuple[str, Callable[[], object]]]) -> list[Step]:
 
 def main(argv: Sequence[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="upkeep", description="Runs queries over a folder of tables.")
-    parser.add_argument("command", choices=("run", "validate-input", "export"))
+    parser.add_argument("command", choices=("run", "validate-input", "export", "publish"))
     parser.add_argument("folder")
-    parser.add_argument("--out", help="folder for the results, Parquet; for export the folder of tables and manifests")
+    parser.add_argument("--out", help="folder for the results, Parquet; for export the folder of tables and manifests, for publish the managed folder")
     parser.add_argument("--kind", choices=("csv", "parquet"), default="csv", help="files of exported objects")
     parser.add_argument("--queries", nargs="*", default=["val_row_counts", "mart_fleet_week", "validation_gate"])
     args = parser.parse_args(argv)
-    if args.command == "export" and not args.out:
-        parser.error("export needs --out")
+    if args.command in ("export", "publish") and not args.out:
+        parser.error(f"{args.command} needs --out")
 
     from pyspark.sql import SparkSession
 
@@ -60,6 +60,8 @@ def main(argv: Sequence[str] | None = None) -> int:
             steps.append((name, lambda name=name: (lambda df: df.write.mode("overwrite").parquet(f"{args.out}/{name}") if args.out else df.write.format("noop").mode("overwrite").save())(known[name](spark, args.folder))))
     if args.command == "export":
         steps += [("gates", lambda: audit.require_gates(Fleet(spark, args.folder))), ("contract gate", lambda: require_publishable(registry.checks(Fleet(spark, args.folder)))), ("export", lambda: registry.export_run(spark, args.folder, args.out, args.kind))]
+    if args.command == "publish":
+        steps.append(("publish", lambda: registry.publish(spark, args.folder, args.out)))
     found = run_steps(steps)
     print(json.dumps([asdict(s) for s in found], indent=1))
     return 0 if all(s.status == "passed" for s in found) else 1

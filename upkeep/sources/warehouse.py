@@ -40,31 +40,32 @@ def _row_sum(df: DataFrame) -> Column:
     return F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), part(), part(F.lit(1))), 256)
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a path in any store that Spark reads."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _hadoop(spark, path)
+    fs, p = hadoop(spark, path)
     return fs.exists(p)
 
 
 def n_bytes(spark: SparkSession, path: str) -> int:
     """Bytes of a file or of all files of a folder."""
-    fs, p = _hadoop(spark, path)
+    fs, p = hadoop(spark, path)
     return fs.getContentSummary(p).getLength()
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p = _hadoop(spark, path)
+    fs, p = hadoop(spark, path)
     out = fs.create(p, True)
     out.write(bytearray(text.encode()))
     out.close()
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    fs, p = _hadoop(spark, path)
+    fs, p = hadoop(spark, path)
     opened = fs.open(p)
     try:
         return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8")
@@ -88,7 +89,7 @@ def listing_digest(spark: SparkSession, folder: str, tables: Sequence[str]) -> s
     """A digest of the names, sizes and times of the tables' files, without reading them; tables that are missing count as such."""
     found = []
     for t in tables:
-        fs, p = _hadoop(spark, f"{folder}/{t}.parquet")
+        fs, p = hadoop(spark, f"{folder}/{t}.parquet")
         if not fs.exists(p):
             continue
         for status in [fs.getFileStatus(p)] if fs.getFileStatus(p).isFile() else fs.listStatus(p):
