@@ -356,6 +356,27 @@ def _count(where: str) -> str:
     return f"count(*) FILTER ({where})"
 
 
+_SIGNATURE = "(SELECT sha1(count(*) || '|' || coalesce(sum(('0x' || substr(sha1(concat_ws(chr(31), configuration, depot_id, fleet_id, line_id, unit_id)), 1, 15))::HUGEINT), 0)) AS signature FROM units)"
+FACETS = ("kind", "fleet_id", "depot_id", "line_id")
+#: Choices of the panel, by name.
+VIEWS: dict[str, dict[str, tuple]] = {"all": {}, "wheels": {"kind": ("wheel_profile",)}, "five_depots": {"depot_id": (0, 1, 2, 3, 4), "kind": ("brake_disc", "bogie_frame")}, "lines": {"line_id": (1, 2, 3), "fleet_id": (1, 2)}}
+
+
+def _facets(f: Fleet) -> DataFrame:
+    """The panel's facet counts, from one cube over all component days."""
+    base = _stored_mart(f).select("unit_id", "kind", "health", "alerts").join(f.units.select("unit_id", "fleet_id", "depot_id", "line_id"), "unit_id")
+    cube = f.stored("facet_cube", lambda: panel.facet_cube(base, FACETS, "unit_id", {"sum_health": F.col("health"), "sum_alerts": F.col("alerts")}))
+    return panel.facet_options(cube, FACETS, VIEWS).withColumn("mean_health", F.col("sum_health") / F.col("n_rows"))
+
+
+def _facets_sql() -> str:
+    one = "SELECT '{0}' AS \"view\", '{1}' AS facet, {2} AS value, count(*) AS n_rows, count(DISTINCT unit_id) AS members, avg(health) AS mean_health, sum(alerts) AS sum_alerts FROM based WHERE {3} GROUP BY ALL"
+    literal = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    where = lambda filters: " AND ".join(["TRUE", *(f"{c} IN ({', '.join(map(literal, v))})" for c, v in filters.items())])
+    rows = [one.format(n, "*", "NULL::VARCHAR", where(x)) for n, x in VIEWS.items()] + [one.format(n, f, f"{f}::VARCHAR", where({k: v for k, v in x.items() if k != f})) for n, x in VIEWS.items() for f in FACETS]
+    return "(WITH based AS (SELECT m.unit_id, m.kind, m.health, m.alerts, u.fleet_id, u.depot_id, u.line_id FROM mart m JOIN units u ON u.unit_id = m.unit_id) " + " UNION ALL ".join(rows) + ")"
+
+
 _LOADED = "SELECT depots.*, saturation FROM depots LEFT JOIN (SELECT depot_id, saturation FROM depotday WHERE day = (SELECT max(day) FROM depotday)) USING (depot_id)"
 Q: dict[str, Query] = {
     "staging_typed_projection": Query(lambda f: f.inspections, "inspection_id day unit_id component_id defect severity reported", "score confidence", "inspections"),
@@ -429,8 +450,9 @@ Q: dict[str, Query] = {
     "panel_group_mean": Query(lambda f: panel.group_mean(_mart(f), "unit_id", "health", 10), "unit_id n_rows", "mean", "(SELECT unit_id, avg(health) AS mean, count(*) AS n_rows FROM mart GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)"),
     "panel_window_load": Query(lambda f: f.backlog.groupBy(panel.window_bucket(F.col("age_days")).alias("window")).agg(F.count("*").alias("n_orders"), F.sum("risk").alias("risk")), "window n_orders", "risk", "(SELECT CASE WHEN age_days <= 3 THEN '0_3' WHEN age_days <= 7 THEN '4_7' WHEN age_days <= 14 THEN '8_14' ELSE '15_plus' END AS \"window\", count(*) AS n_orders, sum(risk) AS risk FROM backlog GROUP BY 1)"),
     "panel_page": Query(lambda f: panel.page(f.table("orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3, 25), "o_orderkey", "o_totalprice", "(SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 75)"),
+    "panel_signature": Query(lambda f: panel.signature(f.units.select("unit_id", "fleet_id", "depot_id", "line_id", "configuration")), "signature", "", _SIGNATURE),
+    "panel_facets": Query(_facets, "view facet value n_rows members", "mean_health sum_alerts", _facets_sql()),
     "panel_base": Query(lambda f: _scored(f).select("component_id", "family", panel.completeness(_scored(f), ["sensor_mean", "sensor_std", "rolling_std", "days_since_failure"]).alias("complete"), "failure_risk"), "component_id family", "complete failure_risk", "(SELECT *, ((sensor_mean IS NOT NULL)::INT + (sensor_std IS NOT NULL)::INT + (rolling_std IS NOT NULL)::INT + (days_since_failure IS NOT NULL)::INT) / 4 AS complete FROM scored)"),
-    "panel_signature": Query(lambda f: panel.signature(f.depots.select("depot_id", "depot_name")), "signature"),
     "bucket_counts": Query(lambda f: _scored(f).groupBy(s.right_closed(F.col("failure_risk"), [0, 0.4, 0.6, 0.8, 1.0], True).alias("bin"), "family").count(), "bin family count", "", "(SELECT CASE WHEN failure_risk <= 0.4 THEN 0 WHEN failure_risk <= 0.6 THEN 1 WHEN failure_risk <= 0.8 THEN 2 ELSE 3 END AS bin, family, count(*) AS count FROM scored GROUP BY 1, 2)"),
     "pareto_share": Query(lambda f: kpis.pareto(f.failures, "unit_id", "downtime_h"), "unit_id", "downtime_h running_share", "(SELECT unit_id, downtime_h, sum(downtime_h) OVER (ORDER BY downtime_h DESC, unit_id) / sum(downtime_h) OVER () AS running_share FROM (SELECT unit_id, sum(downtime_h) AS downtime_h FROM failures GROUP BY 1))"),
     "status_pivot": Query(_pivot, "o_orderstatus p1 p2 p3 p4 p5", "", "(SELECT o_orderstatus, " + ", ".join(f"count(*) FILTER (starts_with(o_orderpriority, '{i}')) AS p{i}" for i in range(1, 6)) + " FROM orders GROUP BY 1)"),
