@@ -9,9 +9,19 @@ from pyspark.sql import functions as F
 
 from tests.oracle import compare, connect
 from upkeep.operators import governance, monitoring
-from upkeep.plans import decisions, validation_plans
+from upkeep.plans import decisions, planning, validation_plans
+from upkeep.sources.fleet import MARTS
 
-QUERIES, SQL = {**decisions.QUERIES, **validation_plans.QUERIES}, {**decisions.SQL, **validation_plans.SQL}
+PLANS = (decisions, planning, validation_plans)
+QUERIES, SQL = ({k: v for p in PLANS for k, v in getattr(p, of).items()} for of in ("QUERIES", "SQL"))
+
+
+@pytest.fixture(scope="module", autouse=True)
+def marts(spark, tmp_path_factory):
+    """The queries share what they build."""
+    spark.conf.set(MARTS, str(tmp_path_factory.mktemp("marts")))
+    yield
+    spark.conf.unset(MARTS)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -20,6 +30,15 @@ def test_matches_sql(spark, sf_dir, name):
     assert mine == theirs
 
 
+def test_allocation_of_the_fleet(spark, sf_dir):
+    """Each case once, within the hours of each depot-week, at the cost that the quality row names."""
+    rows, quality = QUERIES["capacity_allocation"](spark, sf_dir).collect(), QUERIES["allocation_quality"](spark, sf_dir).first()
+    assert len({r.component_id for r in rows}) == len(rows) == quality.cases and quality.bound <= quality.cost == pytest.approx(sum(r.cost for r in rows), abs=1e-3)
+    assert all((r.status == "allocated") == (r.depot_id is not None) and r.solver_status == quality.label for r in rows)
+    used = QUERIES["allocation_utilisation"](spark, sf_dir).collect()
+    assert all(r.used_h <= r.hours + 1e-6 for r in used) and sum(r.used_h > 0 for r in used) >= 1
+
+
 def plain_metrics(rows):
     """The ten figures of (cut, component, score, y, p) rows by plain loops."""
     order = sorted(rows, key=lambda r: (-r[2], r[0], r[1]))
