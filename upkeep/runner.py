@@ -48,14 +48,14 @@ def main(argv: Sequence[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from upkeep.operators.contracts import require_publishable
-    from upkeep.plans import audit, catalogue, planning, registry
+    from upkeep.plans import audit, catalogue, decisions, planning, registry, validation_plans
     from upkeep.sources.files import require_inputs
     from upkeep.sources.fleet import Fleet
 
     spark = SparkSession.builder.appName("upkeep").getOrCreate()
     steps: list[tuple[str, Callable[[], object]]] = [("inputs", lambda: require_inputs(spark, args.folder, [f"{t}.parquet" for t in audit.CONTRACTS])), ("contracts", lambda: audit.require_contracts(spark, args.folder))]
     if args.command == "run":
-        known = {**catalogue.QUERIES, **audit.QUERIES, **planning.QUERIES, **registry.QUERIES}
+        known = {k: v for p in (catalogue, audit, decisions, planning, validation_plans, registry) for k, v in p.QUERIES.items()}
         for name in args.queries:
             steps.append((name, lambda name=name: (lambda df: df.write.mode("overwrite").parquet(f"{args.out}/{name}") if args.out else df.write.format("noop").mode("overwrite").save())(known[name](spark, args.folder))))
     if args.command == "export":
