@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from upkeep.functions.ordering import quantiles, with_quantiles
 from upkeep.functions.scalars import clip, filled
-from upkeep.functions.temporal import asof
 from upkeep.sources.fleet import Fleet
 
 SEVERITY_RANK = {"low": 1, "medium": 2, "high": 3, "critical": 4}
@@ -22,8 +21,23 @@ def backlog_component_day(backlog: DataFrame) -> DataFrame:
 
 
 def days_since(base: DataFrame, events: DataFrame, out: str) -> DataFrame:
-    """Days from the component's last event up to each day; null before the first."""
-    return asof(base, events, "component_id", "day", "day", "_last").withColumn(out, F.datediff("day", "_last")).drop("_last")
+    """Days from the component's last event up to each day; null before the first.
+
+    A component's event days come as one sorted array (at most a day each of the
+    history), so that the join goes by component alone and leaves its buckets in place;
+    the latest of those up to a day is its last event.
+    """
+    days = events.where(F.col("day").isNotNull()).groupBy("component_id").agg(F.array_sort(F.collect_set("day")).alias("_days"))
+    joined = base.join(days, "component_id", "left")
+    return joined.withColumn(out, F.datediff("day", F.array_max(F.filter("_days", lambda d: d <= F.col("day"))))).drop("_days").select(*base.columns, out)
+
+
+def with_backlog(base: DataFrame, backlog: DataFrame) -> DataFrame:
+    """base with age_days, order_risk and severity of its component's open orders, null without any; joined by component, with its snapshots (one a week) in a map by unit and day."""
+    at = F.struct("unit_id", "day")
+    orders = backlog_component_day(backlog).groupBy("component_id").agg(F.map_from_entries(F.collect_list(F.struct(at, F.struct("age_days", "order_risk", "severity")))).alias("_orders"))
+    joined = base.join(orders, "component_id", "left").withColumn("_o", F.try_element_at("_orders", at))
+    return joined.select(*base.columns, *(F.col(f"_o.{c}").alias(c) for c in ("age_days", "order_risk", "severity")))
 
 
 def component_day_features(fleet: Fleet, mart: DataFrame) -> DataFrame:
@@ -47,7 +61,7 @@ def component_day_features(fleet: Fleet, mart: DataFrame) -> DataFrame:
     df = days_since(df, fleet.failures, "days_since_failure")
     df = df.withColumn("environment", clip(F.abs(F.col("ambient") - F.col("ambient50")) / 18.0 + F.abs(F.col("humidity") - 50) / 55.0 + filled("intensity", 1.0) * 0.65 + filled("congestion", 0.4) * 0.9, 0, 4.5))
     top = quantiles(fleet.backlog, {"risk80": ("risk", 0.8)}).select(F.coalesce("risk80", F.lit(40.0)).alias("risk80"))
-    df = df.join(backlog_component_day(fleet.backlog), ["day", "unit_id", "component_id"], "left").crossJoin(F.broadcast(top))
+    df = with_backlog(df, fleet.backlog).crossJoin(F.broadcast(top))
     exposed = (F.coalesce("age_days", F.lit(0)) >= 25) | F.coalesce(F.col("order_risk") >= F.col("risk80"), F.lit(False)) | F.coalesce("severity", F.lit("low")).isin("high", "critical")
     at_least_1 = lambda c: F.greatest(filled(c, 0), F.lit(1.0))
     velocity = 2.10 * clip(filled("sensor_std", 0) / at_least_1("std95"), 0, 2.5) + 1.35 * clip(filled("rolling_abs_change", 0) / at_least_1("change95"), 0, 2.5) + 1.05 * clip(F.col("shocks_30") / 30.0, 0, 1) + 0.95 * clip(filled("stress", 0) / at_least_1("stress95"), 0, 2) + 1.25 * (filled("deterioration", 0) / 100.0)

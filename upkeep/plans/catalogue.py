@@ -46,8 +46,12 @@ class Query:
         return with_ctes(f"SELECT {columns} FROM {self.source}")
 
 
+#: Marts of component days lie in buckets by component, sorted by day.
+BY_COMPONENT = ("component_id", ("day",))
+
+
 def _mart(f: Fleet) -> DataFrame:
-    return f.shared("component_day", lambda: marts.mart_component_day(f))
+    return f.shared("component_day", lambda: marts.mart_component_day(f), *BY_COMPONENT)
 
 
 def _units(f: Fleet) -> DataFrame:
@@ -55,7 +59,7 @@ def _units(f: Fleet) -> DataFrame:
 
 
 def _stored_mart(f: Fleet) -> DataFrame:
-    return f.stored("component_day", lambda: marts.mart_component_day(f))
+    return f.stored("component_day", lambda: marts.mart_component_day(f), *BY_COMPONENT)
 
 
 def _stored_units(f: Fleet) -> DataFrame:
@@ -75,7 +79,7 @@ def _weeks(f: Fleet) -> DataFrame:
 
 
 def _features(f: Fleet) -> DataFrame:
-    return f.stored("features", lambda: features.component_day_features(f, _stored_mart(f)))
+    return f.stored("features", lambda: features.component_day_features(f, _stored_mart(f)), *BY_COMPONENT)
 
 
 def _unit_features(f: Fleet) -> DataFrame:

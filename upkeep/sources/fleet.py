@@ -9,7 +9,7 @@ generation and push filters on the event type down to the scan.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,17 +47,17 @@ class Fleet:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
-    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A mart that several steps read: built and written once."""
+    def stored(self, name: str, build: Callable[[], DataFrame], by: str | None = None, order: Sequence[str] = ()) -> DataFrame:
+        """A mart that several steps read: built and written once; by, order: in sorted buckets of a column."""
         if self.warehouse:
-            return self.warehouse.table(name, build)
+            return self.warehouse.table(name, build, by=by, order=order)
         if name not in self._stored:
-            self._stored[name] = materialize(build(), name)
+            self._stored[name] = materialize(build(), name, by, order)
         return self._stored[name]
 
-    def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def shared(self, name: str, build: Callable[[], DataFrame], by: str | None = None, order: Sequence[str] = ()) -> DataFrame:
         """A mart kept in the warehouse if there is one, else just its plan."""
-        return self.stored(name, build) if self.warehouse else build()
+        return self.stored(name, build, by, order) if self.warehouse else build()
 
     @cached_property
     def signals(self) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from upkeep.sources import lineage
+from upkeep.sources import lineage, store
 
 PARTS = ("functions", "operators", "plans", "sources")
 
@@ -118,8 +118,8 @@ class Warehouse:
         key = hashlib.sha256(f"{self.state}|{name}|{kind}".encode()).hexdigest()[:16]
         return f"{self.folder}/{name}-{key}"
 
-    def table(self, name: str, build: Callable[[], DataFrame], kind: str = "parquet", digest: bool = False) -> DataFrame:
-        """The table of a name: read if it is there, else built, with those that it asks for, and written; digest: of its rows."""
+    def table(self, name: str, build: Callable[[], DataFrame], kind: str = "parquet", digest: bool = False, by: str | None = None, order: Sequence[str] = ()) -> DataFrame:
+        """The table of a name: read if it is there, else built, with those that it asks for, and written; digest: of its rows; by, order: in sorted buckets, without a digest."""
         if self._building:
             self.notes.setdefault(self._building[-1], {"needs": []})["needs"].append(name)
         path, note = self.path(name, kind), self.path(name, kind) + ".json"
@@ -128,7 +128,6 @@ class Warehouse:
             known = json.loads(read_text(self.spark, note))
             if name not in self.notes or "status" not in self.notes[name]:
                 self.notes[name] = known | {"status": "reused", "seconds": round(time.perf_counter() - began, 3)}
-            schema = known["schema"]
         else:
             self._building.append(name)
             self.notes[name] = {"needs": []}
@@ -136,17 +135,28 @@ class Warehouse:
                 df = build()
             finally:
                 self._building.pop()
-            seen = Observation()
+            seen, buckets = Observation(), 0
             lineage.written(path, df)
-            writer = df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *([_row_sum(df).alias("digest")] if digest else [])).write.mode("overwrite")
-            (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
-            known = {"object": name, "kind": kind, "n_rows": seen.get["n_rows"], "n_columns": len(df.columns), "bytes": n_bytes(self.spark, path), "digest": seen.get.get("digest", ""), "needs": sorted({*self.notes[name]["needs"]}), "schema": df.schema.json(), "reads": sorted({p for p, _ in lineage.reads(df)})}
+            if by:
+                buckets = store.save_bucketed(df, path, by, order)
+                stats = {"n_rows": self.spark.read.schema(df.schema).parquet(path).count()}  # from the files' footers
+            else:
+                self._write(df, path, kind, seen, digest)
+                stats = seen.get
+            known = {"object": name, "kind": kind, "n_rows": stats["n_rows"], "n_columns": len(df.columns), "bytes": n_bytes(self.spark, path), "digest": stats.get("digest", ""), "needs": sorted({*self.notes[name]["needs"]}), "schema": df.schema.json(), "reads": sorted({p for p, _ in lineage.reads(df)}), "buckets": buckets}
             write_text(self.spark, note, json.dumps(known))
             self.notes[name] = known | {"status": "built", "seconds": round(time.perf_counter() - began, 3)}
-            schema = known["schema"]
-        reader = self.spark.read.schema(StructType.fromJson(json.loads(schema)))
+        schema = StructType.fromJson(json.loads(known["schema"]))
+        if by:
+            return store.read_bucketed(self.spark, path, schema, by, order, known["buckets"])
+        reader = self.spark.read.schema(schema)
         return (reader.option("header", True) if kind == "csv" else reader).format(kind).load(path)
 
+    @staticmethod
+    def _write(df: DataFrame, path: str, kind: str, seen: Observation, digest: bool) -> None:
+        writer = df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *([_row_sum(df).alias("digest")] if digest else [])).write.mode("overwrite")
+        (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
+
     def export(self, objects: dict[str, Callable[[], DataFrame]], kind: str = "csv") -> DataFrame:
         """All objects under their names, and the execution manifest, also written as ``manifest-<run id>.json``.
 
