@@ -49,7 +49,7 @@ def test_wear_is_the_recursion(spark):
     schema = "component_id long, start double, rate double, repeats int, phase int, every int, by_condition boolean, by_calendar boolean, stress array<double>"
     days = 400
     stress = [1 + 0.3 * math.sin(k / 9) for k in range(days)]
-    rows = [(7, 0.9, 0.002, 1, 3, 90, True, True, stress), (8, 0.05, 0.001, 0, 200, 110, False, True, stress), (9, 1.1, 0.004, 0, 1, 300, True, False, stress), (2**40, 1.0, 0.03, 1, 5, 50, True, True, stress)]
+    rows = [(7, 0.9, 0.002, 1, 3, 90, True, True, stress), (8, 0.05, 0.001, 0, 200, 110, False, True, stress), (9, 1.1, 0.004, 0, 1, 300, True, False, stress), (2**40, 1.41, 0.03, 1, 5, 50, True, True, stress)]
     df = spark.createDataFrame(rows, schema)
     found = {}
     for r in df.mapInPandas(m.wear_over_days(7, days), m.STATE).orderBy("component_id", "k").collect():
