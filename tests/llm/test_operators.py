@@ -457,6 +457,13 @@ def test_urls_by_hand(spark):
     assert urls.filter_urls(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_url_rules_are_the_contracts(spark, tmp_path):
+    rows = ["http://a.com/en/1", "http://example.com/en/71", "http://shop.net/de/8", "http://www.example.net/de/81", "http://example.net/de/7", "http://b.org/es/", "http://casino.net/de/1"]
+    spark.createDataFrame([(i, u, "") for i, u in enumerate(rows)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = {r.page_id: (r.rule, r.verdict) for r in queries.op8_urls(spark, str(tmp_path)).collect()}
+    assert out == {0: ("com/en/", "block"), 1: ("example.com/en/7", "allow"), 2: ("net/de/", "allow"), 3: ("example.net/de/8", "block"), 4: ("net/de/", "allow"), 5: ("org/es/", "block"), 6: ("net/de/", "allow")}
+
+
 # 9. PII
 
 
