@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from upkeep.functions.ordering import average_rank, placed, quantiles, running, scaled, with_quantiles
+from upkeep.operators import validation
 
 SCHEMA = "id long, g string, v double"
 
@@ -109,3 +111,13 @@ def test_quantiles_of_nothing(spark):
     assert quantiles(none, {"a": ("v", 0.5)}, ["g"]).count() == 0
     nulls = spark.createDataFrame([(1, "a", None), (2, "b", 3.0)], SCHEMA)
     assert sorted(with_quantiles(nulls, {"a": ("v", 0.5)}, ["g"]).select("id", "a").collect()) == [(1, None), (2, 3.0)]
+
+
+def test_numeric_profile_holds_no_column_in_one_task(spark):
+    df = spark.range(20001).selectExpr("if(id % 10 = 0, null, cast(pmod(id * 7919, 20011) as double) / 7) as x")
+    out = validation.numeric_profile(df, "x")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "percentile_approx(" in plan
+    x = np.array([r.x for r in df.where("x IS NOT NULL").collect()])
+    assert list(out.first()) == pytest.approx([x.min(), *np.quantile(x, [0.01, 0.5, 0.99]), x.max(), x.mean(), x.std()], rel=1e-12)
+    assert list(validation.numeric_profile(df.where("x < 0"), "x").first()) == [None] * 7
