@@ -3,12 +3,14 @@
 import hashlib
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -615,3 +617,16 @@ def test_vectors_that_take_no_part(spark):
     out = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.inner_product_search(df, df.where("vec_id in (0, 3)")).orderBy("rank").collect()]
     assert out == [(0, 1, 1, 2.0), (0, 2, 6, 2.0), (0, 3, 8, -1.0)]
     assert ann.inner_product_search(df.limit(0), df).count() == 0
+
+
+def test_toxicity_counts_need_little_memory():
+    words = [f"word{i * 7919 % 100003} " for i in range(20000)]
+    texts = ["".join(words[k * 500 : (k + 1) * 500]) for k in range(40)] * 8
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([k % 2 for k in range(len(texts))], pa.int32())], names=["text", "label"])
+    assert batch.column(0).nbytes > 1 << 20
+    list(toxicity._count(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    total = sum(int(r.column("positive").to_numpy().sum()) for r in toxicity._count(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total > 0 and peak < 80 << 20
