@@ -71,8 +71,8 @@ ALL_INPUTS = tuple(audit.RAW_KEYS)
 
 def tables(f: Fleet) -> dict[str, DataFrame]:
     """The contracts' tables by name."""
-    raw = {n: getattr(f, n) for n in ("components", "units", "readings", "inspections", "failures", "maintenance", "backlog", "service")}
-    weeks = f.stored("fleet_week", lambda: marts.mart_fleet_week(f, catalogue._stored_units(f)))
+    raw = {n: getattr(f.kept, n) for n in ("components", "units", "readings", "inspections", "failures", "maintenance", "backlog", "service")}
+    weeks = f.stored("fleet_week", lambda: marts.mart_fleet_week(f.kept, catalogue._stored_units(f)))
     return raw | {"mart": catalogue._stored_mart(f), "unitday": catalogue._stored_units(f), "depotday": catalogue._stored_depots(f), "fleetweek": weeks, "scored": catalogue._scored(f)}
 
 
